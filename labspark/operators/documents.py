@@ -113,7 +113,7 @@ def without_comments(tex: Column) -> Column:
 def cited_keys(tex: Column) -> Column:
     """Distinct keys cited outside comments; a citation may name several."""
     groups = F.regexp_extract_all(without_comments(tex), F.lit(_CITE), F.lit(1))
-    keys = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), F.trim)))
+    keys = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k))))
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
