@@ -51,7 +51,7 @@ def plain_number(raw: Column) -> Column:
 
 def as_number(raw: Column) -> Column:
     """As :func:`plain_number`, after every comma became a decimal point (``1.234,5`` stays NULL)."""
-    return plain_number(F.translate(raw, ",", "."))
+    return plain_number(F.replace(raw, F.lit(","), F.lit(".")))
 
 
 def finite(number: Column) -> Column:

@@ -61,9 +61,10 @@ BIBLIOGRAPHY_MISPLACED = "\\printbibliography steht nicht direkt vor \\end{docum
 CITATION_MISSING = "Zitierter Key fehlt in literatur.bib"
 CITATION_LITERAL = "Literal-Citation-Key im sichtbaren Text gefunden."
 
-_COMMENT = r"(?<!\\)%.*"
+_COMMENT = r"%(?<!\\%).*"  # a percent sign that no backslash escapes
 _CITE = r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"
-_KEY_CHARACTERS = r"[A-Za-z0-9_:.+/-]"
+_NO_KEY_CHARACTERS = r"[^A-Za-z0-9_:.+/-]+"
+_STOPS = ".:+/-"
 
 
 def forbidden_terms(df: DataFrame, id_column: str, text: str, terms: Sequence[str] = FORBIDDEN_TERMS) -> DataFrame:
@@ -120,11 +121,8 @@ def cited_keys(tex: Column) -> Column:
 def visible_words(tex: Column) -> Column:
     """Distinct key-like words of the text outside comments and citation commands."""
     shown = F.regexp_replace(without_comments(tex), _CITE, " ")
-    return F.array_distinct(F.regexp_extract_all(shown, F.lit(f"({_KEY_CHARACTERS}+)"), F.lit(1)))
-
-
-def _trim_stops(word: Column) -> Column:
-    return F.regexp_replace(word, r"^[.:+/-]+|[.:+/-]+$", "")
+    words = F.array_distinct(F.split(shown, _NO_KEY_CHARACTERS))
+    return F.array_distinct(F.transform(words, lambda w: F.btrim(w, F.lit(_STOPS))))
 
 
 def citations(docs: DataFrame) -> DataFrame:
@@ -148,23 +146,26 @@ def uncited_entries(cited: DataFrame, bib: DataFrame, per_document: bool = True)
     return bib.select(*keys).distinct().join(cited.select(*keys).distinct(), keys, "left_anti")
 
 
-def literal_keys(docs: DataFrame, bib: DataFrame) -> DataFrame:
-    """Bibliography keys that stand as plain words in the visible text of their own document."""
-    words = docs.select(
-        "doc_id", F.explode(F.array_distinct(F.transform(visible_words(F.col("tex")), _trim_stops))).alias("key")
-    )
-    return words.join(bib.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_semi")
-
-
 def citation_violations(docs: DataFrame, bib: DataFrame) -> DataFrame:
-    """``doc_id, rule_id, severity, message, detail`` of missing and literal keys."""
-    missing = missing_citations(citations(docs), bib).select(
-        "doc_id", violation("citation_missing", "error", CITATION_MISSING, F.col("key")).alias("v")
+    """``doc_id, rule_id, severity, message, detail`` of cited keys that are missing and of literal keys.
+
+    A literal key is an entry of the document's bibliography that stands as a plain word in its text.
+    Cited keys and words of a document are told apart by a flag and meet the bibliography in one join.
+    """
+    tex = F.col("tex")
+    keyed = F.concat(
+        F.transform(cited_keys(tex), lambda k: F.struct(F.lit(True).alias("cited"), k.alias("key"))),
+        F.transform(visible_words(tex), lambda w: F.struct(F.lit(False).alias("cited"), w.alias("key"))),
     )
-    literal = literal_keys(docs, bib).select(
-        "doc_id", violation("citation_literal", "error", CITATION_LITERAL, F.col("key")).alias("v")
+    entries = bib.select("doc_id", "key").distinct().withColumn("listed", F.lit(True))
+    met = docs.select("doc_id", F.explode(keyed).alias("k")).select("doc_id", "k.*").join(
+        entries, ["doc_id", "key"], "left"
     )
-    return missing.unionByName(literal).select("doc_id", "v.*")
+    cited, listed = F.col("cited"), F.col("listed").isNotNull()
+    found = F.when(
+        cited & ~listed, violation("citation_missing", "error", CITATION_MISSING, F.col("key"))
+    ).when(~cited & listed, violation("citation_literal", "error", CITATION_LITERAL, F.col("key")))
+    return met.select("doc_id", found.alias("v")).filter("v is not null").select("doc_id", "v.*")
 
 
 def violations(docs: DataFrame, bib: DataFrame | None = None, rules: Sequence[TextRule] = TEXT_RULES) -> DataFrame:

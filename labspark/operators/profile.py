@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.functions.numeric import finite, is_nonfinite, plain_number, ratio
+from labspark.functions.numeric import as_number, finite, is_nonfinite, plain_number, ratio
 
 _COLUMN = ["dataset_id", "col_idx"]
 
@@ -53,14 +53,14 @@ def column_profile(cells: DataFrame) -> DataFrame:
     nor a long column meets in one task, and number patterns are tested once per distinct text.
     Distinct values are numbers where every cell is a number as written, else texts.
     """
-    per_text = cells.groupBy(*_COLUMN, "raw", "num").agg(F.count(F.lit(1)).alias("c"))
-    plain = plain_number(F.col("raw"))
+    per_text = cells.groupBy(*_COLUMN, "raw").agg(F.count(F.lit(1)).alias("c"))
+    plain, number = plain_number(F.col("raw")), as_number(F.col("raw"))
     per_value = per_text.groupBy(
         *_COLUMN, plain.alias("plain"), F.when(plain.isNull(), F.col("raw")).alias("other")
     ).agg(
         F.sum(F.when(F.col("raw").isNotNull(), F.col("c"))).alias("present"),
         F.sum(F.when(F.col("raw").isNull(), F.col("c"))).alias("missing"),
-        F.sum(F.when(F.col("num").isNotNull(), F.col("c"))).alias("numeric"),
+        F.sum(F.when(number.isNotNull(), F.col("c"))).alias("numeric"),
         F.count("raw").alias("texts"),
     )
     total = {

@@ -22,7 +22,7 @@ from labspark.operators import pendulum as p
 from labspark.operators import roles as role_ops
 from labspark.plans.analysis import Analysis, analyse, measurement_rows
 from labspark.plans.pendulum_run import evaluate_traces
-from labspark.session import checkpoint_dir, configure, cut_lineage
+from labspark.session import checkpoint_dir, configure, cut_lineage, spread
 from labspark.sources import delimited, tracking
 from labspark.streaming.arrival import analyse_arrivals
 
@@ -60,25 +60,37 @@ def measurement_lines(events: DataFrame) -> DataFrame:
     """Runs of consecutive events as text lines of measurement files with six kinds of header."""
     run = F.expr(f"event_id div {RUN_EVENTS}")
     place = F.col("event_id") % RUN_EVENTS + 1
-    kind = run % len(RUN_KINDS)
-    t, v = event_seconds().cast("string"), F.col("value").cast("string")
-    k = F.get_json_object("props", "$.k")
-    event_type = F.coalesce(F.nullif("event_type", F.lit("error")), F.lit(""))
-    comma = {name: F.translate(text, ".", ",") for name, text in (("t", t), ("v", v))}
-    header, data = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for number, (delimiter, names) in enumerate(RUN_KINDS):
-        tt, vv = (t, v) if delimiter == "," else (comma["t"], comma["v"])
-        cells = [k, vv, tt, event_type] if number == 4 else [tt, vv, k, event_type]
-        header = F.when(kind == number, F.lit(names)).otherwise(header)
-        data = F.when(kind == number, F.concat_ws(delimiter, *cells)).otherwise(data)
-    row = F.struct(place.alias("row_idx"), data.alias("line"))
-    first = F.struct(F.lit(0).cast("bigint").alias("row_idx"), header.alias("line"))
-    lines = F.when(place == 1, F.array(first, row)).otherwise(F.array(row))
-    return events.select(run.alias("dataset_id"), F.explode(lines).alias("l")).select("dataset_id", "l.*")
+    kind = (run % len(RUN_KINDS)).cast("int")
+    delimiter = F.get(F.array(*[F.lit(d) for d, _ in RUN_KINDS]), kind)
+    header = F.get(F.array(*[F.lit(names) for _, names in RUN_KINDS]), kind)
+
+    def printed(number: Column) -> Column:
+        text = number.cast("string")
+        return F.when(delimiter == ",", text).otherwise(F.replace(text, F.lit("."), F.lit(",")))
+
+    swapped = kind == 4
+    parts = events.select(
+        run.alias("dataset_id"),
+        place.alias("place"),
+        header.alias("header"),
+        delimiter.alias("d"),
+        swapped.alias("swapped"),
+        printed(event_seconds()).alias("t"),
+        printed(F.col("value")).alias("v"),
+        F.get_json_object("props", "$.k").alias("k"),
+        F.coalesce(F.nullif("event_type", F.lit("error")), F.lit("")).alias("kind"),
+    )
+    first = F.when(F.col("swapped"), F.col("k")).otherwise(F.col("t"))
+    third = F.when(F.col("swapped"), F.col("t")).otherwise(F.col("k"))
+    line = F.concat(first, "d", "v", "d", third, "d", "kind")
+    row = F.struct(F.col("place").alias("row_idx"), line.alias("line"))
+    head = F.struct(F.lit(0).cast("bigint").alias("row_idx"), F.col("header").alias("line"))
+    lines = F.when(F.col("place") == 1, F.array(head, row)).otherwise(F.array(row))
+    return parts.select("dataset_id", F.explode(lines).alias("l")).select("dataset_id", "l.*")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measurement_lines(table(spark, sf_dir, "events"))
+    return measurement_lines(spread(table(spark, sf_dir, "events")))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -217,7 +229,7 @@ def bibliography(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _protocols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return protocols(docs), bibliography(docs, table(spark, sf_dir, "labels"))
 
 
@@ -776,7 +788,7 @@ def _tokens(df: DataFrame, id_column: str) -> DataFrame:
 
 def citations_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents that no benchmark text contains, with the number of documents."""
-    cited = _tokens(table(spark, sf_dir, "documents"), "doc_id")
+    cited = _tokens(spread(table(spark, sf_dir, "documents")), "doc_id")
     known = _tokens(table(spark, sf_dir, "benchmark"), "item_id")
     return documents.missing_citations(cited, known, per_document=False)
 

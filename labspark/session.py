@@ -59,3 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors recompute nothing above it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a small scan before costly work on its rows.
+
+    Only where the scan has fewer splits than the cluster has cores, so a large input, which has many
+    more, is never moved.  ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

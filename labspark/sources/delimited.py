@@ -114,7 +114,8 @@ def parse_rows(
 ) -> DataFrame:
     """Data rows of every layout: ``dataset_id, delimiter, row_idx, fields, n_fields, malformed``.
 
-    ``fields`` has one entry per header column, NULL where the cell is missing or the row is short.
+    ``fields`` holds the texts as written, one per header column (more in an overlong row), NULL where
+    the row is short.
     ``carry`` names further layout columns to put on every row.
     """
     known = (
@@ -138,15 +139,16 @@ def parse_rows(
         .filter(~_is_blank(line) | F.coalesce(line.contains(delimiter), F.lit(False)))
         .withColumn("_raw", split_fields(line, delimiter))
     )
-    padded = F.transform(
-        F.sequence(F.lit(0), F.col("_width") - 1),
-        lambda i: missing_to_null(F.get(F.col("_raw"), i)),
-    )
+    gap = F.col("_width") - F.size("_raw")
+    padded = F.when(
+        gap > 0, F.concat("_raw", F.array_repeat(F.lit(None).cast("string"), gap))
+    ).otherwise(F.col("_raw"))
     return data.select(
         "dataset_id",
         "delimiter",
         "row_idx",
         padded.alias("fields"),
+        "_width",
         F.size("_raw").alias("n_fields"),
         is_malformed(line, delimiter).alias("malformed"),
         *carry,
@@ -160,7 +162,7 @@ def score_candidates(lines: DataFrame, tried: DataFrame, block_rows: int = BLOCK
         "dataset_id",
         "ord",
         "malformed",
-        (F.col("n_fields") > F.size("fields")).alias("overflow"),
+        (F.col("n_fields") > F.col("_width")).alias("overflow"),
         F.posexplode("fields").alias("col_idx", "raw"),
     )
     columns = cells.groupBy("dataset_id", "ord", "col_idx").agg(
@@ -243,10 +245,18 @@ def errors(layouts: DataFrame) -> DataFrame:
 
 
 def to_cells(rows: DataFrame) -> DataFrame:
-    """Long form ``cells(dataset_id, row_idx, col_idx, raw, num)``: files with any headers in one table."""
-    return rows.select(
-        "dataset_id", "row_idx", F.posexplode("fields").alias("col_idx", "raw")
-    ).withColumn("num", as_number(F.col("raw")))
+    """Long form ``cells(dataset_id, row_idx, col_idx, raw, num)``: files with any headers in one table.
+
+    ``raw`` is NULL where the cell is missing, ``num`` where it is no number.
+    """
+    cells = rows.select("dataset_id", "row_idx", F.posexplode("fields").alias("col_idx", "_text"))
+    return cells.select(
+        "dataset_id",
+        "row_idx",
+        "col_idx",
+        missing_to_null(F.col("_text")).alias("raw"),
+        as_number(F.col("_text")).alias("num"),
+    )
 
 
 def column_names(layouts: DataFrame) -> DataFrame:
