@@ -147,7 +147,9 @@ def taxon_details(taxa: DataFrame, features: DataFrame) -> DataFrame:
     """Every taxon with its number of features and, flat, one row per feature.
 
     A taxon may own any share of all features, so they are rows and never one nested list.  Counts are
-    combined before their shuffle.  ``ordered_details`` sorts for display.
+    combined before their shuffle.  Features meet their taxon in an inner join, whose hot
+    partitions Spark may split on the feature side (an outer join from the taxa would forbid that);
+    taxa without features are added from the counts.
     """
     counts = features.groupBy("taxon_id").agg(F.count(F.lit(1)).alias("features_count"))
     counted = taxa.join(counts, "taxon_id", "left").withColumn(
@@ -155,7 +157,11 @@ def taxon_details(taxa: DataFrame, features: DataFrame) -> DataFrame:
     )
     shared = [c for c in features.columns if c in taxa.columns and c != "taxon_id"]
     own = features.withColumnsRenamed({c: f"feature_{c}" for c in shared})
-    return counted.join(own, "taxon_id", "left")
+    owned = own.join(counted.filter("features_count > 0"), "taxon_id")
+    bare = counted.filter("features_count = 0")
+    return owned.unionByName(bare, allowMissingColumns=True).select(
+        *counted.columns, *[c for c in own.columns if c != "taxon_id"]
+    )
 
 
 def ordered_details(details: DataFrame) -> DataFrame:

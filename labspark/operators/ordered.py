@@ -19,12 +19,24 @@ BLOCK = "_block"
 BLOCK_ROWS = 1 << 20
 
 
+def with_block(
+    df: DataFrame, keys: Sequence[str], row: str = "row_idx", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add the block number.  Rows without key or index belong to no dataset and are dropped."""
+    known = F.col(row).isNotNull() & F.col(BLOCK).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return df.withColumn(BLOCK, F.expr(f"`{row}` div {int(block_rows)}L")).filter(known)
+
+
 def into_blocks(
     df: DataFrame, keys: Sequence[str], row: str = "row_idx", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Hash-partition the rows by (keys, block): the single row-level shuffle of an ordered chain."""
-    block = F.expr(f"`{row}` div {int(block_rows)}L")
-    return df.withColumn(BLOCK, block).repartition(*keys, BLOCK)
+    """Hash-partition the rows by (keys, block): the single row-level shuffle of an ordered chain.
+
+    Rows and summaries that read the same columns share this exchange, so the input is scanned once.
+    """
+    return with_block(df, keys, row, block_rows).repartition(*keys, BLOCK)
 
 
 def annotate(
@@ -35,12 +47,16 @@ def annotate(
     following: Mapping[str, str] | None = None,
     position: str | None = None,
     totals: Mapping[str, Column] | None = None,
+    unshuffled: DataFrame | None = None,
 ) -> DataFrame:
     """Add neighbour values, the 0-based position and dataset totals to every row.
 
     ``previous`` / ``following`` map new column names to the columns taken from the row before / after,
     ``totals`` maps new names to an expression summed over the dataset.  All of it costs one in-block
     window and one join with the block summary on (keys, block), which the rows are partitioned by already.
+
+    The summary is taken from the blocked rows, or from ``unshuffled`` (the same rows from
+    :func:`with_block`) where it needs few columns: then it is combined before a small shuffle of its own.
     """
     previous, following, totals = previous or {}, following or {}, totals or {}
     part = [*keys, BLOCK]
@@ -54,14 +70,17 @@ def annotate(
     local: dict[str, Column] = {}
     summary: list[Column] = []
     across: dict[str, Column] = {}
+    # single columns at the borders, not structs, so that the summary is a hash aggregate
     if previous:
         local["_before"] = F.lag(packed(previous)).over(inside)
-        summary.append(F.max_by(packed(previous), F.col(row)).alias("_last"))
-        across["_border_before"] = F.lag("_last").over(along)
+        for name, source in previous.items():
+            summary.append(F.max_by(source, row).alias(f"_last_{name}"))
+            across[f"_border_{name}"] = F.lag(f"_last_{name}").over(along)
     if following:
         local["_after"] = F.lead(packed(following)).over(inside)
-        summary.append(F.min_by(packed(following), F.col(row)).alias("_first"))
-        across["_border_after"] = F.lead("_first").over(along)
+        for name, source in following.items():
+            summary.append(F.min_by(source, row).alias(f"_first_{name}"))
+            across[f"_border_{name}"] = F.lead(f"_first_{name}").over(along)
     if position:
         local["_local_position"] = F.row_number().over(inside).cast("bigint") - 1
         summary.append(F.count(F.lit(1)).alias("_rows"))
@@ -71,20 +90,16 @@ def annotate(
         summary.append(F.sum(value).alias(f"_sum_{name}"))
         across[name] = F.sum(f"_sum_{name}").over(whole)
 
-    blocks = blocked.groupBy(*part).agg(*summary).select(
+    blocks = (blocked if unshuffled is None else unshuffled).groupBy(*part).agg(*summary).select(
         *part, *[value.alias(name) for name, value in across.items()]
     )
     rows = blocked.withColumns(local) if local else blocked
     joined = rows.join(blocks, part)
 
     out: dict[str, Column] = {}
-    for names, near, border in (
-        (previous, "_before", "_border_before"),
-        (following, "_after", "_border_after"),
-    ):
-        if names:
-            found = F.coalesce(F.col(near), F.col(border))
-            out.update({name: found[name] for name in names})
+    for names, near in ((previous, F.col("_before")), (following, F.col("_after"))):
+        for name in names:
+            out[name] = F.when(near.isNotNull(), near[name]).otherwise(F.col(f"_border_{name}"))
     if position:
         out[position] = F.col("_local_position") + F.col("_offset")
     kept = [*blocked.columns, *totals]

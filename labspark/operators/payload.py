@@ -70,31 +70,40 @@ def _holds_raw(kind: T.DataType, raw_keys: Sequence[str]) -> bool:
 
 
 def removed_paths(
-    value: Column, kind: T.DataType, raw_keys: Sequence[str] = RAW_KEYS, path: str = ""
+    value: Column,
+    kind: T.DataType,
+    raw_keys: Sequence[str] = RAW_KEYS,
+    path: Column | None = None,
 ) -> Column:
     """Array with the path of every removed field that holds a value, once per list element."""
     empty = F.array().cast("array<string>")
-    if isinstance(kind, T.StructType):
-        parts = []
-        for field in kind.fields:
-            below = f"{path}.{field.name}" if path else field.name
-            if field.name in raw_keys:
-                parts.append(
-                    F.when(value[field.name].isNotNull(), F.array(F.lit(below))).otherwise(empty)
-                )
-            elif _holds_raw(field.dataType, raw_keys):
-                parts.append(removed_paths(value[field.name], field.dataType, raw_keys, below))
-        return F.coalesce(F.concat(*parts), empty) if parts else empty
-    if isinstance(kind, T.ArrayType) and _holds_raw(kind, raw_keys):
-        inner = F.transform(
-            value, lambda item: removed_paths(item, kind.elementType, raw_keys, f"{path}[]")
-        )
+
+    def below(name: Column) -> Column:
+        return name if path is None else F.concat(path, F.lit("."), name)
+
+    if not _holds_raw(kind, raw_keys):
+        return empty
+    if isinstance(kind, T.ArrayType):
+        here = F.lit("[]") if path is None else F.concat(path, F.lit("[]"))
+        inner = F.transform(value, lambda item: removed_paths(item, kind.elementType, raw_keys, here))
         return F.coalesce(F.flatten(inner), empty)
     if isinstance(kind, T.MapType):
         own = F.filter(F.map_keys(value), lambda key: key.isin(list(raw_keys)))
-        prefix = f"{path}." if path else ""
-        return F.coalesce(F.transform(own, lambda key: F.concat(F.lit(prefix), key)), empty)
-    return empty
+        kept = F.map_filter(value, lambda key, _: ~key.isin(list(raw_keys)))
+        inner = F.transform(
+            F.map_entries(kept),
+            lambda e: removed_paths(e["value"], kind.valueType, raw_keys, below(e["key"])),
+        )
+        found = F.concat(F.transform(own, lambda key: below(key)), F.flatten(inner))
+        return F.coalesce(found, empty)
+    parts = []
+    for field in kind.fields:
+        name = below(F.lit(field.name))
+        if field.name in raw_keys:
+            parts.append(F.when(value[field.name].isNotNull(), F.array(name)).otherwise(empty))
+        else:
+            parts.append(removed_paths(value[field.name], field.dataType, raw_keys, name))
+    return F.coalesce(F.concat(*parts), empty)
 
 
 def scrub_payloads(

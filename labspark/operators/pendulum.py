@@ -23,7 +23,7 @@ from labspark.functions.propagation import (
     seconds_to_minutes,
 )
 from labspark.functions.regression import linear_fit
-from labspark.operators.ordered import BLOCK, BLOCK_ROWS, annotate, attach, exact_median, into_blocks
+from labspark.operators.ordered import BLOCK, BLOCK_ROWS, annotate, attach, exact_median, into_blocks, with_block
 from labspark.operators.physics import latitude_with_error
 from labspark.operators.profile import moments, wide_stats
 
@@ -193,6 +193,7 @@ def segment_axis(
         keys,
         position="_rn",
         totals={"_n": F.lit(1)},
+        unshuffled=with_block(samples.select(*keys, "row_idx"), keys, block_rows=block_rows),
     )
     size = F.expr(f"_n div {int(n_segments)}")
     placed = (

@@ -28,9 +28,16 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def empty_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``dataset_id`` of files of length zero, which yield no line; only the listing is read."""
-    listing = spark.read.format("binaryFile").load(_paths(paths)).select("path", "length")
-    return listing.filter("length = 0").select(F.col("path").alias("dataset_id"))
+    """``dataset_id`` of files of length zero, which yield no line.
+
+    Names come from the file listing that Spark keeps for the scan; no content is read.
+    """
+    names = [name.replace("file:///", "file:/", 1) for name in spark.read.text(_paths(paths)).inputFiles()]
+    listed = spark.createDataFrame([(name,) for name in names], "dataset_id string")
+    filled = spark.read.format("binaryFile").load(_paths(paths)).select(
+        F.col("_metadata.file_path").alias("dataset_id")
+    )
+    return listed.join(filled, "dataset_id", "left_anti")
 
 
 def read_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
