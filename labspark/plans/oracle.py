@@ -341,7 +341,7 @@ SELECT user_id, n, round(p_value, 6) AS p_value FROM p""",
         ),
         "file_stats": f"""
 WITH {_CELLS}
-SELECT dataset_id, col_idx, "column", count(num) AS n, round(avg(num), 7) AS mean,
+SELECT dataset_id, col_idx, "column", count(num) AS n, CASE WHEN abs(avg(num)) < 1000 THEN round(avg(num), 7) ELSE round(avg(num), 2) END AS mean,
        round(stddev_samp(num), 4) AS sample_std, round(stddev_samp(num) / sqrt(count(num)), 5) AS sem,
        min(num) AS "min", max(num) AS "max", CAST(0 AS BIGINT) AS nonfinite_count
 FROM cells GROUP BY dataset_id, col_idx, "column" HAVING count(num) > 0""",
@@ -485,12 +485,12 @@ WITH {_traces("user_id")}, a AS (
   SELECT user_id, avg(x) AS x_mean, avg(y) AS y_mean, (max(x) - min(x)) / 2 AS ax, (max(y) - min(y)) / 2 AS ay
   FROM s GROUP BY user_id
 )
-SELECT user_id, round(x_mean, 6) AS x_mean, round(y_mean, 6) AS y_mean, round(ax, 6) AS ax, round(ay, 6) AS ay,
-       round(CASE WHEN ax > 0 THEN ay / ax END, 6) AS ellipticity FROM a""",
+SELECT user_id, round(x_mean, 9) AS x_mean, round(y_mean, 9) AS y_mean, round(ax, 9) AS ax, round(ay, 9) AS ay,
+       round(CASE WHEN ax > 0 THEN ay / ax END, 9) AS ellipticity FROM a""",
         "tracking_quality": f"""
 WITH {_traces("user_id")}
-SELECT user_id, round(avg(area), 6) AS area_mean, round(stddev_samp(area), 6) AS area_s,
-       round(stddev_samp(area) / avg(area) * 100, 6) AS area_cv FROM s GROUP BY user_id""",
+SELECT user_id, round(avg(area), 9) AS area_mean, round(stddev_samp(area), 9) AS area_s,
+       round(stddev_samp(area) / avg(area) * 100, 9) AS area_cv FROM s GROUP BY user_id""",
         "zero_crossings": f"""
 WITH {_crossings("user_id")} SELECT user_id, row_idx, round(t_cross, 3) AS t_cross FROM crossings""",
         "periods": f"""
@@ -683,7 +683,7 @@ SELECT dataset_id, max(row_count) AS row_count, CAST(4 AS BIGINT) AS column_coun
 FROM blocks JOIN sizes USING (dataset_id) GROUP BY dataset_id""",
         "arrival_statistics": f"""
 WITH {_CELLS}
-SELECT dataset_id, "column", count(num) AS n, round(avg(num), 7) AS mean, min(num) AS "min", max(num) AS "max"
+SELECT dataset_id, "column", count(num) AS n, CASE WHEN abs(avg(num)) < 1000 THEN round(avg(num), 7) ELSE round(avg(num), 2) END AS mean, min(num) AS "min", max(num) AS "max"
 FROM cells GROUP BY dataset_id, "column" HAVING count(num) > 0""",
     }
     return queries

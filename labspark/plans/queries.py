@@ -259,6 +259,11 @@ def typed_payloads(events: DataFrame) -> DataFrame:
     )
 
 
+def _mean_digits(mean: Column) -> Column:
+    """Digits that keep means of few-decimal numbers off a rounding tie."""
+    return F.when(F.abs(mean) < 1000, F.round(mean, 7)).otherwise(F.round(mean, 2))
+
+
 # ── measurement files ────────────────────────────────────────────────────────────────────────────
 
 
@@ -305,7 +310,7 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "col_idx",
         "column",
         "n",
-        F.round("mean", 7).alias("mean"),
+        _mean_digits(F.col("mean")).alias("mean"),
         F.round("sample_std", 4).alias("sample_std"),
         F.round("sem", 5).alias("sem"),
         "min",
@@ -557,13 +562,13 @@ def channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trajectory_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = p.trajectory_extent(_traces(spark, sf_dir, "user_id"), ["user_id"])
     return out.select(
-        "user_id", *[F.round(c, 6).alias(c) for c in ("x_mean", "y_mean", "ax", "ay", "ellipticity")]
+        "user_id", *[F.round(c, 9).alias(c) for c in ("x_mean", "y_mean", "ax", "ay", "ellipticity")]
     )
 
 
 def tracking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = p.tracking_quality(_traces(spark, sf_dir, "user_id"), ["user_id"])
-    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("area_mean", "area_s", "area_cv")])
+    return out.select("user_id", *[F.round(c, 9).alias(c) for c in ("area_mean", "area_s", "area_cv")])
 
 
 def zero_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -751,7 +756,7 @@ def scope_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forbidden_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = [*documents.FORBIDDEN_TERMS, *EXTRA_TERMS]
-    return documents.forbidden_terms(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
+    return documents.forbidden_terms(spread(table(spark, sf_dir, "documents")), "doc_id", "text", terms)
 
 
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -816,7 +821,7 @@ def payload_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_scrub_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same payloads as text of unknown schema, nulls written out."""
-    df = typed_payloads(table(spark, sf_dir, "events"))
+    df = typed_payloads(spread(table(spark, sf_dir, "events")))
     text = F.to_json("payload", {"ignoreNullFields": "false"})
     clean = df.select("event_id", payload.scrub_open_json(text).alias("c"))
     return clean.select(
@@ -833,7 +838,7 @@ def generation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests made from documents: preferred fields, plain messages or neither."""
     kind = F.col("doc_id") % 4
     none = F.lit(None).cast("string")
-    requests = table(spark, sf_dir, "documents").select(
+    requests = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("request_id"),
         F.when(kind == 0, F.lit("Kurz.")).alias("system"),
         F.when(kind == 2, F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("csv")))))
@@ -920,7 +925,7 @@ def arrival_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = analyse_arrivals(measurement_lines(stream), f"{root}/out", f"{root}/progress")
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out/statistics").select(
-        "dataset_id", "column", "n", F.round("mean", 7).alias("mean"), "min", "max"
+        "dataset_id", "column", "n", _mean_digits(F.col("mean")).alias("mean"), "min", "max"
     )
 
 

@@ -39,7 +39,11 @@ def local_session(cpus: int | str = 8, app: str = "labspark", **conf: str) -> Sp
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a single-machine session that names none gets a temporary one; executors of a cluster
+    could not read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -50,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return folder
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
     folder = tempfile.mkdtemp(prefix="labspark-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
