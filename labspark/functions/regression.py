@@ -69,28 +69,18 @@ def student_t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(out)  # NaN becomes NULL in the Arrow transfer
 
 
-def _when_pair(x: Column, y: Column, value: Column) -> Column:
-    return F.when(x.isNotNull() & y.isNotNull(), value)
-
-
-def fit_sums(x: Column, y: Column) -> list[Column]:
+def fit_sums(x: Column, y: Column, prefix: str = "") -> list[Column]:
     """Central sums of the complete pairs: partial per task, merged per group, never sum(x^2)-n*mean^2."""
-    return [
-        F.regr_count(y, x).alias("n"),
-        F.regr_avgx(y, x).alias("_mx"),
-        F.regr_avgy(y, x).alias("_my"),
-        F.regr_sxx(y, x).alias("_sxx"),
-        F.regr_syy(y, x).alias("_syy"),
-        F.regr_sxy(y, x).alias("_sxy"),
-    ]
+    aggregates = [F.regr_count, F.regr_avgx, F.regr_avgy, F.regr_sxx, F.regr_syy, F.regr_sxy]
+    return [agg(y, x).alias(prefix + name) for agg, name in zip(aggregates, _SUMS, strict=True)]
 
 
-def fit_results() -> dict[str, Column]:
-    """Fit quantities from the columns of :func:`fit_sums`.
+def fit_results(prefix: str = "") -> dict[str, Column]:
+    """Fit quantities from the columns of :func:`fit_sums` with the same prefix.
 
     Fewer than two pairs or a constant x give NULL.  A constant y has r = 0.  Two pairs fit exactly.
     """
-    n, mx, my, sxx, syy, sxy = (F.col(c) for c in _SUMS)
+    n, mx, my, sxx, syy, sxy = (F.col(prefix + c) for c in _SUMS)
     usable = (n >= 2) & (sxx > 0)
     dof = F.greatest(n - 2, F.lit(0)).cast("double")
     slope = F.when(usable, ratio(sxy, sxx))

@@ -11,8 +11,9 @@ from labspark.functions.propagation import (
     EARTH_RATE_RAD_PER_S,
     LITERATURE_LATITUDE_DEG,
 )
-from labspark.functions.regression import fit_results, fit_sums, linear_fit, with_p_value
+from labspark.functions.regression import fit_results, fit_sums, with_p_value
 from labspark.operators.profile import moments
+from labspark.operators.roles import pair_values
 
 # Angle units that allow the slope to be read as an angular velocity.
 RADIAN_UNITS = ["rad", "radian", "rad/s"]
@@ -38,22 +39,32 @@ def resonance_points(pairs: DataFrame) -> DataFrame:
     )
 
 
-def resonance_summary(points: DataFrame) -> DataFrame:
-    """Sound speed statistics and the fit of spacing on inverse frequency, in one pass per dataset.
+_TUBE, _ANGLE = "_tube_", "_angle_"
+_SPEEDS = ["mean", "sample_std", "sem", "min", "max"]
 
-    Datasets with fewer than two pairs keep a row with NULL results.
-    """
-    speed = {f"speed_{k}": v for k, v in moments(F.col("sound_speed_m_s")).items() if k != "n"}
-    sums = points.groupBy("dataset_id").agg(
-        *fit_sums(F.col("inverse_frequency_s"), F.col("peak_spacing_m")),
-        *[value.alias(name) for name, value in speed.items()],
-    )
-    fitted = with_p_value(sums.withColumns(fit_results()))
+
+def _tube_aggregates(frequency: Column, spacing: Column) -> list[Column]:
+    """Sound speed statistics and fit sums of spacing on inverse frequency; NULL pairs are not counted."""
+    speed = moments(frequency * (spacing * 2))
+    sums = fit_sums(F.lit(1.0) / frequency, spacing, _TUBE)
+    return [*sums, *[speed[name].alias(f"speed_{name}") for name in _SPEEDS]]
+
+
+def _unprefixed(sums: DataFrame, prefix: str, *keep: str) -> DataFrame:
+    own = {c: c.removeprefix(prefix) for c in sums.columns if c.startswith(prefix)}
+    return sums.select("dataset_id", *[F.col(c).alias(n) for c, n in own.items()], *keep)
+
+
+def resonance_from_sums(sums: DataFrame) -> DataFrame:
+    """Datasets with at least one positive pair; with fewer than two their results are NULL."""
+    speeds = [f"speed_{name}" for name in _SPEEDS]
+    tube = _unprefixed(sums, _TUBE, *speeds).filter("n > 0").withColumns(fit_results())
+    fitted = with_p_value(tube)
     enough = F.col("n") >= 2
     return fitted.select(
         "dataset_id",
         "n",
-        *[F.when(enough, F.col(name)).alias(name) for name in speed],
+        *[F.when(enough, F.col(name)).alias(name) for name in speeds],
         "slope",
         "intercept",
         "slope_stderr",
@@ -65,9 +76,37 @@ def resonance_summary(points: DataFrame) -> DataFrame:
     )
 
 
+def resonance_summary(points: DataFrame) -> DataFrame:
+    """Sound speed statistics and the fit of spacing on inverse frequency, in one pass per dataset."""
+    frequency, spacing = F.col("frequency_hz"), F.col("peak_spacing_m")
+    return resonance_from_sums(points.groupBy("dataset_id").agg(*_tube_aggregates(frequency, spacing)))
+
+
+def angular_from_sums(sums: DataFrame) -> DataFrame:
+    """Datasets with at least two pairs and two different times."""
+    fits = _unprefixed(sums, _ANGLE).withColumns(fit_results()).filter("slope is not null")
+    return with_p_value(fits).drop("_mx", "_my", "_sxx", "_syy", "_sxy")
+
+
 def angular_regression(pairs: DataFrame) -> DataFrame:
-    """Fit of angle y on time x; only datasets with at least two pairs and two different times."""
-    return linear_fit(pairs, ["dataset_id"], "x", "y", p_value=True).filter("slope is not null")
+    """Fit of angle y on time x."""
+    return angular_from_sums(pairs.groupBy("dataset_id").agg(*fit_sums(F.col("x"), F.col("y"), _ANGLE)))
+
+
+def physics_sums(rows: DataFrame) -> DataFrame:
+    """All sums of both evaluations in one pass over the parsed rows, one row per dataset."""
+    time, angle = pair_values("time", "angle")
+    frequency, spacing = pair_values("frequency", "spacing", positive=True)
+    return rows.select(
+        "dataset_id",
+        time.alias("time"),
+        angle.alias("angle"),
+        frequency.alias("frequency"),
+        spacing.alias("spacing"),
+    ).groupBy("dataset_id").agg(
+        *fit_sums(F.col("time"), F.col("angle"), _ANGLE),
+        *_tube_aggregates(F.col("frequency"), F.col("spacing")),
+    )
 
 
 def latitude_from_rate(regression: DataFrame, metadata: DataFrame) -> DataFrame:

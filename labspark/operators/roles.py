@@ -84,19 +84,24 @@ def role_value(role: str) -> Column:
     return as_number(F.get(F.col("fields"), F.col(f"role_{role}")))
 
 
-def pairs(rows: DataFrame, x_role: str, y_role: str, positive: bool = False) -> DataFrame:
-    """``dataset_id, row_idx, x, y`` of complete (and positive) pairs; both roles must be different columns."""
-    values = rows.filter(
-        F.col(f"role_{x_role}").isNotNull()
-        & F.col(f"role_{y_role}").isNotNull()
-        & (F.col(f"role_{x_role}") != F.col(f"role_{y_role}"))
-    ).select(
-        "dataset_id", "row_idx", role_value(x_role).alias("x"), role_value(y_role).alias("y")
-    )
-    keep = F.col("x").isNotNull() & F.col("y").isNotNull()
+def pair_values(x_role: str, y_role: str, positive: bool = False) -> tuple[Column, Column]:
+    """Both numbers of a row where the pair is complete, finite and, if asked, positive; else NULL twice.
+
+    Both roles must be bound to different columns.
+    """
+    x, y = finite(role_value(x_role)), finite(role_value(y_role))
+    keep = (F.col(f"role_{x_role}") != F.col(f"role_{y_role}")) & x.isNotNull() & y.isNotNull()
     if positive:
-        keep = keep & (F.col("x") > 0) & (F.col("y") > 0)
-    return values.filter(keep & finite(F.col("x")).isNotNull() & finite(F.col("y")).isNotNull())
+        keep = keep & (x > 0) & (y > 0)
+    return F.when(keep, x), F.when(keep, y)
+
+
+def pairs(rows: DataFrame, x_role: str, y_role: str, positive: bool = False) -> DataFrame:
+    """``dataset_id, row_idx, x, y`` of the complete (and positive) pairs."""
+    x, y = pair_values(x_role, y_role, positive)
+    bound = F.col(f"role_{x_role}").isNotNull() & F.col(f"role_{y_role}").isNotNull()
+    values = rows.filter(bound).select("dataset_id", "row_idx", x.alias("x"), y.alias("y"))
+    return values.filter("x is not null and y is not null")
 
 
 def tracking_samples(rows: DataFrame, layouts: DataFrame | None = None) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from labspark.operators import report
 from labspark.operators.ordered import BLOCK_ROWS
 from labspark.operators.physics import (
-    angular_regression,
+    angular_from_sums,
     latitude_from_rate,
+    physics_sums,
+    resonance_from_sums,
     resonance_points,
-    resonance_summary,
 )
 from labspark.operators.profile import (
     column_profile,
@@ -82,10 +83,10 @@ def analyse(
     statistics = keep(named(numeric_stats(cells)))
     profile = keep(column_profile(cells))
     missing = missing_summary(profile, names)
-    overview = keep(dataset_overview(profile, names))
+    overview = dataset_overview(profile, names)
     points = resonance_points(pairs(rows, "frequency", "spacing", positive=True))
-    tube = keep(resonance_summary(points))
-    regression = keep(angular_regression(pairs(rows, "time", "angle")))
+    sums = keep(physics_sums(rows))
+    tube, regression = keep(resonance_from_sums(sums)), keep(angular_from_sums(sums))
     latitude = latitude_from_rate(regression, metadata)
     items = keep(
         analysis_items(
