@@ -137,7 +137,9 @@ def _without_raw(node, raw_keys: frozenset[str], path: str, removed: list[str]):
     }
 
 
-def scrub_open_json(text: Column, raw_keys: Sequence[str] = RAW_KEYS) -> Column:
+def scrub_open_json(
+    text: Column, raw_keys: Sequence[str] = RAW_KEYS, indent: int | None = None
+) -> Column:
     """``struct<json, warnings>`` of JSON text of any shape; text that is no JSON gives NULL."""
     keys = frozenset(raw_keys)
 
@@ -152,7 +154,9 @@ def scrub_open_json(text: Column, raw_keys: Sequence[str] = RAW_KEYS) -> Column:
                     texts.append(
                         None
                         if value is None
-                        else json.dumps(_without_raw(node, keys, "", removed), ensure_ascii=False)
+                        else json.dumps(
+                            _without_raw(node, keys, "", removed), ensure_ascii=False, indent=indent
+                        )
                     )
                 except ValueError:
                     texts.append(None)
@@ -199,7 +203,7 @@ def assemble_payloads(requests: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("system", F.lit("")), F.lit(DEFAULT_SYSTEM)).alias("system"),
         F.when(filled, "preferred").when(source.isNotNull(), "messages").alias("kind"),
         top.alias("_top"),
-        scrub_open_json(source).alias("_clean"),
+        scrub_open_json(source, indent=2).alias("_clean"),
     )
     return built.select(
         "request_id",

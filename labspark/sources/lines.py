@@ -17,8 +17,12 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
     ``row_idx`` is the byte offset of the split plus the row's place in its task.  It grows along the file
     and is unique in it, because a line takes at least one byte and only the last split of a file
-    shares a task with other files.  No shuffle is needed to number the lines.
+    shares a task with other files.  No shuffle is needed to number the lines.  The number of splits
+    is pinned in the session, so that later scans number alike when executors come and go.
     """
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return spark.read.text(_paths(paths)).select(
         F.col("_metadata.file_path").alias("dataset_id"),
