@@ -63,7 +63,7 @@ CITATION_LITERAL = "Literal-Citation-Key im sichtbaren Text gefunden."
 
 _COMMENT = r"%(?<!\\%).*"  # a percent sign that no backslash escapes
 _CITE = r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"
-_NO_KEY_CHARACTERS = r"[^A-Za-z0-9_:.+/-]+"
+_NO_KEY_CHARACTERS = r"[^\w:.+/-]+"  # \w is ASCII here, and far faster than spelt-out ranges
 _STOPS = ".:+/-"
 
 
