@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from labspark.llm.minhash import near_duplicates
+from labspark.llm.quality import quality_scores
 from labspark.llm.storage import new_folder
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; rows without doc_id stay."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    rejected = quality_scores(docs, labels).where("predicted = 0").select("doc_id")
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
     copies = near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup)]
 
 #: The quality score, the walks of decontamination and the encoding are not expressible in SQL.
 ORACLE_SQL: str | None = None
