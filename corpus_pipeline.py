@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from labspark.llm.line_templates import drop_recurring_lines
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
 from labspark.llm.storage import new_folder
@@ -16,13 +18,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go but for their first; a document left without any word goes too."""
+    cut = drop_recurring_lines(docs).where(r"n_dropped = 0 or text rlike '\\S'")
+    return cut.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id."""
     copies = near_duplicates(docs).where("not kept").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("quality_filter", quality_filter), ("near_dedup", near_dedup)]
+STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup)]
 
 #: The quality score, the walks of decontamination and the encoding are not expressible in SQL.
 ORACLE_SQL: str | None = None

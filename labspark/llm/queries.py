@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from labspark.llm import line_templates
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
 from labspark.llm.toxicity import toxicity_scores
@@ -29,9 +30,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs)
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op6_line_templates": op6_line_templates,
+}
+LLM_ORACLE_SQL: dict[str, str] = {
+    "op6_line_templates": line_templates.ORACLE,
 }
-LLM_ORACLE_SQL: dict[str, str] = {}
