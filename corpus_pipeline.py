@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labspark.llm.decontamination import leaks
 from labspark.llm.line_templates import drop_recurring_lines
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
@@ -30,7 +31,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; rows without doc_id stay."""
+    items = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    leaking = leaks(docs, items).select("doc_id").distinct()
+    return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination)]
 
 #: The quality score, the walks of decontamination and the encoding are not expressible in SQL.
 ORACLE_SQL: str | None = None

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from labspark.llm import line_templates
+from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
 from labspark.llm.toxicity import toxicity_scores
@@ -35,11 +36,16 @@ def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring_lines(docs)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op6_line_templates": op6_line_templates,
+    "op7_decontamination": op7_decontamination,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,

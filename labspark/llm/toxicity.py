@@ -7,7 +7,6 @@ the mention of a group.
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labspark.llm.quality import is_held_out
-from labspark.llm.words import Memo
+from labspark.llm.words import Memo, plain_words_of
 
 BUCKETS = 1 << 20
 FACTORS = 4
@@ -33,8 +32,6 @@ PENALTY = 1e-3
 SEED = 7
 THRESHOLD = 0.3
 
-_SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
-
 
 def _bucket(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) % BUCKETS
@@ -42,7 +39,7 @@ def _bucket(word: bytes) -> int:
 
 def terms_of(text: str | None) -> set[bytes]:
     """The distinct words of a whole text in lower case, without punctuation."""
-    return set((text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES).split())
+    return set(plain_words_of(text))
 
 
 @dataclass

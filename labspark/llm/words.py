@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import numpy as np
@@ -9,6 +10,7 @@ import xxhash
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
+_SPACES = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
 class Memo(dict):
@@ -33,6 +35,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def plain_words_of(text: str | None) -> list[bytes]:
+    """Words in lower case, ASCII punctuation counting as white space; none for a null text."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACES).split()
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
