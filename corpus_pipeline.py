@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from labspark.llm.decontamination import leaks
 from labspark.llm.line_templates import drop_recurring_lines
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
+from labspark.llm.sentencepiece_codec import encoded_documents
 from labspark.llm.storage import new_folder
 
 
@@ -38,7 +40,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(leaking, "doc_id", "left_anti").select(*docs.columns)
 
 
-STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, exact) of every document."""
+    return encoded_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
 
 #: The quality score, the walks of decontamination and the encoding are not expressible in SQL.
 ORACLE_SQL: str | None = None
