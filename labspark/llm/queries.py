@@ -12,10 +12,13 @@ from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
 from labspark.llm.sentencepiece_codec import encoded_documents
+from labspark.llm.token_files import token_files_of
 from labspark.llm.toxicity import toxicity_scores
 
 #: Vocabulary file of the encoder, on every executor.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 1
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +43,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_of(table(spark, sf_dir, "documents"), WORDS, END_ID)
+
+
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs)
@@ -54,6 +61,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
+    "op5_token_files": op5_token_files,
     "op6_line_templates": op6_line_templates,
     "op7_decontamination": op7_decontamination,
 }

@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm.words import Memo
+from labspark.llm.words import Memo, joined_codes
 
 MARK = "▁"
 WORDS_HELD = 800_000
@@ -131,13 +131,7 @@ class Vocabulary:
     def encode(self, texts: list[str | None], held: dict[str, bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; ``held`` keeps those of words between batches."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted({w for words in cut for w in words if w not in held})
-        if len(held) + len(new) > WORDS_HELD:  # words of this batch that were known before are worth keeping
-            again = {w: held[w] for words in cut for w in words if w in held}
-            held.clear()
-            held.update(again)
-        held.update(zip(new, (np.array(ids, "<u4").tobytes() for ids in self.encode_sorted(new)), strict=True))
-        return [b"".join(map(held.__getitem__, words)) for words in cut]
+        return joined_codes(cut, held, WORDS_HELD, lambda new: (np.array(ids, "<u4").tobytes() for ids in self.encode_sorted(new)))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, without the space put before the text."""

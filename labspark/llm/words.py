@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
@@ -63,3 +63,18 @@ def shingle_set(text: str | None, length: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(shingle_hashes(hashes, min(length, len(hashes))))
+
+
+def joined_codes(texts: list[list[str]], held: dict[str, bytes], limit: int, encode: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+    """The codes of each text's words, one after the other.
+
+    ``held`` keeps codes between batches; ``encode`` gives those of new words, which come distinct and sorted.
+    Beyond ``limit`` only words stay that this batch met again.
+    """
+    new = sorted({w for words in texts for w in words if w not in held})
+    if len(held) + len(new) > limit:
+        again = {w: held[w] for words in texts for w in words if w in held}
+        held.clear()
+        held.update(again)
+    held.update(zip(new, encode(new), strict=True))
+    return [b"".join(map(held.__getitem__, words)) for words in texts]
