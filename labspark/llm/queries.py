@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from labspark.llm import line_templates
+from labspark.llm.ann import nearest_neighbours
 from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
@@ -56,6 +57,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +69,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_token_files": op5_token_files,
     "op6_line_templates": op6_line_templates,
     "op7_decontamination": op7_decontamination,
+    "op9_graph_search": op9_graph_search,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,

@@ -34,7 +34,7 @@ WORDS_HELD = 500_000
 READ_IDS = 1 << 20
 
 _ASCII_SEPARATORS = re.compile("[\x1c-\x1f]")
-_WHITE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class EliasFano:
