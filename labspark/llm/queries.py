@@ -13,6 +13,7 @@ from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
 from labspark.llm.quality import quality_scores
 from labspark.llm.sentencepiece_codec import encoded_documents
+from labspark.llm.substring import repeated_passages
 from labspark.llm.token_files import token_files_of
 from labspark.llm.toxicity import toxicity_scores
 
@@ -57,6 +58,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +74,7 @@ LLM_QUERIES: dict[str, Query] = {
     "op5_token_files": op5_token_files,
     "op6_line_templates": op6_line_templates,
     "op7_decontamination": op7_decontamination,
+    "op8_substring": op8_substring,
     "op9_graph_search": op9_graph_search,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
