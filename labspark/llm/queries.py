@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.llm import line_templates
+from labspark.llm import licenses, line_templates
 from labspark.llm.ann import nearest_neighbours
 from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
@@ -66,6 +66,10 @@ def op9_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -76,7 +80,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op7_decontamination": op7_decontamination,
     "op8_substring": op8_substring,
     "op9_graph_search": op9_graph_search,
+    "op10_licenses": op10_licenses,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,
+    "op10_licenses": licenses.ORACLE,
 }
