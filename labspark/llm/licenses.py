@@ -108,7 +108,7 @@ RULES = [
 #: Every known sentence has one of these, so texts without any need not be cut.
 HINTS = ("license", "licence", "software", "rights", "copyright", "creative commons", "licensed", "licenced", "mpl", "program", "redistribution")
 
-_ENDS = {"lines": r"\n+|[.;:!?][ \t\r)\"']*[ \t\r\n]", "wrapped": r"\n[ \t\r]*\n|[.;:!?][ \t\r)\"']*[ \t\r\n]"}
+_ENDS = {"lines": r"\n+|[.;!?][ \t\r)\"']*[ \t\r\n]", "wrapped": r"\n[ \t\r]*\n|[.;!?][ \t\r)\"']*[ \t\r\n]"}
 
 
 def _normalised(sentence: Column) -> Column:
@@ -185,9 +185,9 @@ def _values(rows: list[tuple]) -> str:
 ORACLE = rf"""
 WITH known(words, rule, license_id, priority, place, size) AS (VALUES {_values([(SENTENCES[s], rule, name, p, k, len(parts)) for p, (rule, name, parts) in enumerate(RULES) for k, s in enumerate(parts)])}),
 cut AS (
-  SELECT 'lines' AS layout, doc_id, regexp_split_to_array(text, '\n+|[.;:!?][ \t\r)"'']*[ \t\r\n]') AS parts FROM documents
+  SELECT 'lines' AS layout, doc_id, regexp_split_to_array(text, '\n+|[.;!?][ \t\r)"'']*[ \t\r\n]') AS parts FROM documents
   UNION ALL
-  SELECT 'wrapped', doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n|[.;:!?][ \t\r)"'']*[ \t\r\n]') FROM documents
+  SELECT 'wrapped', doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n|[.;!?][ \t\r)"'']*[ \t\r\n]') FROM documents
 ), sentences AS (
   SELECT layout, doc_id, ord, replace(trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')), 'licence', 'license') AS words
   FROM (SELECT layout, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS ord FROM cut)
