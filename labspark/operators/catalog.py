@@ -28,7 +28,7 @@ FEATURE_TEXT_COLUMNS = [
     "taxon_id",
     "source_note",
 ]
-_PATTERNS_PER_PASS = 64
+_SALTS = 64
 
 
 def visible(include_stubs: bool = False) -> Column:
@@ -81,26 +81,23 @@ def batch_search(
     """Many searches in one scan: ``query, position`` and the taxon columns of the first hits of each.
 
     The search texts are a list in the caller's hands; each becomes a constant pattern evaluated on the row,
-    so there is no join and only real hits leave the scan.  The per-query top-k is
-    cut inside every task before the shuffle, so a query that matches everything moves ``limit`` rows per task.
+    so there is no join and only real hits leave the one scan.  The hits of a query are cut to ``limit`` in
+    parts first, so a query that matches everything never has all its hits in one task, at any limit.
     """
     base = taxa.filter(visible(include_stubs))
     texts = list(dict.fromkeys(q.strip() for q in queries))
-    hits = None
-    for start in range(0, len(texts), _PATTERNS_PER_PASS):
-        chunk = texts[start : start + _PATTERNS_PER_PASS]
-        found = F.array_compact(
-            F.array(
-                *[F.when(name_matches(q) if q else F.lit(True), F.lit(q)) for q in chunk]
-            )
-        )
-        part = base.select(F.explode(found).alias("query"), *base.columns)
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
+    if not texts:
         return base.select(F.lit("").alias("query"), F.lit(0).alias("position"), *base.columns).limit(0)
+    found = F.array_compact(
+        F.array(*[F.when(name_matches(q) if q else F.lit(True), F.lit(q)) for q in texts])
+    )
+    hits = base.select(F.explode(found).alias("query"), *base.columns)
+    part = Window.partitionBy("query", F.pmod(F.xxhash64("taxon_id"), F.lit(_SALTS))).orderBy("taxon_id")
     order = Window.partitionBy("query").orderBy("taxon_id")
     return (
-        hits.withColumn("position", F.row_number().over(order))
+        hits.withColumn("position", F.row_number().over(part))
+        .filter(F.col("position") <= limit)
+        .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= limit)
         .select("query", "position", *base.columns)
     )

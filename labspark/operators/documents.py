@@ -61,9 +61,10 @@ BIBLIOGRAPHY_MISPLACED = "\\printbibliography steht nicht direkt vor \\end{docum
 CITATION_MISSING = "Zitierter Key fehlt in literatur.bib"
 CITATION_LITERAL = "Literal-Citation-Key im sichtbaren Text gefunden."
 
-_COMMENT = r"%(?<!\\%).*"  # a percent sign that no backslash escapes
-_CITE = r"\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}"
-_NO_KEY_CHARACTERS = r"[^\w:.+/-]+"  # \w is ASCII here, and far faster than spelt-out ranges
+_COMMENT = r"(?<!\\)((?:\\\\)*)%.*"  # a percent sign after an even number of backslashes
+_CITE = r"\\[A-Za-z]*[Cc]ite[A-Za-z]*\*?(?:\s*(?:\[[^\]]*\]\s*)*\{[^}]*\})+"
+_NO_KEY_CHARACTERS = r"[^\p{L}\p{M}\p{N}_:.+/-]+"
+_EVERY_ENTRY = "*"  # the key of a \\nocite that names the whole bibliography
 _STOPS = ".:+/-"
 
 
@@ -94,6 +95,7 @@ def text_violations(text: Column, rules: Sequence[TextRule] = TEXT_RULES) -> Col
 
 
 def bibliography_violations(tex: Column) -> Column:
+    tex = without_comments(tex)
     absent = ~tex.contains("\\printbibliography")
     placed = tex.rlike(r"\\printbibliography\s*\\end\{document\}")
     return F.array_compact(
@@ -108,12 +110,14 @@ def bibliography_violations(tex: Column) -> Column:
 
 
 def without_comments(tex: Column) -> Column:
-    return F.regexp_replace(tex, _COMMENT, "")
+    return F.regexp_replace(tex, _COMMENT, "$1")
 
 
 def cited_keys(tex: Column) -> Column:
-    """Distinct keys cited outside comments; a citation may name several."""
-    groups = F.regexp_extract_all(without_comments(tex), F.lit(_CITE), F.lit(1))
+    """Distinct keys cited outside comments; a citation may have several groups of several keys."""
+    commands = F.regexp_extract_all(without_comments(tex), F.lit(_CITE), F.lit(0))
+    bare = F.transform(commands, lambda c: F.regexp_replace(c, r"\[[^\]]*\]", ""))
+    groups = F.flatten(F.transform(bare, lambda c: F.regexp_extract_all(c, F.lit(r"\{([^}]*)\}"), F.lit(1))))
     keys = F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda k: F.trim(k))))
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
@@ -135,6 +139,7 @@ def missing_citations(cited: DataFrame, bib: DataFrame, per_document: bool = Tru
     With one bibliography for all, the keys are counted first, so a key cited by every document
     reaches the anti join as one row.
     """
+    cited = cited.filter(F.col("key") != _EVERY_ENTRY)
     if per_document:
         return cited.join(bib.select("doc_id", "key").distinct(), ["doc_id", "key"], "left_anti")
     counted = cited.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -142,56 +147,68 @@ def missing_citations(cited: DataFrame, bib: DataFrame, per_document: bool = Tru
 
 
 def uncited_entries(cited: DataFrame, bib: DataFrame, per_document: bool = True) -> DataFrame:
+    """Bibliography entries that nothing cites; a document that cites every entry leaves none."""
     keys = ["doc_id", "key"] if per_document else ["key"]
-    return bib.select(*keys).distinct().join(cited.select(*keys).distinct(), keys, "left_anti")
+    left = bib.select(*keys).distinct().join(cited.select(*keys).distinct(), keys, "left_anti")
+    every = cited.filter(F.col("key") == _EVERY_ENTRY)
+    if per_document:
+        return left.join(every.select("doc_id").distinct(), "doc_id", "left_anti")
+    return left.join(every.select(F.lit(True).alias("_all")).limit(1), F.col("_all"), "left_anti")
+
+
+def with_entries(docs: DataFrame, bib: DataFrame) -> DataFrame:
+    """``docs`` with ``bib_keys``, the distinct keys of the document's own bibliography, bounded by its file."""
+    entries = bib.groupBy("doc_id").agg(F.collect_set("key").alias("bib_keys"))
+    empty = F.array().cast("array<string>")
+    return docs.join(entries, "doc_id", "left").withColumn("bib_keys", F.coalesce("bib_keys", empty))
 
 
-def citation_violations(docs: DataFrame, bib: DataFrame) -> DataFrame:
-    """``doc_id, rule_id, severity, message, detail`` of cited keys that are missing and of literal keys.
+def key_violations(tex: Column, entries: Column) -> Column:
+    """Array of cited keys that are missing and of literal keys of one document.
 
     A literal key is an entry of the document's bibliography that stands as a plain word in its text.
-    Cited keys and words of a document are told apart by a flag and meet the bibliography in one join.
     """
-    tex = F.col("tex")
-    keyed = F.concat(
-        F.transform(cited_keys(tex), lambda k: F.struct(F.lit(True).alias("cited"), k.alias("key"))),
-        F.transform(visible_words(tex), lambda w: F.struct(F.lit(False).alias("cited"), w.alias("key"))),
+    missing = F.array_except(cited_keys(tex), F.concat(entries, F.array(F.lit(_EVERY_ENTRY))))
+    literal = F.array_intersect(entries, visible_words(tex))
+    return F.concat(
+        F.transform(missing, lambda k: violation("citation_missing", "error", CITATION_MISSING, k)),
+        F.transform(literal, lambda k: violation("citation_literal", "error", CITATION_LITERAL, k)),
     )
-    entries = bib.select("doc_id", "key").distinct().withColumn("listed", F.lit(True))
-    met = docs.select("doc_id", F.explode(keyed).alias("k")).select("doc_id", "k.*").join(
-        entries, ["doc_id", "key"], "left"
-    )
-    cited, listed = F.col("cited"), F.col("listed").isNotNull()
-    found = F.when(
-        cited & ~listed, violation("citation_missing", "error", CITATION_MISSING, F.col("key"))
-    ).when(~cited & listed, violation("citation_literal", "error", CITATION_LITERAL, F.col("key")))
-    return met.select("doc_id", found.alias("v")).filter("v is not null").select("doc_id", "v.*")
 
 
-def violations(docs: DataFrame, bib: DataFrame | None = None, rules: Sequence[TextRule] = TEXT_RULES) -> DataFrame:
-    """Every violated rule of every document, one row each."""
+def _exploded(docs: DataFrame, found: Column, keep: Sequence[str]) -> DataFrame:
+    return docs.select("doc_id", *keep, F.explode(found).alias("v")).select("doc_id", *keep, "v.*")
+
+
+def citation_violations(docs: DataFrame, bib: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, <keep>, rule_id, severity, message, detail`` of cited keys that are missing and of literal keys."""
+    return _exploded(with_entries(docs, bib), key_violations(F.col("tex"), F.col("bib_keys")), keep)
+
+
+def violations(
+    docs: DataFrame,
+    bib: DataFrame | None = None,
+    rules: Sequence[TextRule] = TEXT_RULES,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Every violated rule of every document, one row each, with the columns ``keep`` of the document."""
     own = F.concat(text_violations(F.col("tex"), rules), bibliography_violations(F.col("tex")))
-    found = docs.select("doc_id", F.explode(own).alias("v")).select("doc_id", "v.*")
-    return found if bib is None else found.unionByName(citation_violations(docs, bib))
+    if bib is None:
+        return _exploded(docs, own, keep)
+    keys = key_violations(F.col("tex"), F.col("bib_keys"))
+    return _exploded(with_entries(docs, bib), F.concat(own, keys), keep)
 
 
 def quality_report(docs: DataFrame, bib: DataFrame, rules: Sequence[TextRule] = TEXT_RULES) -> DataFrame:
     """``doc_id, n_errors, n_warnings, passed`` of every document; ``violations`` has the messages.
 
-    Counts of the text rules come from the document's own row; only citation findings are joined, one row
-    per document.
+    Everything is counted on the document's own row, which its bibliography's keys are joined to.
     """
     own = F.concat(text_violations(F.col("tex"), rules), bibliography_violations(F.col("tex")))
-    keyed = citation_violations(docs, bib).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_key_errors"))
-    local = docs.select("doc_id", own.alias("own")).select(
-        "doc_id",
-        F.size(F.filter("own", lambda v: v["severity"] == "error")).alias("n_own_errors"),
-        F.size(F.filter("own", lambda v: v["severity"] == "warning")).alias("n_warnings"),
-    )
-    errors = F.col("n_own_errors") + F.coalesce("n_key_errors", F.lit(0))
-    return local.join(keyed, "doc_id", "left").select(
+    keys = key_violations(F.col("tex"), F.col("bib_keys"))
+    counted = with_entries(docs, bib).select(
         "doc_id",
-        errors.cast("bigint").alias("n_errors"),
-        F.col("n_warnings").cast("bigint"),
-        (errors == 0).alias("passed"),
+        (F.size(F.filter(own, lambda v: v["severity"] == "error")) + F.size(keys)).cast("bigint").alias("n_errors"),
+        F.size(F.filter(own, lambda v: v["severity"] == "warning")).cast("bigint").alias("n_warnings"),
     )
+    return counted.withColumn("passed", F.col("n_errors") == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labspark.functions.numeric import ratio
+from labspark.functions.numeric import finite, ratio
 from labspark.functions.propagation import (
     EARTH_RATE_DEG_PER_H,
     EARTH_RATE_RAD_PER_S,
@@ -21,6 +21,7 @@ RADIAN_UNITS = ["rad", "radian", "rad/s"]
 REASON_UNIT = (
     "Breitengrad nicht berechenbar: Winkeleinheit bzw. omega_mess_rad_s wurde nicht explizit bereitgestellt."
 )
+REASON_RATE = "Breitengrad nicht berechenbar: omega_mess_rad_s ist keine endliche Zahl."
 REASON_DOMAIN = (
     "Breitengrad nicht berechenbar: omega_mess / Omega_Erde liegt außerhalb des Definitionsbereichs von arcsin."
 )
@@ -112,11 +113,14 @@ def physics_sums(rows: DataFrame) -> DataFrame:
 def latitude_from_rate(regression: DataFrame, metadata: DataFrame) -> DataFrame:
     """Signed latitude from an explicit angular velocity, or from the slope if its unit is radian.
 
-    ``metadata(dataset_id, metadata MAP<STRING,STRING>)`` may lack a dataset.
+    ``metadata(dataset_id, metadata MAP<STRING,STRING>)`` may lack a dataset.  A rate that is given but is no
+    finite number makes the latitude not computable, whatever the slope is.
     """
-    given = F.try_element_at("metadata", F.lit("omega_mess_rad_s")).try_cast("double")
+    text = F.try_element_at("metadata", F.lit("omega_mess_rad_s"))
+    given = finite(text.try_cast("double"))
+    unreadable = text.isNotNull() & given.isNull()
     unit = F.lower(F.try_element_at("metadata", F.lit("angle_unit")))
-    omega = F.coalesce(given, F.when(unit.isin(RADIAN_UNITS), F.col("slope")))
+    omega = F.coalesce(given, F.when(text.isNull() & unit.isin(RADIAN_UNITS), F.col("slope")))
     share = omega / F.lit(EARTH_RATE_RAD_PER_S)
     inside = F.abs(share) <= 1
     return (
@@ -125,7 +129,7 @@ def latitude_from_rate(regression: DataFrame, metadata: DataFrame) -> DataFrame:
         .select(
             "dataset_id",
             (~F.coalesce(inside, F.lit(False))).alias("not_computable"),
-            F.when(omega.isNull(), REASON_UNIT).when(~inside, REASON_DOMAIN).alias("reason"),
+            F.when(unreadable, REASON_RATE).when(omega.isNull(), REASON_UNIT).when(~inside, REASON_DOMAIN).alias("reason"),
             omega.alias("omega_mess_rad_s"),
             F.when(inside, share).alias("ratio"),
             F.when(inside, F.degrees(F.asin(share))).alias("latitude_deg"),

@@ -210,7 +210,7 @@ def item(df: DataFrame, item_id: str, data: Column, include: Column | None = Non
     return df.select(
         "dataset_id",
         F.lit(array).alias("source_array"),
-        F.lit(place * 1000).alias("ord"),
+        _ord(place).alias("ord"),
         F.lit(item_id).alias("id"),
         F.lit(array.rstrip("s")).alias("type"),
         F.lit(title).alias("title"),
@@ -222,6 +222,11 @@ def item(df: DataFrame, item_id: str, data: Column, include: Column | None = Non
     )
 
 
+def _ord(group: int, place: Column | None = None) -> Column:
+    """Sort key of an item: its group, then its place, which is a 32-bit number and so never reaches the next group."""
+    return F.lit(group << 32).cast("bigint") + (F.lit(0) if place is None else place)
+
+
 def _warning(item_id: Column, ord_: Column, title: Column, description: Column, data: Column) -> list[Column]:
     return [
         F.lit("warnings").alias("source_array"),
@@ -261,7 +266,7 @@ def column_warnings(named_profile: DataFrame) -> DataFrame:
         "dataset_id",
         *_warning(
             F.concat_ws("_", "_kind", "column"),
-            F.lit(1000) + F.col("col_idx"),
+            _ord(1, F.col("col_idx")),
             F.concat_ws(": ", "_text.title", "column"),
             F.col("_text.description"),
             json_text(F.struct("column")),
@@ -298,7 +303,7 @@ def dataset_warnings(flags: DataFrame) -> DataFrame:
                 condition,
                 F.struct(
                     *_warning(
-                        F.lit(item_id), F.lit(place * 1000), F.lit(title), F.lit(description), F.lit(data)
+                        F.lit(item_id), _ord(place), F.lit(title), F.lit(description), F.lit(data)
                     )
                 ),
             )
@@ -311,7 +316,7 @@ def dataset_warnings(flags: DataFrame) -> DataFrame:
                 F.struct(
                     *_warning(
                         F.lit(f"missing_{name}"),
-                        F.lit(6000 + i),
+                        _ord(6, F.lit(i)),
                         F.lit(f"Fehlender Parameter: {name}"),
                         F.lit(f"{name} wurde nicht in den Metadaten bereitgestellt."),
                         F.lit('{"not_computable":true}'),

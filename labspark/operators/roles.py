@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.functions.numeric import as_number, finite
+from labspark.sources.delimited import ERROR_STRUCTURE
 
 # Patterns searched in lower-cased column names; the first column in file order wins.
 ROLE_PATTERNS = {
@@ -108,21 +109,37 @@ def tracking_samples(rows: DataFrame, layouts: DataFrame | None = None) -> DataF
     """``samples(dataset_id, row_idx, t, x, y, area)`` of the valid rows.
 
     ``rows`` must carry ``names``; where a file has a column ``valid``, only rows with the value 1 stay.
+    Infinite cells count as missing.  Files with a row that is longer than the header or has an open quote
+    are reported by :func:`tracking_problems` and yield no sample.
     """
-    bound = with_tracking_roles(rows)
+    broken = rows.filter(is_broken()).select("dataset_id").distinct()
+    bound = with_tracking_roles(rows.join(broken, "dataset_id", "left_anti"))
     valid = F.col("role_valid").isNull() | (role_value("valid") == 1)
     return bound.filter(valid).select(
-        "dataset_id", "row_idx", *[role_value(role).alias(role) for role in ("t", "x", "y", "area")]
+        "dataset_id", "row_idx", *[finite(role_value(role)).alias(role) for role in ("t", "x", "y", "area")]
     )
 
 
-def tracking_problems(layouts: DataFrame) -> DataFrame:
-    """Files without a time column (error) or without x or y (statistics only)."""
+def is_broken() -> Column:
+    """Whether a parsed row is longer than its header or leaves a quote open."""
+    return (F.col("n_fields") > F.col("_width")) | F.col("malformed")
+
+
+def tracking_problems(layouts: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """Files without a time column or with a broken row (error), or without x or y (statistics only)."""
     bound = with_tracking_roles(layouts)
+    if rows is not None:
+        broken = rows.groupBy("dataset_id").agg(F.max(is_broken()).alias("_broken"))
+        bound = bound.join(broken, "dataset_id", "left")
+    else:
+        bound = bound.withColumn("_broken", F.lit(False))
+    broken = F.coalesce("_broken", F.lit(False))
     no_time = F.col("role_t").isNull()
     no_track = F.col("role_x").isNull() | F.col("role_y").isNull()
-    return bound.filter(no_time | no_track).select(
+    return bound.filter(broken | no_time | no_track).select(
         "dataset_id",
-        F.when(no_time, "Keine Zeitspalte (t/time/zeit) gefunden").alias("error"),
-        F.when(~no_time, "Nur Statistik verfuegbar (x/y-Spalten fehlen)").alias("hint"),
+        F.when(broken, ERROR_STRUCTURE)
+        .when(no_time, "Keine Zeitspalte (t/time/zeit) gefunden")
+        .alias("error"),
+        F.when(~broken & ~no_time, "Nur Statistik verfuegbar (x/y-Spalten fehlen)").alias("hint"),
     )

@@ -189,7 +189,7 @@ _BATCH = " UNION ALL ".join(
 
 _DOCS = r"""
 docs AS (
-  SELECT doc_id, lang, text || ' \cite[S.~1]{' || lower(regexp_extract(text, '[A-Za-z]+')) || ', quelle2023}' ||
+  SELECT doc_id, lang, text || ' \cite[S.~1]{' || lower(regexp_extract(text, '\p{L}+')) || ', quelle2023}' ||
     CASE doc_id % 4 WHEN 1 THEN chr(10) || '\printbibliography' || chr(10) || '\end{document}'
                     WHEN 2 THEN chr(10) || '\printbibliography siehe oben \end{document}'
                     WHEN 3 THEN chr(10) || '% \cite{nirgends} TODO' || chr(10) || '\printbibliography \end{document}'
@@ -198,24 +198,24 @@ docs AS (
 ),
 bib AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN quality = 1
-    THEN [lower(regexp_extract(text, '[A-Za-z]+')), 'quelle2023'] ELSE ['quelle2023', 'the'] END) AS key
+    THEN [lower(regexp_extract(text, '\p{L}+')), 'quelle2023'] ELSE ['quelle2023', 'the'] END) AS key
   FROM documents JOIN labels USING (doc_id)
 ),
 bare AS (
-  SELECT doc_id, regexp_replace(tex, '(^|[^\\])%[^\n]*', '\1', 'g') AS tex FROM docs
+  SELECT doc_id, lang, regexp_replace(tex, '(^|[^\\])((?:\\\\)*)%[^\n]*', '\1\2', 'g') AS tex FROM docs
 ),
 cited AS (
   SELECT DISTINCT doc_id, trim(k) AS key FROM (
     SELECT doc_id, unnest(string_split(keys, ',')) AS k FROM (
-      SELECT doc_id, unnest(regexp_extract_all(tex, '\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}', 1)) AS keys
+      SELECT doc_id, unnest(regexp_extract_all(tex, '\\[A-Za-z]*[Cc]ite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}', 1)) AS keys
       FROM bare)
   ) WHERE trim(k) <> ''
 ),
 words AS (
   SELECT DISTINCT doc_id, regexp_replace(w, '^[.:+/-]+|[.:+/-]+$', '', 'g') AS key FROM (
     SELECT doc_id, unnest(regexp_extract_all(
-      regexp_replace(tex, '\\cite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}', ' ', 'g'),
-      '([A-Za-z0-9_:.+/-]+)', 1)) AS w FROM bare
+      regexp_replace(tex, '\\[A-Za-z]*[Cc]ite[a-zA-Z]*\*?(?:\[[^\]]*\])*\{([^}]*)\}', ' ', 'g'),
+      '([\p{L}\p{M}\p{N}_:.+/-]+)', 1)) AS w FROM bare
   )
 ),
 key_errors AS (
@@ -239,8 +239,8 @@ _RULES = " UNION ALL ".join(
 _OWN = rf"""
 own AS (
   {_RULES}
-  UNION ALL SELECT doc_id, lang, 'bibliography_missing', 'error' FROM docs WHERE NOT contains(tex, '\printbibliography')
-  UNION ALL SELECT doc_id, lang, 'bibliography_misplaced', 'error' FROM docs
+  UNION ALL SELECT doc_id, lang, 'bibliography_missing', 'error' FROM bare WHERE NOT contains(tex, '\printbibliography')
+  UNION ALL SELECT doc_id, lang, 'bibliography_misplaced', 'error' FROM bare
     WHERE contains(tex, '\printbibliography')
       AND NOT regexp_matches(tex, '\\printbibliography\s*\\end\{{document\}}')
 )"""
@@ -341,7 +341,7 @@ SELECT user_id, n, round(p_value, 6) AS p_value FROM p""",
         ),
         "file_stats": f"""
 WITH {_CELLS}
-SELECT dataset_id, col_idx, "column", count(num) AS n, CASE WHEN abs(avg(num)) < 1000 THEN round(avg(num), 7) ELSE round(avg(num), 2) END AS mean,
+SELECT dataset_id, col_idx, "column", count(num) AS n, CAST(avg(num) AS FLOAT) AS mean,
        round(stddev_samp(num), 4) AS sample_std, round(stddev_samp(num) / sqrt(count(num)), 5) AS sem,
        min(num) AS "min", max(num) AS "max", CAST(0 AS BIGINT) AS nonfinite_count
 FROM cells GROUP BY dataset_id, col_idx, "column" HAVING count(num) > 0""",
@@ -618,9 +618,9 @@ SELECT d.doc_id, count(*) FILTER (WHERE severity = 'error') AS n_errors,
        count(*) FILTER (WHERE severity = 'warning') AS n_warnings,
        count(*) FILTER (WHERE severity = 'error') = 0 AS passed
 FROM docs d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id""",
-        "citations_missing": """
-WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM documents),
-b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS key FROM benchmark)
+        "citations_missing": r"""
+WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS key FROM documents),
+b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS key FROM benchmark)
 SELECT key, count(*) AS n_docs FROM c ANTI JOIN b USING (key) GROUP BY key""",
         "fence_clean": r"""
 WITH w AS (
@@ -683,7 +683,7 @@ SELECT dataset_id, max(row_count) AS row_count, CAST(4 AS BIGINT) AS column_coun
 FROM blocks JOIN sizes USING (dataset_id) GROUP BY dataset_id""",
         "arrival_statistics": f"""
 WITH {_CELLS}
-SELECT dataset_id, "column", count(num) AS n, CASE WHEN abs(avg(num)) < 1000 THEN round(avg(num), 7) ELSE round(avg(num), 2) END AS mean, min(num) AS "min", max(num) AS "max"
+SELECT dataset_id, "column", count(num) AS n, CAST(avg(num) AS FLOAT) AS mean, min(num) AS "min", max(num) AS "max"
 FROM cells GROUP BY dataset_id, "column" HAVING count(num) > 0""",
     }
     return queries

@@ -7,7 +7,7 @@ documents are protocols.  All queries use the whole tables.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +22,13 @@ from labspark.operators import pendulum as p
 from labspark.operators import roles as role_ops
 from labspark.plans.analysis import Analysis, analyse, measurement_rows
 from labspark.plans.pendulum_run import evaluate_traces
-from labspark.session import checkpoint_dir, configure, cut_lineage, spread
+from labspark.session import checkpoint_dir, cut_lineage
 from labspark.sources import delimited, tracking
 from labspark.streaming.arrival import analyse_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_EVENTS = 200
-EPOCH_MICROS = 1_704_067_200_000_000
+EPOCH = "2024-01-01 00:00:00"  # the times of the events have no zone
 # Headers of the derived measurement files, by run number modulo six: (delimiter, header).
 RUN_KINDS = [
     (",", "time,angle,k,event_type"),
@@ -47,12 +47,12 @@ EXTRA_TERMS = ["apache", "license", "copyright", "example.com"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def event_seconds() -> Column:
     """Exact seconds of an event since the start of 2024, with six decimals."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_MICROS)
+    micros = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(EPOCH)), F.col("ts"))
     return (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
 
 
@@ -90,7 +90,7 @@ def measurement_lines(events: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measurement_lines(spread(table(spark, sf_dir, "events")))
+    return measurement_lines(table(spark, sf_dir, "events"))
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +205,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def protocols(docs: DataFrame) -> DataFrame:
     """Documents as protocol texts: every text whole, with a citation and an ending that varies."""
-    first = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+    first = F.lower(F.regexp_extract("text", r"\p{L}+", 0))
     ending = (
         F.when(F.col("doc_id") % 4 == 1, "\n\\printbibliography\n\\end{document}")
         .when(F.col("doc_id") % 4 == 2, "\n\\printbibliography siehe oben \\end{document}")
@@ -221,7 +221,7 @@ def protocols(docs: DataFrame) -> DataFrame:
 
 def bibliography(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of the documents with a label: the first word (good quality) or ``quelle2023`` and ``the``."""
-    first = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+    first = F.lower(F.regexp_extract("text", r"\p{L}+", 0))
     keys = F.when(F.col("quality") == 1, F.array(first, F.lit("quelle2023"))).otherwise(
         F.array(F.lit("quelle2023"), F.lit("the"))
     )
@@ -229,7 +229,7 @@ def bibliography(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _protocols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     return protocols(docs), bibliography(docs, table(spark, sf_dir, "labels"))
 
 
@@ -260,8 +260,8 @@ def typed_payloads(events: DataFrame) -> DataFrame:
 
 
 def _mean_digits(mean: Column) -> Column:
-    """Digits that keep means of few-decimal numbers off a rounding tie."""
-    return F.when(F.abs(mean) < 1000, F.round(mean, 7)).otherwise(F.round(mean, 2))
+    """Single precision, so that sums taken in another order compare equal at any magnitude."""
+    return mean.cast("float")
 
 
 # ── measurement files ────────────────────────────────────────────────────────────────────────────
@@ -756,18 +756,14 @@ def scope_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forbidden_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = [*documents.FORBIDDEN_TERMS, *EXTRA_TERMS]
-    return documents.forbidden_terms(spread(table(spark, sf_dir, "documents")), "doc_id", "text", terms)
+    return documents.forbidden_terms(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
 
 
 def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations of text and bibliography rules per language, rule and severity."""
     tex, _ = _protocols(spark, sf_dir)
-    found = documents.violations(tex, rules=[*documents.TEXT_RULES, *EXTRA_RULES])
-    return (
-        found.join(tex.select("doc_id", "lang"), "doc_id")
-        .groupBy("lang", "rule_id", "severity")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    found = documents.violations(tex, rules=[*documents.TEXT_RULES, *EXTRA_RULES], keep=["lang"])
+    return found.groupBy("lang", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def citation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -787,13 +783,13 @@ def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(df: DataFrame, id_column: str) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     return df.select(id_column, F.explode(words).alias("key"))
 
 
 def citations_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents that no benchmark text contains, with the number of documents."""
-    cited = _tokens(spread(table(spark, sf_dir, "documents")), "doc_id")
+    cited = _tokens(table(spark, sf_dir, "documents"), "doc_id")
     known = _tokens(table(spark, sf_dir, "benchmark"), "item_id")
     return documents.missing_citations(cited, known, per_document=False)
 
@@ -821,7 +817,7 @@ def payload_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_scrub_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same payloads as text of unknown schema, nulls written out."""
-    df = typed_payloads(spread(table(spark, sf_dir, "events")))
+    df = typed_payloads(table(spark, sf_dir, "events"))
     text = F.to_json("payload", {"ignoreNullFields": "false"})
     clean = df.select("event_id", payload.scrub_open_json(text).alias("c"))
     return clean.select(
@@ -838,7 +834,7 @@ def generation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests made from documents: preferred fields, plain messages or neither."""
     kind = F.col("doc_id") % 4
     none = F.lit(None).cast("string")
-    requests = spread(table(spark, sf_dir, "documents")).select(
+    requests = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("request_id"),
         F.when(kind == 0, F.lit("Kurz.")).alias("system"),
         F.when(kind == 2, F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("csv")))))
@@ -912,15 +908,13 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrival_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement files analysed by the streaming query, read from the table it wrote."""
-    configure(spark)
-    base = checkpoint_dir(spark).rstrip("/")
-    local = base if "://" in base and not base.startswith("file:") else None
-    root = f"{local}/arrival-{spark.sparkContext.applicationId}" if local else tempfile.mkdtemp(
-        prefix="arrival-", dir=base.removeprefix("file:").replace("//", "/")
-    )
+    root = f"{checkpoint_dir(spark).rstrip('/')}/arrival-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     stream = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", (1 << 31) - 1)  # runs may cross files, so all files are one batch
+        .parquet(sf_dir)
     )
     query = analyse_arrivals(measurement_lines(stream), f"{root}/out", f"{root}/progress")
     query.awaitTermination()

@@ -7,19 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings the operators rely on (all are changeable per session).
-
-    Times are compared as UTC.  Adaptive execution resizes shuffle partitions and splits skewed
-    join partitions; operators that would need more than that work on row blocks instead.
-    """
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    return spark
-
-
 def local_session(cpus: int | str = 8, app: str = "labspark", **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     builder = (
@@ -30,10 +17,11 @@ def local_session(cpus: int | str = 8, app: str = "labspark", **conf: str) -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    spark = configure(builder.getOrCreate())
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -65,13 +53,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors recompute nothing above it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small scan before costly work on its rows.
-
-    Only where the scan has fewer splits than the cluster has cores, so a large input, which has many
-    more, is never moved.  ``df`` must be a plain scan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -52,7 +52,7 @@ def _unquote(field: Column) -> Column:
 
 def split_fields(line: Column, delimiter: Column) -> Column:
     """The fields of a line as an array; quotes are only looked at where the line has any."""
-    result = F.when(delimiter.isNull(), F.array(line))
+    result = F.when(delimiter.isNull(), F.array(_unquote(line)))
     for d in DELIMITERS:
         plain = F.split(line, d, -1)
         quoted = F.transform(
@@ -69,12 +69,12 @@ def is_malformed(line: Column, delimiter: Column) -> Column:
     for d in DELIMITERS:
         pattern = f"^(?:{_field_pattern(d)})+$"
         broken = F.when(delimiter == d, ~F.concat(F.lit(d), line).rlike(pattern)).otherwise(broken)
-    alone = delimiter.isNull() & (F.length(line) - F.length(F.replace(line, F.lit('"'))) % 2 == 1)
+    alone = delimiter.isNull() & ((F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1)
     return line.contains('"') & (broken | alone)
 
 
 def _names(header: Column, delimiter: Column) -> Column:
-    """Column names: empty ones get a position name, repeated ones a running suffix."""
+    """Column names: empty ones get a position name, repeated ones the first suffix that no column uses."""
     named = F.transform(
         split_fields(header, delimiter),
         lambda name, i: F.when(name == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(
@@ -82,13 +82,16 @@ def _names(header: Column, delimiter: Column) -> Column:
         ),
     )
 
-    def suffixed(name: Column, i: Column) -> Column:
-        earlier = F.size(F.filter(F.slice(named, 1, i), lambda other: other == name))
-        return F.when(
-            (i > 0) & (earlier > 0), F.concat(name, F.lit("."), earlier.cast("string"))
-        ).otherwise(name)
+    def appended(earlier: Column, name: Column) -> Column:
+        taken = F.concat(named, earlier)
+        suffixed = F.transform(
+            F.sequence(F.lit(1), F.size(named)), lambda k: F.concat(name, F.lit("."), k.cast("string"))
+        )
+        free = F.filter(suffixed, lambda other: ~F.array_contains(taken, other))
+        own = F.when(F.array_contains(earlier, name), F.get(free, F.lit(0))).otherwise(name)
+        return F.concat(earlier, F.array(own))
 
-    return F.transform(named, suffixed)
+    return F.aggregate(named, F.array().cast("array<string>"), appended)
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -118,18 +121,13 @@ def parse_rows(
     the row is short.
     ``carry`` names further layout columns to put on every row.
     """
-    known = (
-        layouts.filter("header is not null")
-        .select(
-            "dataset_id",
-            "delimiter",
-            "header_idx",
-            F.size("names").alias("_width"),
-            *carry,
-            F.explode(
-                F.sequence(_block("header_idx", block_rows), _block("last_idx", block_rows))
-            ).alias(_BLOCK),
-        )
+    # Row numbers may have wide gaps, so only blocks that hold lines take part.
+    blocks = lines.select("dataset_id", _block("row_idx", block_rows).alias(_BLOCK)).distinct()
+    known = blocks.join(
+        layouts.filter("header is not null").select(
+            "dataset_id", "delimiter", "header_idx", F.size("names").alias("_width"), *carry
+        ),
+        "dataset_id",
     )
     line, delimiter = F.col("line"), F.col("delimiter")
     data = (
