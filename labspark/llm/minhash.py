@@ -6,10 +6,13 @@ similarity, and pairs that may reach the threshold are confirmed on the full set
 
 Completeness.  Two sets with similarity 0.85 share at least half of their ``INDEXED`` smallest hashes with
 probability above 1 - 1e-6.  A document therefore enters only the lists of its rarest values, just so many
-that a pair sharing half of them must meet in one (prefix rule).  A list first links its members to its
-smallest member.  Only members that are then in different components are compared with each other, so a
-group of copies costs one link per copy and never all its pairs.  The estimate's margin is more than five
-standard deviations.
+that a pair sharing half of them must meet in one (prefix rule).  A list links its members to the member
+with most shared values, so a group of copies costs one link per copy and never all its pairs.
+
+Lists whose members are then still in different components go on exactly: the full sets of their documents
+are indexed by their rarest shingles, again linked to one member first, and only then are members of
+different components compared, if the shingles that no other such document has leave the threshold within
+reach.  The estimate's margin is more than five standard deviations.
 """
 
 from __future__ import annotations
@@ -51,27 +54,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
         "classes",
     )
     lists = written(_inverted_lists(classes), "lists")
-    heads = lists.groupBy("value").agg(F.min("rep").alias("head"))
-    members = lists.join(heads, "value")
-    near = [_links(_pairs(members.withColumnsRenamed({"rep": "a", "head": "b"}).select("a", "b")), classes, docs, shingle, percent)]
-    found = components(near[0])
-
-    named = lists.join(found, lists["rep"] == found["node"], "left").select(
-        "value", "rep", "n", F.coalesce("component", "rep").alias("component")
-    )
-    mixed = named.groupBy("value").agg(
-        F.min("rep").alias("head"), F.min_by("component", "rep").alias("main"), F.max("component").alias("top"), F.min("component").alias("low")
-    ).where("top != low").select("value", "head", "main")
-    named = written(named.join(mixed, "value").where("rep != head"), "mixed")
-    other = named.select("value", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("with"))
-    across = (
-        named.where("component != main")
-        .join(other, "value")
-        .where(f"component != with and 100 * least(n, m) >= {percent} * greatest(n, m)")
-        .select(F.col("rep").alias("a"), "b")
+    heads = lists.groupBy("value").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("head"))
+    near = _links(_pairs(lists.join(heads, "value").select(F.col("rep").alias("a"), F.col("head").alias("b"))), classes, docs, shingle, percent)
+
+    named = _with_component(lists, components(near))
+    open_lists = named.groupBy("value").agg(F.max("component").alias("top"), F.min("component").alias("low")).where("top != low")
+    core = named.join(open_lists, "value", "left_semi").select("rep").distinct()
+    exact = written(_rarest_shingles(docs.join(core.toDF("doc_id"), "doc_id", "left_semi"), shingle, percent), "exact")
+    heads = exact.groupBy("value").agg(F.min(F.struct("alone", "rep", "n")).alias("h"))
+    members = exact.join(heads, "value").select("rep", "n", "alone", F.col("h.rep").alias("b"), F.col("h.n").alias("m"), F.col("h.alone").alias("free"))
+    near = near.union(_links(_pairs(members.where(_reachable(percent)).select(F.col("rep").alias("a"), "b")), classes, docs, shingle, percent))
+
+    named = _with_component(exact, components(near))
+    mixed = (
+        named.groupBy("value")
+        .agg(F.min_by("component", F.struct("alone", "rep")).alias("main"), F.max("component").alias("top"), F.min("component").alias("low"))
+        .where("top != low")
+        .select("value", "main")
     )
-    near.append(_links(_pairs(across), classes, docs, shingle, percent))
-    found = components(near[0].union(near[1]))
+    named = written(named.join(mixed, "value"), "mixed")
+    other = named.select("value", *(F.col(c).alias(d) for c, d in (("rep", "b"), ("n", "m"), ("alone", "free"), ("at", "place"), ("component", "with"))))
+    across = named.where("component != main").join(other, "value").where("component != with").where(_reachable(percent))
+    # The first shingle that both lists hold bounds what can follow.
+    across = across.where(f"100 * least(n - at, m - place) >= {percent} * (n + m - least(n - at, m - place))")
+    near = near.union(_links(_pairs(across.select(F.col("rep").alias("a"), "b")), classes, docs, shingle, percent))
+    found = components(near)
 
     reps = sketches.select("doc_id", "n_shingles", "signature").join(classes.select("signature", "rep"), "signature", "left")
     # Rows that repeat a doc_id with another text tie their classes together.
@@ -106,8 +113,46 @@ def _sketcher(shingle: int):
     return run
 
 
+def _with_component(lists: DataFrame, found: DataFrame) -> DataFrame:
+    return lists.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _reachable(percent: int) -> str:
+    """Whether the shingles that each of two sets has alone leave the threshold within reach."""
+    common = "least(n - alone, m - free)"
+    return f"100 * {common} >= {percent} * (n + m - {common})"
+
+
+def _rarest_shingles(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(value, rep, n, alone, at): each document under the rarest shingles of its full set.
+
+    ``alone`` counts its shingles that no other of ``docs`` has, ``at`` is the shingle's place by rarity.  Two
+    sets that reach the threshold share one of their first ``n - ceil(n * percent / 100) + 1`` shingles.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                hashes = shingle_set(text.as_py(), shingle).view(np.int64)
+                rep, n = np.full(len(hashes), doc.as_py(), np.int64), np.full(len(hashes), len(hashes), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(rep), pa.array(n)], ["value", "rep", "n"])
+
+    rows = docs.mapInArrow(flat, "value long, rep long, n long")
+    frequent = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(frequent, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    places = F.expr(f"n - (n * {percent} + 99) div 100 + 1 - (n - size(values))").cast("int")
+    return (
+        shared.where(places > 0)
+        .select("rep", "n", (F.col("n") - F.size("values")).alias("alone"), F.posexplode(F.slice("values", F.lit(1), places)).alias("at", "x"))
+        .select(F.col("x.value").alias("value"), "rep", "n", "alone", (F.col("at") + F.col("alone")).alias("at"))
+    )
+
+
 def _inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, rep, n): each class under its rarest retained values, values of one class left out."""
+    """(value, rep, shared): each class under its rarest retained values, values of one class left out.
+
+    ``shared`` counts the class's retained values that other classes have.
+    """
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,21 +163,20 @@ def _inverted_lists(classes: DataFrame) -> DataFrame:
                 [
                     pa.array(np.concatenate(sketches) if sketches else np.empty(0, np.int64)),
                     batch.column("rep").take(pa.array(rows)),
-                    batch.column("n").take(pa.array(rows)),
                     pa.array(sizes[rows]),
                 ],
-                ["value", "rep", "n", "held"],
+                ["value", "rep", "held"],
             )
 
-    flat = classes.select("rep", "n", "sketch").mapInArrow(values, "value long, rep long, n long, held long")
+    flat = classes.select("rep", "sketch").mapInArrow(values, "value long, rep long, held long")
     frequent = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = flat.join(frequent, "value").groupBy("rep", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    shared = flat.join(frequent, "value").groupBy("rep", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     # Values of no other class come first in the order of rarity and count as taken.
     places = F.expr("held - greatest(1, held div 2) + 1 - (held - size(values))").cast("int")
     return (
         shared.where(places > 0)
-        .select("rep", "n", F.explode(F.slice("values", F.lit(1), places)).alias("x"))
-        .select(F.col("x.value").alias("value"), "rep", "n")
+        .select("rep", F.size("values").alias("shared"), F.explode(F.slice("values", F.lit(1), places)).alias("x"))
+        .select(F.col("x.value").alias("value"), "rep", "shared")
     )
 
 
