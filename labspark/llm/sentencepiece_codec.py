@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a Viterbi pass over a trie of marked words.
 
-Spaces become marks, and a text is cut wherever no piece of the vocabulary spans the cut, which leaves marked
+Every space is the mark of a word, and a text is cut wherever no piece of the vocabulary spans the cut, which leaves marked
 words and runs of separators.  The distinct new words of a batch are sorted, so that words with a common
 prefix are neighbours: walking them in order is a depth-first traversal of their trie, and the forward states
 of the shared prefix are kept.
@@ -23,10 +23,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labspark.llm.words import Memo, joined_codes
+from labspark.llm.words import Memo, joined_codes, portions
 
+#: How piece names write the space, which stands for itself in here.
 MARK = "▁"
-WORDS_HELD = 800_000
+WORDS_HELD = 400_000
 PAIRS_HELD = 400_000
 
 _SEPARATORS = ".,;:!?|\"()[]{}<>/\\*+=_~^`@#$%&\n\t\r-'"
@@ -42,6 +43,7 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(self.size)]
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         plain = [i for i in range(self.size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.pieces = [p.replace(MARK, " ") for p in self.pieces]
         self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {i: model.get_score(i) for i in plain}
         #: Pieces read from their last character on: (id or -1, next characters).
@@ -63,17 +65,17 @@ class Vocabulary:
     def _cuts(self) -> str:
         """A pattern for marked words and separator runs that no piece spans."""
         separators = set(_SEPARATORS)
-        while mixed := {c for p in self.ids for c in p.lstrip(MARK) if c in separators and set(p.lstrip(MARK)) - separators}:
+        while mixed := {c for p in self.ids for c in p.lstrip(" ") if c in separators and set(p.lstrip(" ")) - separators}:
             separators -= mixed
         inner = "".join(map(re.escape, sorted(separators)))
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        if any(" " in p.lstrip(" ") for p in self.ids):
             return "(?s:.+)"  # pieces span words: texts stay whole
-        return rf"{MARK}*[^{MARK}{inner}]+|{MARK}*[{inner}]+|{MARK}+" if inner else rf"{MARK}*[^{MARK}]+|{MARK}+"
+        return rf" *[^ {inner}]+| *[{inner}]+| +" if inner else " *[^ ]+| +"
 
     def _surface(self, i: int) -> bytes:
         if m := re.fullmatch("<0x([0-9A-F]{2})>", self.pieces[i]):
             return bytes([int(m[1], 16)])
-        return self.pieces[i].replace(MARK, " ").encode() if i in self.scores else b" \xe2\x81\x87 " if i == self.unknown else b""
+        return self.pieces[i].encode() if i in self.scores else b" \xe2\x81\x87 " if i == self.unknown else b""
 
     def merge(self, word: str) -> list[int]:
         """Join the neighbours whose piece has the best score, the first of equals, until none is left."""
@@ -130,8 +132,11 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None], held: dict[str, bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; ``held`` keeps those of words between batches."""
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        return joined_codes(cut, held, WORDS_HELD, lambda new: (np.array(ids, "<u4").tobytes() for ids in self.encode_sorted(new)))
+        out: list[bytes] = []
+        for part in portions(texts):
+            cut = [self.cut.findall(" " + t.replace(MARK, " ")) if t else [] for t in part]
+            out += joined_codes(cut, held, WORDS_HELD, lambda new: (np.array(ids, "<u4").tobytes() for ids in self.encode_sorted(new)))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, marks as spaces, without the space put before the text."""

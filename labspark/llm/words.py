@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import string
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import xxhash
@@ -65,16 +65,33 @@ def shingle_set(text: str | None, length: int) -> np.ndarray:
     return np.unique(shingle_hashes(hashes, min(length, len(hashes))))
 
 
+def portions(texts: list[str | None], size: int = 4_000_000) -> Iterator[list[str]]:
+    """``texts`` in order in parts of about ``size`` characters, so the words of a batch are never held at once."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text or "")
+        held += len(part[-1])
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def joined_codes(texts: list[list[str]], held: dict[str, bytes], limit: int, encode: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
     """The codes of each text's words, one after the other.
 
     ``held`` keeps codes between batches; ``encode`` gives those of new words, which come distinct and sorted.
     Beyond ``limit`` only words stay that this batch met again.
     """
-    new = sorted({w for words in texts for w in words if w not in held})
+    codes = [list(map(held.get, words)) for words in texts]
+    lacking = [None in found for found in codes]
+    new = sorted({w for words, found, lacks in zip(texts, codes, lacking, strict=True) if lacks for w, code in zip(words, found, strict=True) if code is None})
     if len(held) + len(new) > limit:
-        again = {w: held[w] for words in texts for w in words if w in held}
+        again = {w: code for words, found in zip(texts, codes, strict=True) for w, code in zip(words, found, strict=True) if code is not None}
         held.clear()
         held.update(again)
     held.update(zip(new, encode(new), strict=True))
-    return [b"".join(map(held.__getitem__, words)) for words in texts]
+    return [
+        b"".join(map(held.__getitem__, words) if lacks else found) for words, found, lacks in zip(texts, codes, lacking, strict=True)
+    ]
