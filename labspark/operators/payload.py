@@ -1,24 +1,17 @@
 """Generation payloads: removal of raw data at any depth, its audit, and assembly.
 
 Typed payloads are scrubbed by a column expression built from the schema.  JSON text with an open schema, where
-a key may hold different types in different rows, goes through a small vectorised helper instead.
+a key may hold different types in different rows, is scrubbed as a variant value, level by level.
 """
 
 from __future__ import annotations
 
-import json
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Workers need no installed copy of this module: its vectorised helper travels by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Keys that hold raw data.
 RAW_KEYS = ["raw_csv", "csv", "file_content"]
 # Warning text per removed field.
@@ -28,6 +21,10 @@ DEFAULT_SYSTEM = (
     "selected_analysis_blocks, Metadaten, lab_notes und generation_rules. "
     "Rohdaten duerfen nicht verwendet werden."
 )
+NOT_JSON = "Payload ist kein gültiges JSON."
+TOO_DEEP = "Payload ist zu tief verschachtelt."
+#: Objects and lists inside each other in open JSON; deeper text gets the error above.
+LEVELS = 8
 REJECTED = "messages oder bevorzugter Generate-Payload erforderlich."
 # Fields of the preferred payload and what stands in for an absent one.
 PREFERRED_FIELDS = {
@@ -123,47 +120,77 @@ def audit(
     return found.groupBy(id_column, "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _without_raw(node, raw_keys: frozenset[str], path: str, removed: list[str]):
-    if isinstance(node, list):
-        return [_without_raw(item, raw_keys, path + "[]", removed) for item in node]
-    if not isinstance(node, dict):
-        return node
-    here = {key: f"{path}.{key}" if path else key for key in node}
-    removed.extend(REMOVED + here[key] for key in node if key in raw_keys)
-    return {
-        key: _without_raw(item, raw_keys, here[key], removed)
-        for key, item in node.items()
-        if key not in raw_keys
-    }
+def _scrubbed(value: Column, raw_keys: Sequence[str], levels: int, path: Column) -> Column:
+    """``struct<value, removed, deep>``: a variant without raw fields, their paths, and whether levels ran out.
+
+    Objects and lists are seen alike, as children with a key or with none.
+    """
+    fields, items = value.try_cast("map<string,variant>"), value.try_cast("array<variant>")
+    nothing = F.array().cast("array<string>")
+    children = F.coalesce(
+        F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
+        F.transform(items, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))),
+    )
+    if levels == 0:
+        nested = F.coalesce(F.size(children), F.lit(0)) > 0
+        return F.struct(value.alias("value"), nothing.alias("removed"), nested.alias("deep"))
+
+    def placed(child: Column) -> Column:
+        key = child["key"]
+        here = F.when(key.isNull(), F.concat(path, F.lit("[]"))).when(path == "", key)
+        raw = F.coalesce(key.isin(list(raw_keys)), F.lit(False))
+        return F.struct(
+            key.alias("key"),
+            raw.alias("raw"),
+            here.otherwise(F.concat(path, F.lit("."), key)).alias("path"),
+            F.when(~raw, child["value"]).alias("value"),
+        )
+
+    def visit(child: Column) -> Column:
+        below = _scrubbed(child["value"], raw_keys, levels - 1, child["path"])
+        return F.struct(child["key"].alias("key"), child["raw"].alias("raw"), child["path"].alias("path"), below.alias("below"))
+
+    def rebuilt(seen: Column) -> Column:
+        kept = F.transform(F.filter(seen, lambda c: ~c["raw"]), lambda c: F.struct(c["key"], c["below"]["value"]))
+        removed = F.transform(seen, lambda c: F.when(c["raw"], F.array(c["path"])).otherwise(c["below"]["removed"]))
+        return F.struct(
+            F.when(fields.isNotNull(), F.to_variant_object(F.map_from_entries(kept)))
+            .when(items.isNotNull(), F.transform(seen, lambda c: c["below"]["value"]).cast("variant"))
+            .otherwise(value)
+            .alias("value"),
+            F.coalesce(F.flatten(removed), nothing).alias("removed"),
+            F.coalesce(F.exists(seen, lambda c: ~c["raw"] & c["below"]["deep"]), F.lit(False)).alias("deep"),
+        )
 
+    # The children are bound to a variable, so that they are visited once.
+    return F.get(F.transform(F.array(F.transform(F.transform(children, placed), visit)), rebuilt), F.lit(0))
 
-def scrub_open_json(
-    text: Column, raw_keys: Sequence[str] = RAW_KEYS, indent: int | None = None
-) -> Column:
-    """``struct<json, warnings>`` of JSON text of any shape; text that is no JSON gives NULL."""
-    keys = frozenset(raw_keys)
-
-    @F.pandas_udf("struct<json:string,warnings:array<string>>")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, notes = [], []
-            for value in batch:
-                removed: list[str] = []
-                try:
-                    node = json.loads(value) if value is not None else None
-                    texts.append(
-                        None
-                        if value is None
-                        else json.dumps(
-                            _without_raw(node, keys, "", removed), ensure_ascii=False, indent=indent
-                        )
-                    )
-                except ValueError:
-                    texts.append(None)
-                notes.append(removed)
-            yield pd.DataFrame({"json": texts, "warnings": notes})
-
-    return clean(text)
+
+def scrub_open_variant(text: Column, raw_keys: Sequence[str] = RAW_KEYS, levels: int = LEVELS) -> Column:
+    """``struct<value: variant, warnings, error>`` of JSON text of any shape.
+
+    A field counts as raw by its key alone, also where it holds null.  Text that is no JSON, or nested deeper
+    than ``levels``, has an error and no value; a null text has neither.
+    """
+    parsed = F.try_parse_json(text)
+    found = _scrubbed(parsed, raw_keys, levels, F.lit(""))
+    error = F.when(text.isNotNull() & parsed.isNull(), NOT_JSON).when(found["deep"], TOO_DEEP)
+    return F.struct(
+        F.when(error.isNull(), found["value"]).alias("value"),
+        F.transform(found["removed"], lambda path: F.concat(F.lit(REMOVED), path)).alias("warnings"),
+        error.alias("error"),
+    )
+
+
+def scrub_open_json(text: Column, raw_keys: Sequence[str] = RAW_KEYS, levels: int = LEVELS) -> Column:
+    """``struct<json, warnings, error>``: :func:`scrub_open_variant` as text, keys of an object in their order by name."""
+    return F.get(
+        F.transform(
+            F.array(scrub_open_variant(text, raw_keys, levels)),
+            lambda c: F.struct(F.to_json(c["value"]).alias("json"), c["warnings"].alias("warnings"), c["error"].alias("error")),
+        ),
+        F.lit(0),
+    )
 
 
 def _truthy(text: Column) -> Column:
@@ -203,13 +230,19 @@ def assemble_payloads(requests: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("system", F.lit("")), F.lit(DEFAULT_SYSTEM)).alias("system"),
         F.when(filled, "preferred").when(source.isNotNull(), "messages").alias("kind"),
         top.alias("_top"),
-        scrub_open_json(source, indent=2).alias("_clean"),
+        scrub_open_variant(source).alias("_clean"),
     )
+    value = F.col("_clean.value")
+    fields = [
+        F.concat(F.lit(f'"{name}":'), F.coalesce(F.to_json(F.variant_get(value, f"$.{name}", "variant")), F.lit("null")))
+        for name in PREFERRED_FIELDS
+    ]
+    ordered = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
     return built.select(
         "request_id",
         F.when(F.col("kind").isNotNull(), F.col("system")).alias("system"),
         "kind",
-        F.col("_clean.json").alias("payload"),
+        F.when(value.isNotNull(), F.when(F.col("kind") == "preferred", ordered).otherwise(F.to_json(value))).alias("payload"),
         F.concat("_top", "_clean.warnings").alias("warnings"),
-        F.when(F.col("kind").isNull(), REJECTED).alias("error"),
+        F.when(F.col("kind").isNull(), REJECTED).otherwise(F.col("_clean.error")).alias("error"),
     )

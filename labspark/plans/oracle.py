@@ -638,8 +638,8 @@ SELECT event_id, '{"experiment_title":"' || event_type || '","selected_analysis_
   || k || '}},{"id":"b","content":{"k":' || (k + 1) || '}}],"metadata":{"user":' || user_id || '}}' AS payload
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
         "payload_scrub_open": """
-SELECT event_id, '{"experiment_title": "' || event_type || '", "selected_analysis_blocks": [{"id": "a", "content": {"k": '
-  || k || '}}, {"id": "b", "content": {"k": ' || (k + 1) || '}}], "metadata": {"user": ' || user_id || '}}' AS payload,
+SELECT event_id, '{"experiment_title":"' || event_type || '","metadata":{"user":' || user_id ||
+  '},"selected_analysis_blocks":[{"content":{"k":' || k || '},"id":"a"},{"content":{"k":' || (k + 1) || '},"id":"b"}]}' AS payload,
   4 AS n_warnings
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
         "scrub_audit": """

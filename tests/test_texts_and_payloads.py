@@ -134,10 +134,25 @@ def test_open_json_scrub(spark):
             "file_content",
         )
     )
-    assert rows[1].c.json is None and rows[2].c.json is None
+    assert rows[1].c.json is None and rows[1].c.error == payload.NOT_JSON
+    assert rows[2].c.json is None and rows[2].c.error is None
     assert json.loads(rows[3].c.json) == [1, {}] and json.loads(rows[4].c.json) == {}
 
 
+def test_odd_json_does_not_stop_the_others(spark):
+    deep = "[" * 30 + "]" * 30
+    texts = ['{"csv": null, "a": {"raw_csv": null, "b": null}}', '{"t": "\\ud800"}', deep, "{mass: 5", "null", "[" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    rows = [r.c for r in df.select("i", payload.scrub_open_json(F.col("p")).alias("c")).orderBy("i").collect()]
+    assert json.loads(rows[0].json) == {"a": {"b": None}}
+    assert rows[0].warnings == [payload.REMOVED + "a.raw_csv", payload.REMOVED + "csv"]
+    assert rows[1].error is None and rows[4].json == "null"
+    assert [rows[i].error for i in (2, 3, 5)] == [payload.TOO_DEEP, payload.NOT_JSON, payload.NOT_JSON]
+    assert all(rows[i].json is None for i in (2, 3, 5))
+    broken = payload.assemble_payloads(_requests(spark, {"request_id": "r", "experiment_title": "t", "metadata": "{mass: 5"}))
+    assert broken.first().payload is None and broken.first().error == payload.NOT_JSON
+
+
 def test_typed_scrub_and_audit(spark):
     df = spark.createDataFrame([(1, json.dumps(RAW)), (2, '{"experiment_title": "ok"}')], "i int, payload string")
     schema = payload_schema(df)
