@@ -31,6 +31,14 @@ HEADLINE = [
     "doc_quality",
     "citations_missing",
     "payload_scrub",
+    "payload_scrub_open",
+    "generation_payloads",
+    "citation_rules",
+    "preview_blocks",
+    "analysis_warnings",
+    "analysis_reports",
+    "pendulum_results",
+    "arrival_statistics",
 ]
 
 

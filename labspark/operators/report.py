@@ -177,6 +177,7 @@ DATASET_WARNINGS = {
 }
 # Parameters expected in the metadata.
 EXPECTED_PARAMETERS = ["calibration", "pendulum_length", "frame_rate", "mass", "device_parameters"]
+# Texts of rules and errors, and the formula of the error propagation.
 SELECTED_ITEM_RULE = (
     "Only selected items from tables, figures, results, calculations listed here."
 )

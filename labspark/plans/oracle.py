@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from labspark.operators.documents import FORBIDDEN_TERMS, TEXT_RULES
 from labspark.operators.physics import REASON_DOMAIN, REASON_UNIT
-from labspark.operators.report import DATASET_WARNINGS, ITEMS, SECTIONS, SELECTED_ITEM_RULE
+from labspark.operators.report import DATASET_WARNINGS, EXPECTED_PARAMETERS, ITEMS, SECTIONS, SELECTED_ITEM_RULE
 from labspark.plans.queries import EXTRA_RULES, EXTRA_TERMS, RUN_KINDS, SEARCHES
 
 
@@ -261,7 +261,7 @@ _TUBE = [
     "gaussian_error_template",
 ]
 _ALWAYS = ["raw_statistics", "column_profile", "missing_values_summary", "dataset_overview"]
-_PARAMETERS = ["calibration", "pendulum_length", "frame_rate", "mass", "device_parameters"]
+_PARAMETERS = EXPECTED_PARAMETERS
 _KIND_ITEMS = {0: _ANGLE, 1: _ANGLE, 2: _ANGLE, 3: ["gaussian_error_template"], 4: _TUBE, 5: []}
 _KIND_WARNINGS = {
     0: [],

@@ -13,6 +13,7 @@ from labspark.operators.ordered import BLOCK_ROWS
 from labspark.operators.report import json_text, write_table
 from labspark.session import cut_lineage
 
+# Decimals of the result per quantity.
 _DIGITS = {
     "dt_s": 4,
     "fs_hz": 3,

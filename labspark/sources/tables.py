@@ -31,41 +31,55 @@ FEATURE_COLUMNS = [
 ]
 
 
+# Commands of bibliography files that open no entry.
+NO_ENTRIES = ["string", "comment", "preamble"]
+
+
 def read_catalog(spark: SparkSession, root: str, fmt: str = "parquet") -> dict[str, DataFrame]:
     """``taxa``, ``features`` and ``release`` below one folder; filters and columns reach the scan."""
     return {name: spark.read.format(fmt).load(f"{root}/{name}") for name in ("taxa", "features", "release")}
 
 
 def first_release(release: DataFrame) -> DataFrame:
-    return release.select("version", "release_stage").limit(1)
+    """One row of the manifest, the first by version and stage."""
+    return release.select("version", "release_stage").orderBy("version", "release_stage").limit(1)
 
 
 def read_protocols(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``docs(doc_id, tex)``: one protocol text per file; the folder is the document's id."""
+    """``docs(doc_id, path, tex)``: one protocol text per file; its folder's whole path is the document's id.
+
+    Files of one folder share its bibliography; ``path`` tells them apart.
+    """
     return spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("doc_id"),
+        _folder().alias("doc_id"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("value").alias("tex"),
     )
 
 
 def read_bibliographies(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``bib(doc_id, entry_type, key)``; read by line, so a large shared file is split."""
-    lines = spark.read.text(paths).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("doc_id"), "value"
-    )
-    return lines.select("doc_id", F.explode(bib_entries(F.col("value"))).alias("entry")).select(
-        "doc_id", "entry.*"
-    )
+    """``bib(doc_id, entry_type, key)``; read up to each closing brace, so a large shared file is split and a
+    key may stand on the line after its opening brace."""
+    parts = spark.read.option("lineSep", "}").text(paths).select(_folder().alias("doc_id"), "value")
+    return parts.select("doc_id", F.explode(bib_entries(F.col("value"))).alias("entry")).select("doc_id", "entry.*")
+
+
+def _folder() -> Column:
+    return F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]+$", 1)
 
 
 def bib_entries(text: Column) -> Column:
-    """``array<struct<entry_type, key>>`` of the entries opened in a bibliography text."""
+    """``array<struct<entry_type, key>>`` of the entries opened in a bibliography text.
+
+    Abbreviations, comments and preambles are no entries.
+    """
     pattern = r"@(\w+)\s*\{\s*([^,\s{}]+)"
     kinds = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(
+    entries = F.zip_with(
         kinds, keys, lambda kind, key: F.struct(F.lower(kind).alias("entry_type"), key.alias("key"))
     )
+    return F.filter(entries, lambda e: ~e["entry_type"].isin(NO_ENTRIES))
 
 
 def payload_schema(payloads: DataFrame, column: str = "payload") -> T.StructType:

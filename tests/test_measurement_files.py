@@ -10,6 +10,7 @@ from labspark.plans.analysis import analyse
 from labspark.sources import delimited
 from labspark.sources.lines import empty_files, read_files, read_lines, split_lines
 
+# Contents of measurement files and the numbers they lead to.
 FILES = {
     "D1": "time,angle\n0,0\n1,2\n2,4\n3,6\n",
     "D2": "time,angle\n0,0\n1,2\n2,4\n3,6\n",

@@ -92,14 +92,39 @@ def test_corpus_from_files(spark, tmp_path):
     folder = tmp_path / "2026-pendel"
     folder.mkdir()
     (folder / "protokoll.tex").write_text(GOOD, encoding="utf-8")
-    (folder / "literatur.bib").write_text("@book{known2020,\n title={x}\n}\n@Article{ spare2001 ,\n}\n", encoding="utf-8")
+    (folder / "literatur.bib").write_text(
+        "@string{jan = {Januar}}\n@book{known2020,\n title={x}, note={a@b.de}\n}\n@Article{ \n spare2001 ,\n}\n@comment{no,}\n"
+        "@misc{müller2020,}\n", encoding="utf-8")
     docs = read_protocols(spark, f"{tmp_path}/*/*.tex")
     bib = read_bibliographies(spark, f"{tmp_path}/*/*.bib")
-    assert [(r.doc_id, r.tex) for r in docs.collect()] == [("2026-pendel", GOOD)]
-    assert {(r.entry_type, r.key) for r in bib.collect()} == {("book", "known2020"), ("article", "spare2001")}
+    assert [(r.doc_id.split("/")[-1], r.tex) for r in docs.collect()] == [("2026-pendel", GOOD)]
+    assert {(r.entry_type, r.key) for r in bib.collect()} == {
+        ("book", "known2020"),
+        ("article", "spare2001"),
+        ("misc", "müller2020"),
+    }
     assert documents.quality_report(docs, bib).first().passed
 
 
+def test_citation_commands_comments_and_unicode_keys(spark):
+    texts = {
+        "bib": r"\parencite{lost1999} \cites[S.~1]{a}[2]{b, c} \Textcite*{known2020} \nocite{known2020}",
+        "all": r"\nocite{*} müller2020 steht hier",
+        "lines": "x \\\\% \\cite{ghost}\n100\\% \\cite{real}\n% \\printbibliography \\end{document}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, tex string")
+    bib = spark.createDataFrame([(d, k) for d in texts for k in ("known2020", "müller2020")], "doc_id string, key string")
+    found = {(r.doc_id, r.rule_id, r.detail) for r in documents.violations(docs, bib).collect()}
+    missing = {(d, k) for d, rule, k in found if rule == "citation_missing"}
+    assert missing == {("bib", "lost1999"), ("bib", "a"), ("bib", "b"), ("bib", "c"), ("lines", "real")}
+    assert {(d, k) for d, rule, k in found if rule == "citation_literal"} == {("all", "müller2020")}
+    assert ("lines", "bibliography_missing", None) in found
+    cited = documents.citations(docs)
+    left = {(r.doc_id, r.key) for r in documents.uncited_entries(cited, bib).collect()}
+    assert left == {("bib", "müller2020"), ("lines", "known2020"), ("lines", "müller2020")}
+    assert documents.uncited_entries(cited, bib, per_document=False).count() == 0
+
+
 RAW = {
     "experiment_title": "Test",
     "summary_for_generation": {"row_count": 2, "note": None},
