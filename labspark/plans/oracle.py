@@ -391,6 +391,26 @@ FROM m JOIN l USING (kind)""",
 WITH {_CELLS}
 SELECT dataset_id, col_idx, count(*) AS n_cells, count(num) + count(txt) AS n_raw, count(num) AS n_num,
        round(sum(num), 3) AS total FROM cells GROUP BY dataset_id, col_idx""",
+        "hard_files": """
+WITH e AS (
+  SELECT event_id // 200 AS dataset_id, (event_id // 200) % 6 AS kind, event_id % 200 + 1 AS place,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events
+), c AS (
+  SELECT dataset_id, kind, count(*) AS n, sum(k) AS k, sum(place) AS p,
+         count(*) FILTER (WHERE place % 3 = 0) AS n0, count(*) FILTER (WHERE place % 3 = 1) AS n1,
+         count(*) FILTER (WHERE place % 3 = 2) AS n2, sum(place) FILTER (WHERE place % 3 > 0) AS p12 FROM e GROUP BY ALL
+)
+SELECT dataset_id, 0 AS col_idx, 'x' AS "column", n AS n_raw, n AS n_num, 0 AS n_infinite, k AS total, NULL AS reason FROM c WHERE kind = 0
+UNION ALL SELECT dataset_id, 1, 'x.2', 0, 0, 0, NULL, NULL FROM c WHERE kind = 0
+UNION ALL SELECT dataset_id, 2, 'x.1', n, n, 0, p, NULL FROM c WHERE kind = 0
+UNION ALL SELECT dataset_id, 0, 'a', n, n, 0, 1.5 * n, NULL FROM c WHERE kind = 1
+UNION ALL SELECT dataset_id, 1, 'b,c', n, 0, 0, NULL, NULL FROM c WHERE kind = 1
+UNION ALL SELECT dataset_id, 2, 'Unnamed: 2', 0, 0, 0, NULL, NULL FROM c WHERE kind = 1
+UNION ALL SELECT dataset_id, 0, 'wert', n, n, 0, k + 0.5 * n, NULL FROM c WHERE kind = 2
+UNION ALL SELECT dataset_id, NULL, NULL, NULL, NULL, NULL, NULL, 'row_overflow' FROM c WHERE kind = 3
+UNION ALL SELECT dataset_id, NULL, NULL, NULL, NULL, NULL, NULL, 'unterminated_quote' FROM c WHERE kind = 4
+UNION ALL SELECT dataset_id, 0, 't', n, n, n0, p12, NULL FROM c WHERE kind = 5
+UNION ALL SELECT dataset_id, 1, 'v', n0 + n2, n0 + n2, n2, n0, NULL FROM c WHERE kind = 5""",
         "tracking_read": f"""
 WITH {_MEASURED}
 SELECT dataset_id, count(*) AS n, round(sum(t), 3) AS sum_t, round(sum(v), 3) AS sum_x, sum(k) AS sum_y,

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labspark.functions import propagation
-from labspark.functions.numeric import as_number
+from labspark.functions.numeric import as_number, finite
 from labspark.functions.regression import linear_fit
 from labspark.functions.text import clean_generated_text
 from labspark.operators import catalog, documents, payload, physics, profile, quality, report
@@ -378,6 +378,57 @@ def parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hard_lines(events: DataFrame) -> DataFrame:
+    """Runs of events as files with what goes wrong in practice, one kind per run number modulo six.
+
+    Repeated names that meet a suffix; quoted cells, an empty name and a token for missing; one column with
+    quoted commas; a row that is too long; a quote that stays open; a blank first line, short rows and
+    infinite cells.
+    """
+    run, place = F.expr(f"event_id div {RUN_EVENTS}"), F.col("event_id") % RUN_EVENTS + 1
+    kind, text = run % 6, place.cast("string")
+    k = F.get_json_object("props", "$.k")
+    line = (
+        F.when(kind == 0, F.concat_ws(",", k, F.lit(""), text))
+        .when(kind == 1, F.concat(F.lit('"1,5","sagt ""'), "event_type", F.lit('""",NA')))
+        .when(kind == 2, F.concat(F.lit('"'), k, F.lit(',5"')))
+        .when(kind == 3, F.when(place == 5, "1,2,3,4").otherwise("1,2,3"))
+        .when(kind == 4, F.when(place == 3, '"abc').otherwise("1"))
+        .otherwise(
+            F.when(place % 3 == 0, "inf;1").when(place % 3 == 1, text).otherwise(F.concat(text, F.lit(";-inf")))
+        )
+    )
+    headers = ["x,x,x.1", 'a,"b,c",', "wert", "a,b,c", "wert", "t;v"]
+    header = F.element_at(F.array(*map(F.lit, headers)), (kind + 1).cast("int"))
+    row = F.struct((place + 1).alias("row_idx"), line.alias("line"))
+    first = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("row_idx"), F.lit("  ").alias("line")),
+        F.struct(F.lit(1).cast("bigint").alias("row_idx"), header.alias("line")),
+        row,
+    )
+    lines = F.when(place == 1, first).otherwise(F.array(row))
+    return events.select(run.alias("dataset_id"), F.explode(lines).alias("l")).select("dataset_id", "l.*")
+
+
+def hard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of difficult files by column, and the reasons of those that cannot be read."""
+    lines = hard_lines(table(spark, sf_dir, "events"))
+    layouts = cut_lineage(delimited.detect(lines))
+    cells, names = delimited.to_cells(measurement_rows(lines, layouts)), delimited.column_names(layouts)
+    read = (
+        cells.groupBy("dataset_id", "col_idx")
+        .agg(
+            F.count("raw").alias("n_raw"),
+            F.count("num").alias("n_num"),
+            F.count_if(F.abs("num") == float("inf")).alias("n_infinite"),
+            F.round(F.sum(finite(F.col("num"))), 3).alias("total"),
+        )
+        .join(names, ["dataset_id", "col_idx"])
+    )
+    failed = delimited.errors(layouts).select("dataset_id", "reason")
+    return read.unionByName(failed, allowMissingColumns=True)
+
+
 def tracking_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking files with comments and a column ``valid``, read back as samples."""
     run = F.expr(f"event_id div {RUN_EVENTS}")
@@ -937,6 +988,7 @@ QUERIES: dict[str, Query] = {
         read_lines,
         delimiter_detect,
         parse_cells,
+        hard_files,
         tracking_read,
         role_binding,
         angular_regression,
