@@ -99,6 +99,15 @@ def missing_per_column(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*_COLUMN).agg(F.count_if(F.col("raw").isNull()).alias("missing_count"))
 
 
+def counts_per_column(cells: DataFrame) -> DataFrame:
+    """The cell counts of :func:`column_profile` alone, which need no distinct values."""
+    return cells.groupBy(*_COLUMN).agg(
+        F.count("raw").alias("non_missing_count"),
+        F.count_if(F.col("raw").isNull()).alias("missing_count"),
+        F.count_if(as_number(F.col("raw")).isNotNull()).alias("numeric_count"),
+    )
+
+
 def missing_summary(counts: DataFrame, names: DataFrame) -> DataFrame:
     """Total and per-column map from ``missing_count`` per column, of a profile or of the above.
 
@@ -124,7 +133,7 @@ def missing_summary(counts: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def dataset_overview(profile: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows, columns, missing cells and detected numeric columns, from the profile alone."""
+    """Rows, columns, missing cells and detected numeric columns, from a profile or its counts."""
     entry = F.when(F.col("numeric_count") > 0, F.struct("col_idx", "column"))
     return (
         profile.join(names, _COLUMN)

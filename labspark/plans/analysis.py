@@ -85,8 +85,8 @@ def analyse(
     missing = missing_summary(profile, names)
     overview = dataset_overview(profile, names)
     points = resonance_points(pairs(rows, "frequency", "spacing", positive=True))
-    sums = keep(physics_sums(rows))
-    tube, regression = keep(resonance_from_sums(sums)), keep(angular_from_sums(sums))
+    sums = keep(physics_sums(rows))  # one row per file; both fits are made of it
+    tube, regression = resonance_from_sums(sums), angular_from_sums(sums)
     latitude = latitude_from_rate(regression, metadata)
     items = keep(
         analysis_items(

@@ -334,7 +334,7 @@ def missing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, names = _cells(spark, sf_dir)
-    overview = profile.dataset_overview(profile.column_profile(cells), names)
+    overview = profile.dataset_overview(profile.counts_per_column(cells), names)
     return overview.withColumn("detected_numeric_columns", F.array_join("detected_numeric_columns", "|"))
 
 
@@ -941,7 +941,7 @@ def analysis_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, names = _cells(spark, sf_dir)
-    overview = profile.dataset_overview(profile.column_profile(cells), names)
+    overview = profile.dataset_overview(profile.counts_per_column(cells), names)
     return report.generation_summary(overview)
 
 
