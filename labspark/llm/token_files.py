@@ -8,6 +8,7 @@ rank directory over its blocks answers ``select``, so an offset is found without
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -24,14 +25,19 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labspark.llm.storage import new_folder, written
-from labspark.llm.words import joined_codes
+from labspark.llm.words import joined_codes, portions
 
 MAGIC = b"EFIDS1\0\0"
 #: Byte places of both sequences, number of documents, of them without doc_id, least doc_id, ids, bytes of an id, magic.
 FOOTER = struct.Struct("<QQQQqQQ8s")
 BLOCK = 512
-WORDS_HELD = 500_000
+WORDS_HELD = 700_000
 READ_IDS = 1 << 20
+#: Words of one call to the tokenizer.
+TOGETHER = 256
+
+_END = "</w>"
+_SIGNS = ",.;:!?"
 
 _ASCII_SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -155,18 +161,46 @@ class WordEncoder:
     """Encodes texts word by word; the model's pieces never span white space, which it drops."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads would spin
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.held: dict[str, bytes] = {}
-
-    def _codes(self, words: list[str]) -> Iterator[bytes]:
-        for first in range(0, len(words), 20_000):
-            for found in self.model.encode_batch_fast(words[first : first + 20_000], add_special_tokens=False):
-                yield np.array(found.ids, f"<u{self.width}").tobytes()
+        #: Whether a piece ends a part of a word.
+        self.last = np.zeros(self.model.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.model.get_vocab().items() if piece.endswith(_END)]] = True
+
+    def _codes(self, words: list[str]) -> list[bytes]:
+        """Ids of each word.  Words of a known number of parts share a call, where each part's last piece tells its end."""
+        parts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in _SIGNS else 0 for w in words]
+        codes = [b""] * len(words)
+        plain = [i for i, n in enumerate(parts) if n]
+        single = [i for i, n in enumerate(parts) if not n]
+        for first in range(0, len(plain), TOGETHER * 64):
+            groups = [plain[k : k + TOGETHER] for k in range(first, min(first + TOGETHER * 64, len(plain)), TOGETHER)]
+            texts = [" ".join([words[i] for i in group]) for group in groups]
+            for group, found in zip(groups, self.model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, f"<u{self.width}")
+                ends = np.nonzero(self.last[ids])[0] + 1
+                sizes = [parts[i] for i in group]
+                if len(ends) != sum(sizes):  # a letter became something else in lower case
+                    single += group
+                    continue
+                cuts = (ends[np.cumsum(sizes) - 1] * self.width).tolist()
+                data = ids.tobytes()
+                for i, low, high in zip(group, [0, *cuts], cuts, strict=False):
+                    codes[i] = data[low:high]
+        for first in range(0, len(single), 20_000):
+            some = single[first : first + 20_000]
+            for i, found in zip(some, self.model.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                codes[i] = np.array(found.ids, f"<u{self.width}").tobytes()
+        return codes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.split() if not _ASCII_SEPARATORS.search(t) else [w for w in _WHITE_SPACE.split(t) if w] for t in (t or "" for t in texts)]
-        return joined_codes(cut, self.held, WORDS_HELD, self._codes)
+        out: list[bytes] = []
+        for part in portions(texts):
+            cut = [t.split() if not _ASCII_SEPARATORS.search(t) else [w for w in _WHITE_SPACE.split(t) if w] for t in part]
+            out += joined_codes(cut, self.held, WORDS_HELD, self._codes)
+        return out
 
 
 @cache
