@@ -19,13 +19,20 @@ BLOCK = "_block"
 BLOCK_ROWS = 1 << 20
 
 
+def belongs(keys: Sequence[str], row: str = "row_idx") -> Column:
+    """Whether a row has its key and its place; rows without belong to no dataset."""
+    known = F.col(row).isNotNull()
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return known
+
+
 def with_block(
     df: DataFrame, keys: Sequence[str], row: str = "row_idx", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add the block number.  Rows without key or index belong to no dataset and are dropped."""
-    known = F.col(row).isNotNull() & F.col(BLOCK).isNotNull()
-    for key in keys:
-        known = known & F.col(key).isNotNull()
+    # The block is named in the condition, so that a later join adds none and both its sides share one exchange.
+    known = belongs(keys, row) & F.col(BLOCK).isNotNull()
     return df.withColumn(BLOCK, F.expr(f"`{row}` div {int(block_rows)}L")).filter(known)
 
 

@@ -23,7 +23,7 @@ from labspark.functions.propagation import (
     seconds_to_minutes,
 )
 from labspark.functions.regression import linear_fit
-from labspark.operators.ordered import BLOCK, BLOCK_ROWS, annotate, attach, exact_median, into_blocks, with_block
+from labspark.operators.ordered import BLOCK, BLOCK_ROWS, annotate, attach, belongs, exact_median, into_blocks, with_block
 from labspark.operators.physics import latitude_with_error
 from labspark.operators.profile import moments, wide_stats
 
@@ -34,6 +34,11 @@ PERIOD_BINS = 20
 MIN_PERIODS = 3
 
 
+def unplaced_rows(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
+    """``n_dropped``: rows without key or place, which no evaluation takes."""
+    return samples.agg(F.count_if(~belongs(keys)).alias("n_dropped"))
+
+
 def successive_difference(
     samples: DataFrame, keys: Sequence[str] = KEY, column: str = "t", block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -51,7 +56,7 @@ def sampling_summary(
     """Row count, exact median time step, sampling rate and total duration."""
     steps = successive_difference(samples, keys, "t", block_rows)
     median = exact_median(steps, keys, "dt", "dt_s")
-    span = samples.groupBy(*keys).agg(
+    span = samples.filter(belongs(keys)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         (F.max_by("t", "row_idx") - F.min_by("t", "row_idx")).alias("duration_s"),
     )
@@ -67,12 +72,12 @@ def sampling_summary(
 
 def channel_stats(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Mean, deviation, standard error and extremes of each channel that has values."""
-    return wide_stats(samples, keys, CHANNELS).filter("n > 0").withColumnRenamed("column", "channel")
+    return wide_stats(samples.filter(belongs(keys)), keys, CHANNELS).filter("n > 0").withColumnRenamed("column", "channel")
 
 
 def trajectory_extent(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     half = {c: (F.max(c) - F.min(c)) / 2 for c in ("x", "y")}
-    return samples.groupBy(*keys).agg(
+    return samples.filter(belongs(keys)).groupBy(*keys).agg(
         F.avg("x").alias("x_mean"),
         F.avg("y").alias("y_mean"),
         half["x"].alias("ax"),
@@ -81,7 +86,7 @@ def trajectory_extent(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFram
 
 
 def tracking_quality(samples: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    stats = samples.groupBy(*keys).agg(
+    stats = samples.filter(belongs(keys)).groupBy(*keys).agg(
         F.avg("area").alias("area_mean"), F.stddev_samp("area").alias("area_s")
     )
     return stats.filter("area_mean is not null").withColumn(
@@ -212,7 +217,7 @@ def segment_axis(
     )
     angle = F.degrees(F.atan2(F.col("_sxy") * 2, F.col("_sxx") - F.col("_syy"))) / 2
     return segments.select(*keys, "seg", "seg_rows", "t_mid", angle.alias("phi")).filter(
-        "phi is not null and t_mid is not null"
+        "phi is not null and not isnan(phi) and t_mid is not null"
     )
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from labspark.operators import pendulum as p
 from labspark.operators.ordered import BLOCK_ROWS
+from labspark.functions.propagation import LITERATURE_LATITUDE_DEG
 from labspark.operators.report import json_text, write_table
+from labspark.operators.roles import tracking_problems, tracking_samples
 from labspark.session import cut_lineage
+from labspark.sources.tracking import read_tracking
 
 # Decimals of the result per quantity.
 _DIGITS = {
@@ -92,9 +95,10 @@ def evaluate_traces(
     extent = p.trajectory_extent(samples, keys)
     quality = p.tracking_quality(samples, keys)
     coordinates = p.coordinate_export(segments, rotation, keys)
+    channels = p.channel_stats(samples, keys)
     return PendulumRun(
         sampling=sampling,
-        channels=p.channel_stats(samples, keys),
+        channels=channels,
         extent=extent,
         periods=period_rows,
         period_stats=stats,
@@ -104,10 +108,62 @@ def evaluate_traces(
         residuals=p.rotation_residuals(segments, rotation, keys),
         coordinates=coordinates,
         quality=quality,
-        results=result_rows(keys, title, sampling, extent, stats, rotation, quality, coordinates),
+        results=result_rows(
+            keys,
+            title,
+            sampling,
+            extent,
+            stats,
+            rotation,
+            quality,
+            coordinates,
+            _listed(channels, keys, "channel", "channels"),
+            _listed(segments, keys, "seg", "segments"),
+        ),
     )
 
 
+def _listed(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
+    """The rows of a trace as one list: its four channels or its segments, whose number is a parameter."""
+    rest = [c for c in df.columns if c not in keys and c != order]
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias(name))
+
+
+@dataclass(frozen=True)
+class TrackingAnalysis:
+    """Tracking files: those that cannot be evaluated, hints, the tables of the others, and one result per file."""
+
+    problems: DataFrame
+    run: PendulumRun
+    results: DataFrame
+
+
+def analyse_tracking(
+    lines: DataFrame,
+    n_segments: int = p.SEGMENTS,
+    title: str = "Versuch",
+    block_rows: int = BLOCK_ROWS,
+    materialise: bool = True,
+) -> TrackingAnalysis:
+    """From text lines to results: ``results(dataset_id, columns, error, hint, title, results)``.
+
+    A file with an error has no result; one without x or y has statistics of its channels and a hint.
+    """
+    keep = cut_lineage if materialise else (lambda df: df)
+    layouts, rows = read_tracking(lines, block_rows)
+    layouts = keep(layouts)
+    problems = keep(tracking_problems(layouts, rows))
+    failed = problems.filter("error is not null").select("dataset_id")
+    samples = tracking_samples(rows).join(failed, "dataset_id", "left_anti")
+    run = evaluate_traces(samples, n_segments=n_segments, title=title, block_rows=block_rows, materialise=materialise)
+    results = (
+        layouts.select("dataset_id", F.col("names").alias("columns"))
+        .join(problems, "dataset_id", "left")
+        .join(run.results, "dataset_id", "left")
+    )
+    return TrackingAnalysis(problems, run, results)
+
+
 def _rounded(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.struct(
         *[
@@ -120,9 +176,13 @@ def _rounded(df: DataFrame, keys: Sequence[str]) -> Column:
 
 def result_rows(keys: Sequence[str], title: str, sampling: DataFrame, *parts: DataFrame) -> DataFrame:
     """One row per trace: title, rounded results and plot coordinates as JSON (one part per column)."""
-    names = ["extent", "periods", "rotation", "quality", "plot"]
+    names = ["extent", "periods", "rotation", "quality", "plot", "channel_table", "segment_table"]
     rows = sampling.select(*keys, _rounded(sampling, keys).alias("sampling"))
     for name, part in zip(names, parts, strict=True):
         rows = rows.join(part.select(*keys, _rounded(part, keys).alias(name)), list(keys), "left")
-    body = json_text(F.struct("sampling", *names))
+    more = {
+        "segment_s": F.round(F.col("rotation.seg_rows") * F.col("sampling.dt_s"), 2),
+        "phi_lit": F.lit(LITERATURE_LATITUDE_DEG),
+    }
+    body = json_text(F.struct("sampling", *names, *[value.alias(name) for name, value in more.items()]))
     return rows.select(*keys, F.lit(title).alias("title"), body.alias("results"))

@@ -1,19 +1,21 @@
 """Pendulum traces against an independent numpy evaluation of the same definitions."""
 
+import json
 import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from labspark.functions.regression import linear_fit
+from labspark.functions.regression import linear_fit, student_t_two_sided
 from labspark.operators import pendulum as p
 from labspark.operators.ordered import annotate, exact_median, into_blocks
 from labspark.operators.roles import tracking_problems, tracking_samples
-from labspark.plans.pendulum_run import evaluate_traces
+from labspark.plans.pendulum_run import analyse_tracking, evaluate_traces
 from labspark.sources.lines import split_lines
 from labspark.sources.tracking import read_tracking
 
@@ -201,6 +203,50 @@ def test_tracking_files(spark):
     assert stats["P4", "t"].n == 3 and ("P4", "x") not in stats
 
 
+def test_tracking_files_to_results(spark):
+    swing = "".join(f"{i / 10},{math.cos(i * 0.18):.6f},{math.sin(i * 0.18) / 9:.6f}\n" for i in range(400))
+    files = {
+        "good": "t,x,y\n" + swing,
+        "infinite": "t,x,y\n" + swing + "41,inf,0\n",
+        "long": "t,x,y\n1,2,3\n1,2,3,99\n",
+        "no time": "x,y\n1,2\n",
+        "no track": "t,area\n0,5\n1,7\n",
+    }
+    lines = split_lines(spark.createDataFrame(list(files.items()), "dataset_id string, content string"))
+    rows = {r.dataset_id: r for r in analyse_tracking(lines).results.collect()}
+    assert set(rows) == set(files)
+    assert rows["long"].error and rows["long"].results is None and "Keine Zeitspalte" in rows["no time"].error
+    good, infinite = json.loads(rows["good"].results), json.loads(rows["infinite"].results)
+    assert rows["good"].error is None and rows["good"].columns == ["t", "x", "y"]
+    assert good["periods"]["n_periods"] > 5 and good["periods"] == infinite["periods"]
+    assert infinite["extent"]["ax"] == good["extent"]["ax"]
+    assert len(good["segment_table"]["segments"]) == 30 and good["segment_s"] == 1.3 and good["phi_lit"] > 0
+    assert [c["channel"] for c in good["channel_table"]["channels"]] == ["t", "x", "y"]
+    partial = json.loads(rows["no track"].results)
+    assert "Nur Statistik" in rows["no track"].hint and partial["sampling"]["n"] == 2
+    assert {c["channel"] for c in partial["channel_table"]["channels"]} == {"area", "t"}
+
+
+def test_rows_without_place_are_dropped_everywhere(spark):
+    rows = [("a", i, float(i), 1.0 * (i % 5), 2.0, 1.0) for i in range(20)] + [("a", None, 99.0, 99.0, 99.0, 99.0), (None, 3, 1.0, 1.0, 1.0, 1.0)]
+    samples = spark.createDataFrame(rows, "dataset_id string, row_idx long, t double, x double, y double, area double")
+    assert p.unplaced_rows(samples).first().n_dropped == 2
+    assert [r.n for r in p.sampling_summary(samples).collect()] == [20]
+    assert {r.n for r in p.channel_stats(samples).collect()} == {20}
+    assert p.trajectory_extent(samples).first().ax == 2.0 and p.tracking_quality(samples).first().area_mean == 1.0
+
+
+@pytest.mark.parametrize("t", [0.0, 1e-6, 0.5, 1.5, 3.0, 40.0])
+def test_p_value_has_no_border(t):
+    at = student_t_two_sided.func
+    for dof in (1e2, 1e4, 1e8, 1e12):
+        low, high = at(pd.Series([t, t]), pd.Series([dof * (1 - 1e-9), dof * (1 + 1e-9)]))
+        assert low >= high * (1 - 1e-12) and low - high <= 1e-6 * low + 1e-300
+    one = 2 / math.pi * math.atan2(1, t)
+    assert math.isclose(at(pd.Series([t]), pd.Series([1.0]))[0], one, rel_tol=1e-12)
+    assert math.isclose(at(pd.Series([t]), pd.Series([1e18]))[0], math.erfc(t / math.sqrt(2)), rel_tol=1e-9, abs_tol=1e-300)
+
+
 def test_p_values(spark):
     # two-sided Student t values with known closed forms: one and two degrees of freedom
     rows = [("one", float(x), y) for x, y in zip(range(3), [0.0, 1.0, 1.0])]
