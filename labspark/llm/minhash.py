@@ -4,9 +4,9 @@ Every document keeps the ``SKETCH`` smallest hashes of its shingle set (one hash
 of the ``INDEXED`` smallest of them propose pairs, the union sketch of two documents estimates their
 similarity, and pairs that may reach the threshold are confirmed on the full sets.
 
-Completeness.  Two sets with similarity 0.85 share at least half of their ``INDEXED`` smallest hashes with
-probability above 1 - 1e-6.  A document therefore enters only the lists of its rarest values, just so many
-that a pair sharing half of them must meet in one (prefix rule).  A list links its members to the member
+Completeness.  Two sets with the least similarity asked for share that part less ``SLACK`` of their
+``INDEXED`` smallest hashes with probability above 1 - 1e-5.  A document therefore enters only the lists of its
+rarest values, just so many that a pair sharing that many of them must meet in one (prefix rule).  A list links its members to the member
 with most shared values, so a group of copies costs one link per copy and never all its pairs.
 
 Lists whose members are then still in different components go on exactly: the full sets of their documents
@@ -31,10 +31,11 @@ from labspark.llm.words import shingle_set
 
 SKETCH = 64
 INDEXED = 32
+SLACK = 35  # per cent
 MARGIN = 0.25
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Documents whose shingle sets have ``100 * intersection >= percent * union`` are linked; a component is
@@ -53,7 +54,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
         .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")),
         "classes",
     )
-    lists = written(_inverted_lists(classes), "lists")
+    lists = written(_inverted_lists(classes, percent), "lists")
     heads = lists.groupBy("value").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("head"))
     near = _links(_pairs(lists.join(heads, "value").select(F.col("rep").alias("a"), F.col("head").alias("b"))), classes, docs, shingle, percent)
 
@@ -148,7 +149,7 @@ def _rarest_shingles(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     )
 
 
-def _inverted_lists(classes: DataFrame) -> DataFrame:
+def _inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """(value, rep, shared): each class under its rarest retained values, values of one class left out.
 
     ``shared`` counts the class's retained values that other classes have.
@@ -172,7 +173,7 @@ def _inverted_lists(classes: DataFrame) -> DataFrame:
     frequent = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     shared = flat.join(frequent, "value").groupBy("rep", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     # Values of no other class come first in the order of rarity and count as taken.
-    places = F.expr("held - greatest(1, held div 2) + 1 - (held - size(values))").cast("int")
+    places = F.expr(f"held - greatest(1, held * {percent - SLACK} div 100) + 1 - (held - size(values))").cast("int")
     return (
         shared.where(places > 0)
         .select("rep", F.size("values").alias("shared"), F.explode(F.slice("values", F.lit(1), places)).alias("x"))

@@ -38,7 +38,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ from labspark.llm.words import words_of
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, size=3):
     sets = {}
     for i, text in rows:
         w = words_of(text or "")
-        sets[i] = frozenset(zip(w, w[1:], w[2:], strict=False)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(zip(*(w[k:] for k in range(size)), strict=False)) if len(w) >= size else frozenset([tuple(w)] if w else [])
     parent = {i: i for i in sets}
 
     def root(x):
@@ -50,17 +50,17 @@ def corpus():
 def test_equals_all_pairs(docs):
     rows = corpus()
     want = brute(rows)
-    got = near_duplicates(docs(rows)).collect()
+    got = near_duplicates(docs(rows), shingle=3, percent=85).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id], r
         assert r.kept == (r.doc_id == r.component_id)
 
 
-def test_lower_threshold(docs):
+def test_five_words_and_four_fifths(docs):
     rows = corpus()
-    want = brute(rows, 80)
-    assert {r.doc_id: r.component_id for r in near_duplicates(docs(rows), percent=80).collect()} == {i: c for i, (_, c) in want.items()}
+    want = brute(rows, 80, 5)
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs(rows)).collect()} == {i: c for i, (_, c) in want.items()}
 
 
 def test_long_texts_repeated_rows_and_null_ids(docs):

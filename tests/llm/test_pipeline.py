@@ -27,7 +27,7 @@ def test_equals_plain_python(spark):
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     rows = [(i, text) for i, _, dropped, text in con.execute(ORACLE).fetchall() if not dropped or text.strip()]
-    near = brute(rows)
+    near = brute(rows, 80, 5)
     rows = [(i, text) for i, text in rows if near[i][1] == i]
     items = [w for (t,) in con.execute(f"SELECT text FROM '{SF_DIR}/benchmark.parquet'").fetchall() if len(w := plain_words_of(t)) >= LEAST_WORDS]
     rows = [(i, t) for i, t in rows if not any(edit_distance_within(w, plain_words_of(t))[0] <= len(w) // 5 for w in items)]
