@@ -1,7 +1,8 @@
 """Generation payloads: removal of raw data at any depth, its audit, and assembly.
 
 Typed payloads are scrubbed by a column expression built from the schema.  JSON text with an open schema, where
-a key may hold different types in different rows, is scrubbed as a variant value, level by level.
+a key may hold different types in different rows, is scrubbed as a variant value, level by level; what is nested
+deeper than one expression reaches goes on as rows of its own.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ DEFAULT_SYSTEM = (
 )
 NOT_JSON = "Payload ist kein gültiges JSON."
 TOO_DEEP = "Payload ist zu tief verschachtelt."
-#: Objects and lists inside each other in open JSON; deeper text gets the error above.
-LEVELS = 8
+#: Objects and lists inside each other that one expression scrubs, and those a round takes of deeper ones; the time to
+#: plan an expression grows fast with them.
+LEVELS, ROUND = 8, 2
 REJECTED = "messages oder bevorzugter Generate-Payload erforderlich."
 # Fields of the preferred payload and what stands in for an absent one.
 PREFERRED_FIELDS = {
@@ -120,22 +122,39 @@ def audit(
     return found.groupBy(id_column, "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _scrubbed(value: Column, raw_keys: Sequence[str], levels: int, path: Column) -> Column:
+_PART = "struct<value:variant,removed:array<string>>"
+_REST = "array<struct<pos:string,path:string,value:variant>>"
+
+
+def _scrubbed(value: Column, raw_keys: Sequence[str], levels: int, path: Column, pos: Column | None = None, parts: Column | None = None) -> Column:
     """``struct<value, removed, deep>``: a variant without raw fields, their paths, and whether levels ran out.
 
-    Objects and lists are seen alike, as children with a key or with none.
+    Objects and lists are seen alike, as children with a key or with none.  With ``pos``, the place of the value,
+    ``rest`` stands for ``deep`` and has place (numbers of the children that lead there), path and value of each
+    object or list below the last level; where ``parts``, a map from place to value and removed paths, is given,
+    these stand in for them instead.
     """
     fields, items = value.try_cast("map<string,variant>"), value.try_cast("array<variant>")
-    nothing = F.array().cast("array<string>")
+    nothing, no_rest = F.array().cast("array<string>"), F.array().cast(_REST)
     children = F.coalesce(
         F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
         F.transform(items, lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))),
     )
     if levels == 0:
         nested = F.coalesce(F.size(children), F.lit(0)) > 0
-        return F.struct(value.alias("value"), nothing.alias("removed"), nested.alias("deep"))
-
-    def placed(child: Column) -> Column:
+        if parts is not None:
+            part = F.element_at(parts, pos)
+            return F.struct(
+                F.when(nested, part["value"]).otherwise(value).alias("value"),
+                F.when(nested, part["removed"]).otherwise(nothing).alias("removed"),
+                no_rest.alias("rest"),
+            )
+        if pos is None:
+            return F.struct(value.alias("value"), nothing.alias("removed"), nested.alias("deep"))
+        rest = F.array(F.struct(pos.alias("pos"), path.alias("path"), value.alias("value"))).cast(_REST)
+        return F.struct(value.alias("value"), nothing.alias("removed"), F.when(nested, rest).otherwise(no_rest).alias("rest"))
+
+    def placed(child: Column, at: Column) -> Column:
         key = child["key"]
         here = F.when(key.isNull(), F.concat(path, F.lit("[]"))).when(path == "", key)
         raw = F.coalesce(key.isin(list(raw_keys)), F.lit(False))
@@ -143,23 +162,28 @@ def _scrubbed(value: Column, raw_keys: Sequence[str], levels: int, path: Column)
             key.alias("key"),
             raw.alias("raw"),
             here.otherwise(F.concat(path, F.lit("."), key)).alias("path"),
+            *([] if pos is None else [F.concat(pos, F.lit("/"), at.cast("string")).alias("pos")]),
             F.when(~raw, child["value"]).alias("value"),
         )
 
     def visit(child: Column) -> Column:
-        below = _scrubbed(child["value"], raw_keys, levels - 1, child["path"])
+        below = _scrubbed(child["value"], raw_keys, levels - 1, child["path"], pos if pos is None else child["pos"], parts)
         return F.struct(child["key"].alias("key"), child["raw"].alias("raw"), child["path"].alias("path"), below.alias("below"))
 
     def rebuilt(seen: Column) -> Column:
         kept = F.transform(F.filter(seen, lambda c: ~c["raw"]), lambda c: F.struct(c["key"], c["below"]["value"]))
         removed = F.transform(seen, lambda c: F.when(c["raw"], F.array(c["path"])).otherwise(c["below"]["removed"]))
+        if pos is None:
+            left = F.coalesce(F.exists(seen, lambda c: ~c["raw"] & c["below"]["deep"]), F.lit(False)).alias("deep")
+        else:
+            left = F.coalesce(F.flatten(F.transform(seen, lambda c: c["below"]["rest"])), no_rest).alias("rest")
         return F.struct(
             F.when(fields.isNotNull(), F.to_variant_object(F.map_from_entries(kept)))
             .when(items.isNotNull(), F.transform(seen, lambda c: c["below"]["value"]).cast("variant"))
             .otherwise(value)
             .alias("value"),
             F.coalesce(F.flatten(removed), nothing).alias("removed"),
-            F.coalesce(F.exists(seen, lambda c: ~c["raw"] & c["below"]["deep"]), F.lit(False)).alias("deep"),
+            left,
         )
 
     # The children are bound to a variable, so that they are visited once.
@@ -170,7 +194,7 @@ def scrub_open_variant(text: Column, raw_keys: Sequence[str] = RAW_KEYS, levels:
     """``struct<value: variant, warnings, error>`` of JSON text of any shape.
 
     A field counts as raw by its key alone, also where it holds null.  Text that is no JSON, or nested deeper
-    than ``levels``, has an error and no value; a null text has neither.
+    than ``levels``, has an error and no value; a null text has neither.  :func:`scrub_open_rows` has no such limit.
     """
     parsed = F.try_parse_json(text)
     found = _scrubbed(parsed, raw_keys, levels, F.lit(""))
@@ -193,6 +217,65 @@ def scrub_open_json(text: Column, raw_keys: Sequence[str] = RAW_KEYS, levels: in
     )
 
 
+def _scrub_rows(values: DataFrame, raw_keys: Sequence[str]) -> DataFrame:
+    """``node, value, removed`` of ``values(node, path, value)``, variants nested to any depth.
+
+    Each round scrubs ``ROUND`` levels and hands what is nested deeper to the next one as rows; then the parts
+    are put back in, from the last round to the first.
+    """
+    rounds = [values.checkpoint()]
+    while True:
+        rest = _scrubbed(F.col("value"), raw_keys, ROUND, F.col("path"), F.lit(""))["rest"]
+        below = rounds[-1].select("node", F.explode(rest).alias("r")).select(
+            F.concat("node", F.lit("|"), "r.pos").alias("node"), F.col("node").alias("parent"), "r.pos", "r.path", "r.value"
+        )
+        below = below.checkpoint()
+        if below.isEmpty():
+            break
+        rounds.append(below)
+    parts = None
+    for nodes in reversed(rounds):
+        if parts is None:
+            given = F.map_from_entries(F.array().cast(f"array<struct<pos:string,part:{_PART}>>"))
+        else:
+            nodes, given = nodes.join(parts, nodes["node"] == parts["of"], "left"), F.col("parts")
+        clean = _scrubbed(F.col("value"), raw_keys, ROUND, F.col("path"), F.lit(""), given)
+        kept = [c for c in ("parent", "pos") if c in nodes.columns]
+        done = nodes.select("node", *kept, clean.alias("c")).select("node", *kept, "c.value", "c.removed").checkpoint()
+        if kept:
+            part = F.struct("pos", F.struct("value", "removed").alias("part"))
+            parts = done.groupBy(F.col("parent").alias("of")).agg(F.map_from_entries(F.collect_list(part)).alias("parts"))
+    return done
+
+
+def scrub_open_rows(df: DataFrame, column: str, name: str = "clean", raw_keys: Sequence[str] = RAW_KEYS) -> DataFrame:
+    """``df`` with ``name``, as :func:`scrub_open_variant` of the text ``column`` but for JSON of any depth.
+
+    Whether any text is nested deeper than one expression reaches is looked up at once; only such rows go further.
+    """
+    text = F.col(column)
+    once = df.withColumn(name, scrub_open_variant(text, raw_keys))
+    # Fewer opening brackets cannot nest deeper; that is told without parsing.
+    deep = F.coalesce(text.rlike(r"(?s)(?:[\[{][^\[{]*+){%d}" % (LEVELS + 1)), F.lit(False)) & F.coalesce(
+        scrub_open_variant(text, raw_keys)["error"] == TOO_DEEP, F.lit(False)
+    )
+    found = df.where(deep)
+    if found.isEmpty():
+        return once
+    values = found.select(F.sha2(column, 256).alias("node"), text.alias("_text")).dropDuplicates(["node"])
+    values = values.select("node", F.lit("").alias("path"), F.try_parse_json(F.col("_text")).alias("value"))
+    done = _scrub_rows(values, raw_keys).select(
+        "node",
+        F.struct(
+            "value",
+            F.transform("removed", lambda path: F.concat(F.lit(REMOVED), path)).alias("warnings"),
+            F.lit(None).cast("string").alias("error"),
+        ).alias(name),
+    )
+    rest = found.withColumn("node", F.sha2(column, 256)).join(done, "node").select(*df.columns, name)
+    return once.where(~deep).unionByName(rest)
+
+
 def _truthy(text: Column) -> Column:
     """A JSON value other than null, false, zero and the empty string, list or object."""
     return text.isNotNull() & ~F.trim(text).isin("", "null", "false", "0", "0.0", '""', "[]", "{}")
@@ -230,8 +313,9 @@ def assemble_payloads(requests: DataFrame) -> DataFrame:
         F.coalesce(F.nullif("system", F.lit("")), F.lit(DEFAULT_SYSTEM)).alias("system"),
         F.when(filled, "preferred").when(source.isNotNull(), "messages").alias("kind"),
         top.alias("_top"),
-        scrub_open_variant(source).alias("_clean"),
+        source.alias("_source"),
     )
+    built = scrub_open_rows(built, "_source", "_clean")
     value = F.col("_clean.value")
     fields = [
         F.concat(F.lit(f'"{name}":'), F.coalesce(F.to_json(F.variant_get(value, f"$.{name}", "variant")), F.lit("null")))

@@ -178,6 +178,40 @@ def test_odd_json_does_not_stop_the_others(spark):
     assert broken.first().payload is None and broken.first().error == payload.NOT_JSON
 
 
+def test_open_json_of_any_depth_is_scrubbed(spark):
+    def nested(levels):
+        inner = {"csv": 1, "deepest": levels}
+        for k in range(levels):
+            inner = {"a": inner, "raw_csv": k, "k": k} if k % 2 else [inner, {"b": [k]}]
+        return inner
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items() if k not in payload.RAW_KEYS}
+        return [clean(v) for v in x] if isinstance(x, list) else x
+
+    def paths(x, path=""):
+        if isinstance(x, list):
+            return [p for v in x for p in paths(v, f"{path}[]")]
+        found = []
+        for key in sorted(x) if isinstance(x, dict) else ():
+            here = f"{path}.{key}" if path else key
+            found += [here] if key in payload.RAW_KEYS else paths(x[key], here)
+        return found
+
+    whole = [nested(n) for n in (1, 5, 6, 7, 8, 9, 10, 13)]
+    whole.append([nested(9), nested(3), {"x": nested(8), "csv": nested(12)}, nested(9)])
+    rows = [(i, json.dumps(x)) for i, x in enumerate([*whole, whole[-2]])] + [(90, None), (91, "{")]
+    got = {r.i: r for r in payload.scrub_open_rows(spark.createDataFrame(rows, "i int, p string"), "p").select("i", F.to_json("clean.value").alias("json"), "clean.*").drop("value").collect()}
+    assert len(got) == len(rows)
+    for i, x in enumerate([*whole, whole[-2]]):
+        assert json.loads(got[i].json) == clean(x) and got[i].error is None
+        assert got[i].warnings == [payload.REMOVED + p for p in paths(x)]
+    assert got[90].json is None and got[90].error is None and got[91].error == payload.NOT_JSON
+    built = payload.assemble_payloads(_requests(spark, {"request_id": "r", "messages": rows[7][1]})).first()
+    assert json.loads(built.payload) == clean(whole[7]) and built.error is None
+
+
 def test_typed_scrub_and_audit(spark):
     df = spark.createDataFrame([(1, json.dumps(RAW)), (2, '{"experiment_title": "ok"}')], "i int, payload string")
     schema = payload_schema(df)
