@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.llm import licenses, line_templates
+from labspark.llm import filter_audit, licenses, line_templates
 from labspark.llm.ann import nearest_neighbours
 from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
@@ -70,6 +70,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_toxicity": op2_toxicity,
@@ -81,8 +85,10 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_substring": op8_substring,
     "op9_graph_search": op9_graph_search,
     "op10_licenses": op10_licenses,
+    "op13_filter_audit": op13_filter_audit,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,
     "op10_licenses": licenses.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
