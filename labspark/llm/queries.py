@@ -11,6 +11,8 @@ from labspark.llm import filter_audit, licenses, line_templates
 from labspark.llm.ann import nearest_neighbours
 from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
+from labspark.llm.pivot_clusters import exact_clusters
+from labspark.llm.pivot_clusters import oracle as clusters_oracle
 from labspark.llm.quality import quality_scores
 from labspark.llm.sentencepiece_codec import encoded_documents
 from labspark.llm.substring import repeated_passages
@@ -70,6 +72,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,10 +91,12 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_substring": op8_substring,
     "op9_graph_search": op9_graph_search,
     "op10_licenses": op10_licenses,
+    "op12_pivot_clusters": op12_pivot_clusters,
     "op13_filter_audit": op13_filter_audit,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,
     "op10_licenses": licenses.ORACLE,
+    "op12_pivot_clusters": clusters_oracle(),
     "op13_filter_audit": filter_audit.ORACLE,
 }
