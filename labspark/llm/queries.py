@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labspark.llm import filter_audit, licenses, line_templates
+from labspark.llm import filter_audit, licenses, line_templates, secrets
 from labspark.llm.ann import nearest_neighbours
 from labspark.llm.decontamination import leaks
 from labspark.llm.minhash import near_duplicates
@@ -72,6 +72,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, sf_dir, "documents"))
+
+
 def op12_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_clusters(table(spark, sf_dir, "embeddings"))
 
@@ -91,12 +95,14 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_substring": op8_substring,
     "op9_graph_search": op9_graph_search,
     "op10_licenses": op10_licenses,
+    "op11_secrets": op11_secrets,
     "op12_pivot_clusters": op12_pivot_clusters,
     "op13_filter_audit": op13_filter_audit,
 }
 LLM_ORACLE_SQL: dict[str, str] = {
     "op6_line_templates": line_templates.ORACLE,
     "op10_licenses": licenses.ORACLE,
+    "op11_secrets": secrets.oracle(),
     "op12_pivot_clusters": clusters_oracle(),
     "op13_filter_audit": filter_audit.ORACLE,
 }
