@@ -52,9 +52,10 @@ BASE = [
     Kind("hex", "[0-9a-f]{16,}", 0, 16),
 ]
 #: Findings where the value looks alive and one owner holds it: long mixed runs, passwords in addresses.
+#: The scheme's length is bounded, as a long run of letters would be tried again from each of them.
 LOOSE = [
     Kind("mixed", "[A-Za-z0-9+/_-]{20,}", 0, 20, "", 10, ("[0-9]", "[a-z]", "[A-Z]")),
-    Kind("url", rf"[a-z][a-z0-9+.-]*://{_ANY}+:({_ANY}+)@", 1, 8, "://", 6, ("[0-9]",)),
+    Kind("url", rf"[a-z][a-z0-9+.-]{{0,20}}://{_ANY}+:({_ANY}+)@", 1, 8, "://", 6, ("[0-9]",)),
 ]
 KINDS = [k.name for k in BASE + LOOSE]
 

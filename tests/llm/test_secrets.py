@@ -9,7 +9,7 @@ from labspark.llm.secrets import CHUNK, oracle, secret_digests, secret_spans
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 MIXED = re.compile("[A-Za-z0-9+/_-]{20,}")
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:([^\x20\x09-\x0D/@:]+)@")
+URL = re.compile(r"[a-z][a-z0-9+.-]{0,20}://[^\x20\x09-\x0D:/@]+:([^\x20\x09-\x0D/@:]+)@")
 ORDER = ["assign", "access", "hex", "mixed", "url"]
 
 
