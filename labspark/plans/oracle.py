@@ -393,7 +393,7 @@ SELECT dataset_id, col_idx, count(*) AS n_cells, count(num) + count(txt) AS n_ra
        round(sum(num), 3) AS total FROM cells GROUP BY dataset_id, col_idx""",
         "hard_files": """
 WITH e AS (
-  SELECT event_id // 200 AS dataset_id, (event_id // 200) % 6 AS kind, event_id % 200 + 1 AS place,
+  SELECT event_id // 200 AS dataset_id, (event_id // 200) % 7 AS kind, event_id % 200 + 1 AS place,
          CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events
 ), c AS (
   SELECT dataset_id, kind, count(*) AS n, sum(k) AS k, sum(place) AS p,
@@ -410,7 +410,12 @@ UNION ALL SELECT dataset_id, 0, 'wert', n, n, 0, k + 0.5 * n, NULL FROM c WHERE
 UNION ALL SELECT dataset_id, NULL, NULL, NULL, NULL, NULL, NULL, 'row_overflow' FROM c WHERE kind = 3
 UNION ALL SELECT dataset_id, NULL, NULL, NULL, NULL, NULL, NULL, 'unterminated_quote' FROM c WHERE kind = 4
 UNION ALL SELECT dataset_id, 0, 't', n, n, n0, p12, NULL FROM c WHERE kind = 5
-UNION ALL SELECT dataset_id, 1, 'v', n0 + n2, n0 + n2, n2, n0, NULL FROM c WHERE kind = 5""",
+UNION ALL SELECT dataset_id, 1, 'v', n0 + n2, n0 + n2, n2, n0, NULL FROM c WHERE kind = 5
+UNION ALL SELECT dataset_id, 0, 'k', n, n, 0, k, NULL FROM c WHERE kind = 6
+UNION ALL SELECT dataset_id, 1, 'notiz' || chr(10) || 'lang', n, 0, 0, NULL, NULL FROM c WHERE kind = 6
+UNION ALL SELECT dataset_id, 2, 'p', n, n, 0, p, NULL FROM c WHERE kind = 6""",
+        "multiline_cells": """
+SELECT source AS dataset_id, doc_id, md5(text) AS text_md5, length(text) AS n_chars, lang, doc_id AS place FROM documents""",
         "tracking_read": f"""
 WITH {_MEASURED}
 SELECT dataset_id, count(*) AS n, round(sum(t), 3) AS sum_t, round(sum(v), 3) AS sum_x, sum(k) AS sum_y,

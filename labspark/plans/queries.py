@@ -379,14 +379,14 @@ def parse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_lines(events: DataFrame) -> DataFrame:
-    """Runs of events as files with what goes wrong in practice, one kind per run number modulo six.
+    """Runs of events as files with what goes wrong in practice, one kind per run number modulo seven.
 
     Repeated names that meet a suffix; quoted cells, an empty name and a token for missing; one column with
     quoted commas; a row that is too long; a quote that stays open; a blank first line, short rows and
-    infinite cells.
+    infinite cells; a name and cells that go on over two or three lines.
     """
     run, place = F.expr(f"event_id div {RUN_EVENTS}"), F.col("event_id") % RUN_EVENTS + 1
-    kind, text = run % 6, place.cast("string")
+    kind, text = run % 7, place.cast("string")
     k = F.get_json_object("props", "$.k")
     line = (
         F.when(kind == 0, F.concat_ws(",", k, F.lit(""), text))
@@ -394,27 +394,43 @@ def hard_lines(events: DataFrame) -> DataFrame:
         .when(kind == 2, F.concat(F.lit('"'), k, F.lit(',5"')))
         .when(kind == 3, F.when(place == 5, "1,2,3,4").otherwise("1,2,3"))
         .when(kind == 4, F.when(place == 3, '"abc').otherwise("1"))
-        .otherwise(
-            F.when(place % 3 == 0, "inf;1").when(place % 3 == 1, text).otherwise(F.concat(text, F.lit(";-inf")))
-        )
+        .when(kind == 5, F.when(place % 3 == 0, "inf;1").when(place % 3 == 1, text).otherwise(F.concat(text, F.lit(";-inf"))))
+        .when(place % 3 == 0, F.concat(k, F.lit(';"sagt ""'), "event_type", F.lit('""')))
+        .when(place % 3 == 1, F.concat(k, F.lit(";kurz;"), text))
+        .otherwise(F.concat(k, F.lit(';"')))
     )
-    headers = ["x,x,x.1", 'a,"b,c",', "wert", "a,b,c", "wert", "t;v"]
+    headers = ["x,x,x.1", 'a,"b,c",', "wert", "a,b,c", "wert", "t;v", 'k;"notiz']
     header = F.element_at(F.array(*map(F.lit, headers)), (kind + 1).cast("int"))
-    row = F.struct((place + 1).alias("row_idx"), line.alias("line"))
+
+    def numbered(at: Column | int, text: Column) -> Column:
+        return F.struct((place * 4 + at).alias("row_idx"), text.alias("line"))
+
+    row = numbered(0, line)
+    more = F.when(kind != 6, F.array(row)).otherwise(
+        F.when(place % 3 == 0, F.array(row, numbered(1, F.concat(F.lit('und; mehr";'), text))))
+        .when(place % 3 == 1, F.array(row))
+        .otherwise(F.array(row, numbered(1, F.lit("")), numbered(2, F.concat(F.lit('";'), text))))
+    )
     first = F.array(
         F.struct(F.lit(0).cast("bigint").alias("row_idx"), F.lit("  ").alias("line")),
         F.struct(F.lit(1).cast("bigint").alias("row_idx"), header.alias("line")),
-        row,
     )
-    lines = F.when(place == 1, first).otherwise(F.array(row))
+    second = F.array(F.struct(F.lit(2).cast("bigint").alias("row_idx"), F.lit('lang";p').alias("line")))
+    top = F.when(kind == 6, F.concat(first, second)).otherwise(first)
+    lines = F.when(place == 1, F.concat(top, more)).otherwise(more)
     return events.select(run.alias("dataset_id"), F.explode(lines).alias("l")).select("dataset_id", "l.*")
 
 
 def hard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of difficult files by column, and the reasons of those that cannot be read."""
+    """Cells of difficult files by column, and the reasons of those that cannot be read.
+
+    Blocks are short, so that every file is cut into more than four.
+    """
     lines = hard_lines(table(spark, sf_dir, "events"))
-    layouts = cut_lineage(delimited.detect(lines))
-    cells, names = delimited.to_cells(measurement_rows(lines, layouts)), delimited.column_names(layouts)
+    block_rows = RUN_EVENTS
+    layouts = cut_lineage(delimited.detect(lines, block_rows))
+    cells = delimited.to_cells(measurement_rows(lines, layouts, block_rows))
+    names = delimited.column_names(layouts)
     read = (
         cells.groupBy("dataset_id", "col_idx")
         .agg(
@@ -429,6 +445,35 @@ def hard_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.unionByName(failed, allowMissingColumns=True)
 
 
+def document_lines(docs: DataFrame) -> DataFrame:
+    """Each source as one file with a row per document, whose whole text is one quoted cell."""
+    place = F.shiftleft("doc_id", 20)
+    quoted = F.concat(F.col("doc_id").cast("string"), F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('",'), "lang")
+    head = F.struct(F.lit(-1).cast("bigint").alias("row_idx"), F.lit("doc_id,text,lang").alias("line"))
+    rows = docs.select("source", F.posexplode(F.split(quoted, "\n")).alias("at", "line"), place.alias("place")).select(
+        F.col("source").alias("dataset_id"), (F.col("place") + F.col("at")).alias("row_idx"), "line"
+    )
+    heads = docs.select(F.col("source").alias("dataset_id")).distinct().select("dataset_id", head.alias("h")).select("dataset_id", "h.*")
+    return rows.unionByName(heads)
+
+
+def multiline_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of the documents, read back from cells that go on over any number of lines."""
+    lines = document_lines(table(spark, sf_dir, "documents"))
+    block_rows = 1 << 26
+    layouts = delimited.detect(lines, block_rows)
+    rows = delimited.parse_rows(lines, delimited.accepted(layouts), block_rows=block_rows)
+    number, text, lang = (F.get("fields", F.lit(i)) for i in range(3))
+    return rows.select(
+        "dataset_id",
+        number.cast("bigint").alias("doc_id"),
+        F.md5(text).alias("text_md5"),
+        F.length(text).alias("n_chars"),
+        lang.alias("lang"),
+        F.shiftright("row_idx", 20).alias("place"),
+    )
+
+
 def tracking_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracking files with comments and a column ``valid``, read back as samples."""
     run = F.expr(f"event_id div {RUN_EVENTS}")
@@ -989,6 +1034,7 @@ QUERIES: dict[str, Query] = {
         delimiter_detect,
         parse_cells,
         hard_files,
+        multiline_cells,
         tracking_read,
         role_binding,
         angular_regression,

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from labspark.functions.numeric import WHITESPACE, as_number, missing_to_null, strip
 from labspark.operators.ordered import BLOCK_ROWS
+from labspark.session import cut_lineage
+from labspark.sources.records import NO_DELIMITER, ends_open, ends_open_by, joined_records, marked_cells, unquoted
 
 # Separators considered, in order of preference at equal score.
 DELIMITERS = [",", ";", "\t"]
@@ -36,43 +38,16 @@ def _is_blank(line: Column) -> Column:
     return strip(line) == ""
 
 
-def _field_pattern(delimiter: str) -> str:
-    """One field with its leading delimiter: quoted (doubled quotes inside) or bare."""
-    d = "\\t" if delimiter == "\t" else delimiter
-    return f'{d}("[^"]*+(?:""[^"]*+)*+"[^{d}]*+|[^{d}"][^{d}]*+|(?={d}|$))'
-
-
-def _unquote(field: Column) -> Column:
-    quoted = F.regexp_extract(field, r'(?s)^"((?:[^"]|"")*+)"(.*)$', 1)
-    tail = F.regexp_extract(field, r'(?s)^"((?:[^"]|"")*+)"(.*)$', 2)
-    return F.when(
-        field.startswith('"'), F.concat(F.replace(quoted, F.lit('""'), F.lit('"')), tail)
-    ).otherwise(field)
-
-
 def split_fields(line: Column, delimiter: Column) -> Column:
-    """The fields of a line as an array; quotes are only looked at where the line has any."""
-    result = F.when(delimiter.isNull(), F.array(_unquote(line)))
+    """The fields of a record as an array; quotes are only looked at where the record has any."""
+    result = F.when(delimiter.isNull(), F.transform(marked_cells(line, NO_DELIMITER), unquoted))
     for d in DELIMITERS:
         plain = F.split(line, d, -1)
-        quoted = F.transform(
-            F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(_field_pattern(d)), F.lit(1)),
-            _unquote,
-        )
+        quoted = F.transform(marked_cells(line, d), unquoted)
         result = result.when(delimiter == d, F.when(line.contains('"'), quoted).otherwise(plain))
     return result
 
 
-def is_malformed(line: Column, delimiter: Column) -> Column:
-    """A quoted field that is not closed on its line."""
-    broken = F.lit(False)
-    for d in DELIMITERS:
-        pattern = f"^(?:{_field_pattern(d)})+$"
-        broken = F.when(delimiter == d, ~F.concat(F.lit(d), line).rlike(pattern)).otherwise(broken)
-    alone = delimiter.isNull() & ((F.length(line) - F.length(F.replace(line, F.lit('"')))) % 2 == 1)
-    return line.contains('"') & (broken | alone)
-
-
 def _names(header: Column, delimiter: Column) -> Column:
     """Column names: empty ones get a position name, repeated ones the first suffix that no column uses."""
     named = F.transform(
@@ -94,22 +69,74 @@ def _names(header: Column, delimiter: Column) -> Column:
     return F.aggregate(named, F.array().cast("array<string>"), appended)
 
 
-def candidates(lines: DataFrame) -> DataFrame:
-    """One row per (dataset, delimiter) worth trying; datasets without any text keep a NULL header."""
+def candidates(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per (dataset, delimiter) worth trying; datasets without any text keep a NULL header.
+
+    ``multiline`` tells whether quotes stay open at the end of any line.  A header that does so is the whole
+    record; where its first line has no delimiter, all are tried.  The rows are few and are written to the
+    checkpoint folder, so that files whose records are lines need nothing more.
+    """
     line = F.when(~_is_blank(F.col("line")), F.col("line"))
+    open_by = {d: F.max(ends_open(F.col("line"), d or NO_DELIMITER)) for d in [None, *DELIMITERS]}
     headers = lines.groupBy("dataset_id").agg(
         F.min_by(line, F.when(line.isNotNull(), F.col("row_idx"))).alias("header"),
         F.min(F.when(line.isNotNull(), F.col("row_idx"))).alias("header_idx"),
         F.max("row_idx").alias("last_idx"),
+        F.array(*open_by.values()).alias("_open"),
     )
     header = F.col("header")
     present = F.array_compact(
         F.array(*[F.when(header.contains(d), F.lit(d)) for d in DELIMITERS])
     )
-    tried = F.when(F.size(present) > 0, present).otherwise(F.array(F.lit(None).cast("string")))
-    return headers.select("*", F.posexplode(tried).alias("ord", "delimiter")).withColumn(
-        "names", _names(header, F.col("delimiter"))
+    tried = (
+        F.when(F.size(present) > 0, present)
+        .when(ends_open(header, NO_DELIMITER), F.array(*map(F.lit, DELIMITERS)))
+        .otherwise(F.array(F.lit(None).cast("string")))
+    )
+    kinds = F.array(*[F.lit(d).cast("string") for d in DELIMITERS])
+    found = cut_lineage(
+        headers.select("*", F.posexplode(tried).alias("ord", "delimiter")).select(
+            "dataset_id",
+            "header",
+            "header_idx",
+            "last_idx",
+            "ord",
+            "delimiter",
+            F.get("_open", F.coalesce(F.array_position(kinds, F.col("delimiter")), F.lit(0)).cast("int")).alias("multiline"),
+        )
+    )
+    opened = found.filter(ends_open_by(header, F.col("delimiter"), DELIMITERS))
+    if not opened.isEmpty():
+        # Only lines from the header on can belong to it.
+        first = _records(lines, opened, block_rows).select(
+            "dataset_id", F.col("delimiter").alias("_d"), F.col("row_idx").alias("header_idx"), F.col("line").alias("_whole"), "unclosed"
+        )
+        whole = first.filter("not unclosed").drop("unclosed")
+        found = (
+            found.alias("f")
+            .join(
+                whole.alias("w"),
+                (F.col("f.dataset_id") == F.col("w.dataset_id"))
+                & F.col("delimiter").eqNullSafe(F.col("_d"))
+                & (F.col("f.header_idx") == F.col("w.header_idx")),
+                "left",
+            )
+            .select("f.*", "_whole")
+            .withColumn("header", F.coalesce("_whole", "header"))
+            .drop("_whole")
+        )
+    return found.withColumn("names", _names(F.col("header"), F.col("delimiter")))
+
+
+def _records(lines: DataFrame, layouts: DataFrame, block_rows: int) -> DataFrame:
+    """The records of those layouts' files."""
+    files = layouts.select("dataset_id", "delimiter", "header_idx")
+    blocks = lines.select("dataset_id", _block("row_idx", block_rows).alias(_BLOCK)).distinct()
+    chosen = lines.withColumn(_BLOCK, _block("row_idx", block_rows)).join(
+        blocks.join(files, "dataset_id"), ["dataset_id", _BLOCK]
     )
+    chosen = chosen.filter("row_idx >= header_idx").select("dataset_id", "delimiter", "row_idx", "line")
+    return joined_records(chosen, DELIMITERS, block_rows)
 
 
 def parse_rows(
@@ -118,22 +145,35 @@ def parse_rows(
     """Data rows of every layout: ``dataset_id, delimiter, row_idx, fields, n_fields, malformed``.
 
     ``fields`` holds the texts as written, one per header column (more in an overlong row), NULL where
-    the row is short.
+    the row is short.  A row is a record, whose quoted fields may hold line ends; its ``row_idx`` is that of
+    its first line.  ``malformed`` rows leave a quote open.
     ``carry`` names further layout columns to put on every row.
     """
-    # Row numbers may have wide gaps, so only blocks that hold lines take part.
-    blocks = lines.select("dataset_id", _block("row_idx", block_rows).alias(_BLOCK)).distinct()
-    known = blocks.join(
-        layouts.filter("header is not null").select(
-            "dataset_id", "delimiter", "header_idx", F.size("names").alias("_width"), *carry
-        ),
-        "dataset_id",
-    )
+    layouts = layouts.filter("header is not null")
     line, delimiter = F.col("line"), F.col("delimiter")
+
+    def known(rows: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+        # Row numbers may have wide gaps, so only blocks that hold lines take part.
+        blocks = lines.select("dataset_id", _block("row_idx", block_rows).alias(_BLOCK)).distinct()
+        facts = chosen.select("dataset_id", delimiter, "header_idx", F.size("names").alias("_width"), *carry)
+        spread = blocks.join(facts, "dataset_id")
+        numbered = rows.withColumn(_BLOCK, _block("row_idx", block_rows))
+        if not keys:
+            return numbered.join(spread, ["dataset_id", _BLOCK])
+        same = (F.col("r.dataset_id") == F.col("k.dataset_id")) & (F.col(f"r.{_BLOCK}") == F.col(f"k.{_BLOCK}"))
+        joined = numbered.alias("r").join(spread.alias("k"), same & F.col("r.delimiter").eqNullSafe(F.col("k.delimiter")))
+        return joined.select("r.*", "k.header_idx", "k._width", *(f"k.{c}" for c in carry))
+
+    if "multiline" in layouts.columns:
+        single, several = layouts.filter("not multiline"), layouts.filter("multiline")
+        data = known(lines, single).withColumn("malformed", F.lit(False))
+        if not several.isEmpty():
+            whole = known(_records(lines, several, block_rows), several, "delimiter")
+            data = data.unionByName(whole.withColumnRenamed("unclosed", "malformed"))
+    else:
+        data = known(lines, layouts).withColumn("malformed", ends_open_by(line, delimiter, DELIMITERS))
     data = (
-        lines.withColumn(_BLOCK, _block("row_idx", block_rows))
-        .join(known, ["dataset_id", _BLOCK])
-        .filter(F.col("row_idx") > F.col("header_idx"))
+        data.filter(F.col("row_idx") > F.col("header_idx"))
         .filter(~_is_blank(line) | F.coalesce(line.contains(delimiter), F.lit(False)))
         .withColumn("_raw", split_fields(line, delimiter))
     )
@@ -148,7 +188,7 @@ def parse_rows(
         padded.alias("fields"),
         "_width",
         F.size("_raw").alias("n_fields"),
-        is_malformed(line, delimiter).alias("malformed"),
+        "malformed",
         *carry,
     )
 
@@ -182,11 +222,11 @@ def score_candidates(lines: DataFrame, tried: DataFrame, block_rows: int = BLOCK
 def detect(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One layout per file: the chosen delimiter and header, or the reason why there is none.
 
-    Columns ``dataset_id, header, header_idx, last_idx, delimiter, names, score, ref_accepts, error,
-    reason``.  A negative score does not reject a file here; ``ref_accepts`` tells whether the strict
+    Columns ``dataset_id, header, header_idx, last_idx, delimiter, names, multiline, score, ref_accepts,
+    error, reason``.  A negative score does not reject a file here; ``ref_accepts`` tells whether the strict
     rule (score at least zero) would have taken it.
     """
-    tried = candidates(lines)
+    tried = candidates(lines, block_rows)
     scored = score_candidates(lines, tried, block_rows)
     judged = tried.join(scored, ["dataset_id", "ord"], "left")
     usable = F.col("score").isNotNull() & ~F.col("overflow") & ~F.col("malformed")
@@ -202,6 +242,8 @@ def detect(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         F.struct(
             "delimiter",
             "names",
+            "header",
+            "multiline",
             score,
             usable.alias("usable"),
             F.when(F.col("header").isNull(), "empty")
@@ -212,7 +254,7 @@ def detect(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         ).alias("choice"),
     )
     best = per_candidate.groupBy("dataset_id").agg(
-        F.first("header").alias("header"),
+        F.min("header").alias("header"),
         F.first("header_idx").alias("header_idx"),
         F.first("last_idx").alias("last_idx"),
         F.max_by("choice", "merit").alias("choice"),
@@ -220,11 +262,12 @@ def detect(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     found = F.col("choice.usable")
     return best.select(
         "dataset_id",
-        "header",
+        F.coalesce("choice.header", "header").alias("header"),
         "header_idx",
         "last_idx",
         F.when(found, F.col("choice.delimiter")).alias("delimiter"),
         F.when(found, F.col("choice.names")).alias("names"),
+        F.coalesce("choice.multiline", F.lit(False)).alias("multiline"),
         F.col("choice.score").alias("score"),
         F.coalesce(F.col("choice.score") >= 0, F.lit(False)).alias("ref_accepts"),
         F.when(F.col("header").isNull(), ERROR_EMPTY)
