@@ -17,7 +17,7 @@ STATUS_LABELS = {
 # Display names of sources, by a part of the file name.
 SOURCE_LABELS = {"rothmaler": "Rothmaler", "strasburger": "Strasburger"}
 
-_NO_ESCAPE = "\u0001"
+NO_ESCAPE = "\u0001"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -28,7 +28,7 @@ def ascii_lower(text: Column) -> Column:
 def ascii_like(text: Column, pattern: str) -> Column:
     """LIKE with ASCII case folding, ``_`` and ``%`` as wildcards and no escape character."""
     folded = "".join(c.lower() if c in string.ascii_uppercase else c for c in pattern)
-    return F.like(ascii_lower(text), F.lit(folded), F.lit(_NO_ESCAPE))
+    return F.like(ascii_lower(text), F.lit(folded), F.lit(NO_ESCAPE))
 
 
 def status_label(status: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from labspark.functions.text import ascii_like, source_label, status_label
+from labspark.functions.numeric import strip
+from labspark.functions.text import NO_ESCAPE, ascii_like, ascii_lower, source_label, status_label
+from labspark.session import cut_lineage
 
 # States and scope left out of a search.
 HIDDEN_STATUSES = ["deprecated", "reference_only", "critical"]
@@ -29,6 +31,10 @@ FEATURE_TEXT_COLUMNS = [
     "source_note",
 ]
 _SALTS = 64
+#: Grams held by more than one in so many of all postings are spread over salts; there are fewer than that.
+_HOT_GRAMS = 4096
+#: A taxon with more features is ranked in several pieces.
+SPLIT_ROWS = 1 << 20
 
 
 def visible(include_stubs: bool = False) -> Column:
@@ -103,6 +109,94 @@ def batch_search(
     )
 
 
+def _grams(text: Column, n: Column | int) -> Column:
+    """All runs of ``n`` characters of a text; none if it is shorter."""
+    size = F.lit(n) if isinstance(n, int) else n
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.transform(starts, lambda i: F.substr(text, i, size))).otherwise(
+        F.expr("cast(array() as array<string>)")
+    )
+
+
+def search_table(
+    taxa: DataFrame, queries: DataFrame, include_stubs: bool = False, limit: int = SEARCH_LIMIT
+) -> DataFrame:
+    """As :func:`batch_search` for a table ``queries(query)`` of any size; null texts search for nothing.
+
+    The names of visible taxa are indexed by their runs of three characters, and of two and one for shorter
+    texts.  A text is looked up by its rarest run between wildcards, and the pattern is tested on the taxa found,
+    so no pattern meets the whole catalog.  Runs that many taxa hold are spread over salts.  A text of wildcards
+    alone asks for names of some length only; such texts share one scan.  Rows that repeat are one hit each.
+    """
+    base = taxa.filter(visible(include_stubs))
+    row = F.struct(*base.columns)
+    texts = queries.select(strip(F.col("query")).alias("query")).filter("query is not null").distinct()
+    folded = ascii_lower(F.col("query"))
+    runs = F.split(folded, "[%_]+")
+    longest = F.array_max(F.transform(runs, F.length))
+    texts = cut_lineage(
+        texts.select(
+            "query",
+            folded.alias("folded"),
+            F.when(longest > 0, F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, F.least(longest, F.lit(3)))))))
+            .alias("grams"),
+        )
+    )
+
+    lowered = [ascii_lower(F.col(c)) for c in SEARCH_COLUMNS]
+    held = [F.coalesce(_grams(name, n), F.expr("cast(array() as array<string>)")) for name in lowered for n in (1, 2, 3)]
+    postings = base.select(row.alias("taxon"), F.explode(F.array_distinct(F.concat(*held))).alias("gram"))
+    # Texts that share a gram are spread when they meet its count.
+    salt = F.pmod(F.xxhash64("query"), F.lit(_SALTS)).cast("int")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    asked = texts.select("query", "folded", F.explode("grams").alias("gram"))
+    sizes = cut_lineage(
+        postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(asked.select("gram").distinct(), "gram", "left_semi")
+    )
+    counted = asked.withColumn("salt", salt).join(sizes.select("gram", "n", spread), ["gram", "salt"], "left")
+    # A gram that no taxon holds leaves no hit, so it is the rarest.
+    rarest = counted.groupBy("query", "folded").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") * _HOT_GRAMS > total
+    common = F.broadcast(sizes.filter(hot).select("gram", F.lit(True).alias("hot")))  # fewer than _HOT_GRAMS rows
+    by_taxon = F.pmod(F.xxhash64("taxon.taxon_id"), F.lit(_SALTS)).cast("int")
+    placed = postings.join(common, "gram", "left").select("gram", "taxon", F.when(F.col("hot"), by_taxon).otherwise(0).alias("salt"))
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    wanted = rarest.filter("key.n > 0").select("query", "folded", "key.*").select("query", "folded", "gram", F.explode(copies).alias("salt"))
+    pattern = F.concat(F.lit("%"), F.col("folded"), F.lit("%"))
+
+    def matches(column: str) -> Column:
+        name = ascii_lower(F.col(f"taxon.{column}"))
+        like = F.when(F.col("folded").rlike("[%_]"), F.like(name, pattern, F.lit(NO_ESCAPE))).otherwise(name.contains(F.col("folded")))
+        return F.coalesce(like, F.lit(False))
+
+    found = [matches(c) for c in SEARCH_COLUMNS]
+    hits = placed.join(wanted, ["gram", "salt"]).filter(found[0] | found[1] | found[2]).select("query", "taxon")
+    first = _first(hits, ["query"], limit)
+
+    # Without a fixed character only the least length counts; an empty text has no condition at all.
+    least = F.when(F.col("query") == "", -1).otherwise(F.length(F.regexp_replace("query", "[^_]", "")))
+    open_texts = texts.filter("grams is null").select("query", least.alias("least"))
+    reach = F.greatest(*(F.coalesce(F.length(c), F.lit(-1)) for c in SEARCH_COLUMNS))
+    widest = base.agg(F.coalesce(F.max(reach), F.lit(-1))).first()[0]
+    # At most one number for each length that a name has.
+    steps = sorted(r.least for r in open_texts.filter(F.col("least") <= widest).select("least").distinct().collect())
+    if steps:
+        reached = F.filter(F.array(*map(F.lit, steps)), lambda n: n <= reach)
+        shared = _first(base.select(F.explode(reached).alias("least"), row.alias("taxon")), ["least"], limit)
+        first = first.unionByName(open_texts.join(F.broadcast(shared), "least").select("query", "position", "taxon"))
+    return first.select("query", "position", "taxon.*")
+
+
+def _first(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` taxa of each key by ``taxon_id``, cut in parts before they meet."""
+    order = [F.col("taxon.taxon_id"), F.col("taxon")]
+    part = Window.partitionBy(*keys, F.pmod(F.xxhash64("taxon"), F.lit(_SALTS))).orderBy(*order)
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    few = hits.withColumn("position", F.row_number().over(part)).filter(F.col("position") <= limit)
+    return few.withColumn("position", F.row_number().over(whole)).filter(F.col("position") <= limit)
+
+
 def with_labels(taxa: DataFrame) -> DataFrame:
     return taxa.withColumns(
         {"status_label": status_label(F.col("status")), "source_label": source_label(F.col("source_pdf"))}
@@ -161,6 +255,39 @@ def taxon_details(taxa: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
+_FEATURE_ORDER = ["organ", "feature_group", "character", "feature_id"]
+
+
+def ranked_details(details: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``details`` with ``position``: the place of a feature in its taxon, by organ, group, character and id.
+
+    Taxa of up to ``split_rows`` features are numbered by a window.  The features of larger ones, and only they,
+    are dealt out by ranges of their order; a piece numbers its rows and adds the rows of the pieces before it.
+    So no taxon is in one task, and the rest is never sorted as a whole.  A taxon without features has no
+    position; features that agree in all of the order are numbered in any order.
+    """
+    small = Window.partitionBy("taxon_id").orderBy(*_FEATURE_ORDER)
+    bare = details.filter("features_count = 0").withColumn("position", F.lit(None).cast("long"))
+    cold = details.filter(F.col("features_count").between(1, split_rows)).withColumn("position", F.row_number().over(small).cast("long"))
+    large = details.filter(F.col("features_count") > split_rows)
+    # Ranges come from a sample, so the rows are written with their piece before pieces are counted.  Equal
+    # features are told apart by a number, as equal keys would all go to one range.
+    pieces = cut_lineage(
+        large.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange("taxon_id", *_FEATURE_ORDER, "_tie")
+        .withColumn("_piece", F.spark_partition_id())
+    )
+    before = Window.partitionBy("taxon_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        pieces.groupBy("taxon_id", "_piece")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("taxon_id", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy("taxon_id", "_piece").orderBy(*_FEATURE_ORDER, "_tie")
+    hot = pieces.join(offsets, ["taxon_id", "_piece"]).withColumn("position", F.row_number().over(inside) + F.col("_offset"))
+    return cold.unionByName(hot.select(*cold.columns)).unionByName(bare)
+
+
 def ordered_details(details: DataFrame) -> DataFrame:
     """Global order by taxon, then organ, group, character and id: a range sort, split inside a taxon too."""
     return details.orderBy("taxon_id", "organ", "feature_group", "character", "feature_id")

@@ -596,11 +596,29 @@ WHERE f.visibility_in_photo = 'medium' AND f.diagnostic_weight = 'medium'
   AND contains(lower(coalesce(t.scientific_name, '') || ' ' || coalesce(t.german_name, '') || ' ' || f."character"
     || ' ' || f.state || ' ' || f.organ || ' ' || f.feature_group || ' ' || f.taxon_id || ' '
     || coalesce(f.source_note, '')), 'ring brand#1')""",
+        "table_search": f"""
+WITH {_TAXA}, texts AS (
+  SELECT DISTINCT trim(CASE p_partkey % 6 WHEN 0 THEN upper(piece) WHEN 1 THEN replace(piece, 'e', '_')
+    WHEN 2 THEN ' ' || p_name[1:2] || '%' || p_name[-3:] WHEN 3 THEN CAST(p_partkey AS VARCHAR) WHEN 4 THEN lower(p_brand)
+    ELSE repeat('_', CAST(p_size % 20 AS BIGINT)) END) AS query FROM (SELECT *, substr(p_name, 2, CAST(p_size % 7 + 1 AS BIGINT)) AS piece FROM part)
+), hits AS (
+  SELECT query, taxon_id, scientific_name, status, row_number() OVER (PARTITION BY query ORDER BY taxon_id) AS position
+  FROM texts JOIN taxa ON {_visible(False)} AND (query = '' OR lower(scientific_name) LIKE '%' || lower(query) || '%'
+    OR lower(german_name) LIKE '%' || lower(query) || '%' OR lower(taxon_id) LIKE '%' || lower(query) || '%')
+)
+SELECT query, position, taxon_id, scientific_name, status FROM hits WHERE position <= 50""",
         "taxon_detail": f"""
 WITH {_TAXA}, {_FEATURES}
 SELECT t.taxon_id, t.scientific_name, count(f.feature_id) OVER (PARTITION BY t.taxon_id) AS features_count,
+       CASE WHEN f.feature_id IS NOT NULL THEN row_number() OVER (
+         PARTITION BY t.taxon_id ORDER BY f.organ, f.feature_group, f."character", f.feature_id) END AS position,
        f.feature_id, f.organ, f.feature_group, f."character", f.state, f.diagnostic_weight
 FROM taxa t LEFT JOIN features f USING (taxon_id)""",
+        "hot_taxon_detail": f"""
+WITH {_FEATURES}
+SELECT organ AS taxon_id, 'flag ' || organ AS scientific_name, count(*) OVER (PARTITION BY organ) AS features_count,
+       row_number() OVER (PARTITION BY organ ORDER BY feature_group, "character", feature_id) AS position,
+       feature_id, organ, feature_group, "character", state, diagnostic_weight FROM features""",
         "active_without_features": f"""
 WITH {_TAXA}, {_FEATURES}
 SELECT taxon_id, rank, status FROM taxa t

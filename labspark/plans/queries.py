@@ -783,6 +783,26 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query", "position", "taxon_id", "scientific_name", "status")
 
 
+def search_texts(part: DataFrame) -> DataFrame:
+    """Search texts made of the catalog's own names: pieces of names, with wildcards, ids, brands and wildcards alone."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 6
+    piece = F.substr(name, F.lit(2), (F.col("p_size") % 7 + 1).cast("int"))
+    return part.select(
+        F.when(kind == 0, F.upper(piece))
+        .when(kind == 1, F.replace(piece, F.lit("e"), F.lit("_")))
+        .when(kind == 2, F.concat(F.lit(" "), F.substr(name, F.lit(1), F.lit(2)), F.lit("%"), F.substr(name, F.lit(-3), F.lit(3))))
+        .when(kind == 3, F.col("p_partkey").cast("string"))
+        .when(kind == 4, F.lower("p_brand"))
+        .otherwise(F.repeat(F.lit("_"), (F.col("p_size") % 20).cast("int")))
+        .alias("query")
+    )
+
+
+def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = catalog.search_table(_catalog(spark, sf_dir)[0], search_texts(table(spark, sf_dir, "part")))
+    return hits.select("query", "position", "taxon_id", "scientific_name", "status")
+
+
 def find_taxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.find_taxon(_catalog(spark, sf_dir)[0], " 17 ")
 
@@ -806,19 +826,18 @@ def feature_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_DETAIL = ["taxon_id", "scientific_name", "features_count", "position", "feature_id", *"organ feature_group character state diagnostic_weight".split()]
+
+
 def taxon_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    details = catalog.taxon_details(*_catalog(spark, sf_dir))
-    return catalog.ordered_details(details).select(
-        "taxon_id",
-        "scientific_name",
-        "features_count",
-        "feature_id",
-        "organ",
-        "feature_group",
-        "character",
-        "state",
-        "diagnostic_weight",
-    )
+    return catalog.ranked_details(catalog.taxon_details(*_catalog(spark, sf_dir))).select(*_DETAIL)
+
+
+def hot_taxon_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as features of their return flag: a few taxa with most of the rows, ranked in pieces."""
+    owned = features(table(spark, sf_dir, "lineitem")).withColumn("taxon_id", F.col("organ"))
+    flags = owned.select("taxon_id").distinct().withColumn("scientific_name", F.concat(F.lit("flag "), "taxon_id"))
+    return catalog.ranked_details(catalog.taxon_details(flags, owned), 5000).select(*_DETAIL)
 
 
 def active_without_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1064,11 +1083,13 @@ QUERIES: dict[str, Query] = {
         catalog_search,
         search_envelope,
         batch_search,
+        table_search,
         find_taxon,
         taxon_labels,
         photo_features,
         feature_text_filter,
         taxon_detail,
+        hot_taxon_detail,
         active_without_features,
         dangling_features,
         catalog_expectations,

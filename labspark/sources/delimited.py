@@ -107,24 +107,13 @@ def candidates(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     )
     opened = found.filter(ends_open_by(header, F.col("delimiter"), DELIMITERS))
     if not opened.isEmpty():
-        # Only lines from the header on can belong to it.
-        first = _records(lines, opened, block_rows).select(
-            "dataset_id", F.col("delimiter").alias("_d"), F.col("row_idx").alias("header_idx"), F.col("line").alias("_whole"), "unclosed"
-        )
-        whole = first.filter("not unclosed").drop("unclosed")
-        found = (
-            found.alias("f")
-            .join(
-                whole.alias("w"),
-                (F.col("f.dataset_id") == F.col("w.dataset_id"))
-                & F.col("delimiter").eqNullSafe(F.col("_d"))
-                & (F.col("f.header_idx") == F.col("w.header_idx")),
-                "left",
-            )
-            .select("f.*", "_whole")
-            .withColumn("header", F.coalesce("_whole", "header"))
-            .drop("_whole")
+        whole = _records(lines, opened, block_rows).join(
+            opened.select("dataset_id", F.col("header_idx").alias("row_idx")).distinct(), ["dataset_id", "row_idx"]
         )
+        whole = whole.filter("not unclosed").select("dataset_id", F.col("delimiter").alias("_d"), F.col("line").alias("_whole"))
+        same = (F.col("f.dataset_id") == F.col("w.dataset_id")) & F.col("delimiter").eqNullSafe(F.col("_d"))
+        joined = found.alias("f").join(whole.alias("w"), same, "left").select("f.*", "_whole")
+        found = cut_lineage(joined.withColumn("header", F.coalesce("_whole", "header")).drop("_whole"))
     return found.withColumn("names", _names(F.col("header"), F.col("delimiter")))
 
 
