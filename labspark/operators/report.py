@@ -391,32 +391,66 @@ def generation_summary(overview: DataFrame) -> DataFrame:
     )
 
 
-def nested_report(overview: DataFrame, blocks: DataFrame, summary: DataFrame) -> DataFrame:
-    """One JSON report per dataset; long row tables are not nested but stay tables of their own."""
-    listed = blocks.groupBy("dataset_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("block", "id", "type", "section", "title", "content", "source")
-            )
-        ).alias("preview_blocks")
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _with_json(scalars: Column, name: str, value: Column) -> Column:
+    """The JSON of a struct of scalars with one more member, whose value is JSON already."""
+    text = json_text(scalars)
+    return F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(f',"{name}":'), F.coalesce(value, F.lit("null")), F.lit("}"))
+
+
+def item_json(df: DataFrame) -> DataFrame:
+    """``dataset_id, source_array, ord, id, json`` of items: their members in fixed order, the data nested."""
+    head = _with_json(F.struct("id", "type", "title", "description", "include_default", "essential"), "data", F.col("data"))
+    hint = F.concat(F.lit(',"latex_hint":'), _quoted(F.coalesce("latex_hint", F.lit(""))), F.lit("}"))
+    return df.select("dataset_id", "source_array", "ord", "id", F.concat(F.substr(head, F.lit(1), F.length(head) - 1), hint).alias("json"))
+
+
+def _block_json() -> Column:
+    description = _with_json(F.struct(F.col("content.description").alias("description")), "data", F.col("content.data"))
+    hint = F.concat(F.lit(',"latex_hint":'), _quoted(F.col("content.latex_hint")), F.lit("}"))
+    content = F.concat(F.substr(description, F.lit(1), F.length(description) - 1), hint)
+    head = _with_json(F.struct("id", "type", "section", "title"), "content", content)
+    return F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"source":'), json_text(F.col("source")), F.lit("}"))
+
+
+def _listed(entries: Column) -> Column:
+    """Sorted (order, JSON) entries as a JSON array."""
+    texts = F.transform(F.array_sort(entries), lambda e: e["json"])
+    return F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))
+
+
+def nested_report(overview: DataFrame, items: DataFrame, blocks: DataFrame, summary: DataFrame) -> DataFrame:
+    """``dataset_id, report``: one JSON report per dataset with its five arrays of items and the blocks.
+
+    Lists over rows stay in tables of their own, which the items name together with the number of rows.
+    A dataset has as many items as fixed kinds plus header columns.
+    """
+    by_array = item_json(items).groupBy("dataset_id").agg(
+        *[
+            _listed(F.collect_list(F.when(F.col("source_array") == name, F.struct("ord", "id", "json")))).alias(name)
+            for name in SECTIONS
+        ]
+    )
+    listed = blocks.select("dataset_id", F.struct("block", _block_json().alias("json")).alias("e")).groupBy("dataset_id").agg(
+        _listed(F.collect_list("e")).alias("preview_blocks")
     )
-    return (
-        overview.join(listed, "dataset_id", "left")
+    joined = (
+        overview.join(by_array, "dataset_id", "left")
+        .join(listed, "dataset_id", "left")
         .join(summary.select("dataset_id", "summary"), "dataset_id", "left")
-        .select(
-            "dataset_id",
-            json_text(
-                F.struct(
-                    F.lit(True).alias("used_all_rows"),
-                    "row_count",
-                    "column_count",
-                    "detected_numeric_columns",
-                    "preview_blocks",
-                    F.col("summary").alias("summary_for_generation"),
-                )
-            ).alias("report"),
-        )
     )
+    text = json_text(F.struct(F.lit(True).alias("used_all_rows"), "row_count", "column_count", "detected_numeric_columns"))
+    parts = [F.substr(text, F.lit(1), F.length(text) - 1)]
+    for name in SECTIONS:
+        parts += [F.lit(f',"{name}":'), F.coalesce(name, F.lit("[]"))]
+    parts += [F.lit(',"summary_for_generation":'), F.coalesce(_quoted(F.col("summary")), F.lit("null"))]
+    parts += [F.lit(',"preview_blocks":'), F.coalesce("preview_blocks", F.lit("[]")), F.lit("}")]
+    return joined.select("dataset_id", F.concat(*parts).alias("report"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:

@@ -1,12 +1,11 @@
-"""The whole analysis of measurement files as one set of lazily planned tables."""
+"""The whole analysis of measurement files as one set of tables, planned when they are asked for."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, fields
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labspark.operators import report
@@ -26,32 +25,140 @@ from labspark.operators.profile import (
 )
 from labspark.operators.roles import ROLE_PATTERNS, pairs, role_table, with_roles
 from labspark.session import cut_lineage
+from labspark.sinks.ordered import coordinate_chunks, write_ordered
 from labspark.sources.delimited import accepted, column_names, detect, errors, parse_rows, to_cells
 
 
-@dataclass(frozen=True)
 class Analysis:
-    """Tables keyed by ``dataset_id``.  Reports never nest rows: ``resonance_points`` holds them."""
-
-    layouts: DataFrame
-    errors: DataFrame
-    statistics: DataFrame
-    profile: DataFrame
-    missing: DataFrame
-    overview: DataFrame
-    resonance_points: DataFrame
-    resonance: DataFrame
-    regression: DataFrame
-    latitude: DataFrame
-    items: DataFrame
-    preview_blocks: DataFrame
-    summary: DataFrame
-    reports: DataFrame
+    """Tables keyed by ``dataset_id``, each planned when it is first asked for.
+
+    What several tables build on (layouts, and results of one row per file or column) is written to the
+    checkpoint folder once, with ``materialise``; a table that nobody asks for costs nothing.
+    Reports never nest lists over rows: ``resonance_points`` and the coordinates hold them, and the report
+    names these tables with their number of rows.
+    """
+
+    TABLES = (
+        "layouts errors statistics profile missing overview resonance_points tube_coordinates angle_coordinates "
+        "resonance regression latitude items preview_blocks summary reports"
+    ).split()
+
+    def __init__(self, lines: DataFrame, metadata: DataFrame | None, block_rows: int, materialise: bool):
+        if metadata is None:
+            metadata = lines.sparkSession.createDataFrame([], "dataset_id string, metadata map<string,string>")
+        self._lines, self._metadata, self._block_rows = lines, metadata, block_rows
+        self._keep = cut_lineage if materialise else (lambda df: df)
+
+    @cached_property
+    def layouts(self) -> DataFrame:
+        return self._keep(detect(self._lines, self._block_rows))
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return errors(self.layouts)
+
+    @cached_property
+    def _names(self) -> DataFrame:
+        return column_names(self.layouts)
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return measurement_rows(self._lines, self.layouts, self._block_rows)
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        return df.join(self._names, ["dataset_id", "col_idx"])
+
+    @cached_property
+    def statistics(self) -> DataFrame:
+        return self._keep(self._named(numeric_stats(to_cells(self._rows))))
+
+    @cached_property
+    def _profile(self) -> DataFrame:
+        return self._keep(column_profile(to_cells(self._rows)))
+
+    @cached_property
+    def profile(self) -> DataFrame:
+        return self._named(self._profile)
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return missing_summary(self._profile, self._names)
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        return dataset_overview(self._profile, self._names)
+
+    @cached_property
+    def resonance_points(self) -> DataFrame:
+        return resonance_points(pairs(self._rows, "frequency", "spacing", positive=True))
+
+    @cached_property
+    def tube_coordinates(self) -> DataFrame:
+        return coordinate_chunks(self.resonance_points, F.col("inverse_frequency_s"), F.col("peak_spacing_m"), digits=9)
+
+    @cached_property
+    def angle_coordinates(self) -> DataFrame:
+        return coordinate_chunks(pairs(self._rows, "time", "angle"), F.col("x"), F.col("y"))
+
+    @cached_property
+    def _sums(self) -> DataFrame:
+        """One row per file; both fits are made of it."""
+        return self._keep(physics_sums(self._rows))
+
+    @cached_property
+    def resonance(self) -> DataFrame:
+        return resonance_from_sums(self._sums)
+
+    @cached_property
+    def regression(self) -> DataFrame:
+        return angular_from_sums(self._sums)
+
+    @cached_property
+    def latitude(self) -> DataFrame:
+        return latitude_from_rate(self.regression, self._metadata)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self._keep(
+            analysis_items(
+                self.layouts,
+                self.profile,
+                self.statistics,
+                self.missing,
+                self.overview,
+                self.resonance,
+                self.regression,
+                self.latitude,
+                self._metadata,
+            )
+        )
+
+    @cached_property
+    def preview_blocks(self) -> DataFrame:
+        return report.preview_blocks(self.items)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return report.generation_summary(self.overview)
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        return report.nested_report(self.overview, self.items, self.preview_blocks, self.summary)
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        """The items of the array ``warnings``, without the rest of the analysis."""
+        flags = analysis_flags(self.layouts, self.resonance, self.regression, self._metadata)
+        return report.column_warnings(self.profile).unionByName(report.dataset_warnings(flags))
 
     def write(self, root: str, fmt: str = "parquet", names: Sequence[str] | None = None) -> None:
-        for name in names or [f.name for f in fields(self)]:
-            by = ["source_array"] if name == "items" else []
-            report.write_table(getattr(self, name), f"{root}/{name}", fmt, by)
+        """Write the tables below ``root``; the points of a file keep their order by a manifest."""
+        for name in names or self.TABLES:
+            if name == "resonance_points":
+                write_ordered(self.resonance_points, f"{root}/{name}", fmt=fmt)
+            else:
+                by = ["source_array"] if name == "items" else []
+                report.write_table(getattr(self, name), f"{root}/{name}", fmt, by)
 
 
 def measurement_rows(lines: DataFrame, layouts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -63,54 +170,8 @@ def measurement_rows(lines: DataFrame, layouts: DataFrame, block_rows: int = BLO
 def analyse(
     lines: DataFrame, metadata: DataFrame | None = None, block_rows: int = BLOCK_ROWS, materialise: bool = True
 ) -> Analysis:
-    """Analyse all files of ``lines``; ``metadata(dataset_id, metadata MAP<STRING,STRING>)`` is optional.
-
-    With ``materialise`` the layouts and the per-file results (one row per file or column) are written
-    to the checkpoint folder once, because several tables build on them.
-    """
-    keep = cut_lineage if materialise else (lambda df: df)
-    spark = lines.sparkSession
-    if metadata is None:
-        metadata = spark.createDataFrame([], "dataset_id string, metadata map<string,string>")
-    layouts = keep(detect(lines, block_rows))
-    names = column_names(layouts)
-    rows = measurement_rows(lines, layouts, block_rows)
-    cells = to_cells(rows)
-
-    def named(df: DataFrame) -> DataFrame:
-        return df.join(names, ["dataset_id", "col_idx"])
-
-    statistics = keep(named(numeric_stats(cells)))
-    profile = keep(column_profile(cells))
-    missing = missing_summary(profile, names)
-    overview = dataset_overview(profile, names)
-    points = resonance_points(pairs(rows, "frequency", "spacing", positive=True))
-    sums = keep(physics_sums(rows))  # one row per file; both fits are made of it
-    tube, regression = resonance_from_sums(sums), angular_from_sums(sums)
-    latitude = latitude_from_rate(regression, metadata)
-    items = keep(
-        analysis_items(
-            layouts, named(profile), statistics, missing, overview, tube, regression, latitude, metadata
-        )
-    )
-    blocks = report.preview_blocks(items)
-    summary = report.generation_summary(overview)
-    return Analysis(
-        layouts=layouts,
-        errors=errors(layouts),
-        statistics=statistics,
-        profile=named(profile),
-        missing=missing,
-        overview=overview,
-        resonance_points=points,
-        resonance=tube,
-        regression=regression,
-        latitude=latitude,
-        items=items,
-        preview_blocks=blocks,
-        summary=summary,
-        reports=report.nested_report(overview, blocks, summary),
-    )
+    """The analysis of all files of ``lines``; ``metadata(dataset_id, metadata MAP<STRING,STRING>)`` is optional."""
+    return Analysis(lines, metadata, block_rows, materialise)
 
 
 def analysis_flags(
@@ -190,6 +251,10 @@ def analysis_items(
     angular = regression.join(columns, "dataset_id")
     known = flags.filter("has_tube or has_regression or has_xy")
     json = report.json_text
+
+    def named(table: str) -> Column:
+        return F.struct(F.lit(table).alias("table"), F.col("n").alias("rows"))
+
     parts = [
         report.item(
             overview.join(stats_rows, "dataset_id", "left"),
@@ -197,18 +262,29 @@ def analysis_items(
             F.coalesce(json(F.col("_rows")), F.lit("[]")),
         ),
         report.item(profile_rows, "column_profile", json(F.col("_rows"))),
-        report.item(computed, "rubensrohr_sound_speed_table", F.lit(None)),
+        report.item(computed, "rubensrohr_sound_speed_table", json(named("resonance_points"))),
         report.item(
             fitted,
             "rubensrohr_inverse_frequency_plot",
             json(
-                F.struct(F.lit("inverse_frequency_s").alias("x"), F.lit("peak_spacing_m").alias("y"))
+                F.struct(
+                    named("tube_coordinates").alias("coordinates"),
+                    F.lit("inverse_frequency_s").alias("x"),
+                    F.lit("peak_spacing_m").alias("y"),
+                )
             ),
         ),
         report.item(
             angular,
             "angle_time_plot",
-            json(F.struct(F.col("time").alias("x_col"), F.col("angle").alias("y_col"), "slope")),
+            json(
+                F.struct(
+                    F.col("time").alias("x_col"),
+                    F.col("angle").alias("y_col"),
+                    "slope",
+                    named("angle_coordinates").alias("coordinates"),
+                )
+            ),
         ),
         report.item(
             missing,
@@ -273,6 +349,7 @@ def analysis_items(
                     "c_regression_stderr_m_s",
                     "r_squared",
                     "p_value",
+                    named("tube_coordinates").alias("coordinates"),
                 )
             ),
         ),

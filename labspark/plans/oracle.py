@@ -720,10 +720,42 @@ SELECT dataset_id, '{{"used_all_rows":true,"row_count":' || max(n) || ',"column_
   || '],"selected_item_rule":"{SELECTED_ITEM_RULE}"}}' AS summary, CAST(NULL AS VARCHAR) AS error
 FROM c GROUP BY dataset_id""",
         "analysis_reports": f"""
-WITH {_BLOCKS}, sizes AS (SELECT dataset_id, count(*) AS row_count FROM m GROUP BY dataset_id)
-SELECT dataset_id, max(row_count) AS row_count, CAST(4 AS BIGINT) AS column_count,
-       CAST(count(*) AS INTEGER) AS n_blocks, 'raw_statistics' AS first_block
-FROM blocks JOIN sizes USING (dataset_id) GROUP BY dataset_id""",
+WITH {_BLOCKS}, sizes AS (SELECT dataset_id, kind, count(*) AS row_count FROM m GROUP BY ALL),
+described AS (
+  SELECT dataset_id, string_agg(concat("column", ':', n, ':', printf('%.3f', lo), ':', printf('%.3f', hi)), ' ' ORDER BY col_idx) FILTER (WHERE n > 0) AS statistics,
+         string_agg(concat("column", ':', CASE WHEN n + n_txt = 0 THEN 'empty' WHEN n_txt = 0 THEN 'numeric' WHEN n = 0 THEN 'text' ELSE 'mixed' END, ':',
+           n_all - n - n_txt, ':', u + u_txt, ':', n + n_txt > 0 AND u + u_txt = 1), ' ' ORDER BY col_idx) AS profile,
+         sum(n_all - n - n_txt) AS missing
+  FROM (SELECT dataset_id, col_idx, "column", count(num) AS n, count(txt) AS n_txt, count(*) AS n_all, min(num) AS lo, max(num) AS hi,
+               count(DISTINCT num) AS u, count(DISTINCT txt) AS u_txt FROM cells GROUP BY ALL) GROUP BY dataset_id
+), points AS (
+  SELECT dataset_id, count(*) FILTER (WHERE kind = 4 AND k > 0 AND v > 0) AS tube, count(*) AS angles FROM m GROUP BY dataset_id
+)
+SELECT dataset_id, row_count, CAST(4 AS BIGINT) AS column_count, source_array,
+       CAST(row_number() OVER (PARTITION BY dataset_id, source_array ORDER BY ord, id) - 1 AS INTEGER) AS position, id, title,
+       CASE id WHEN 'raw_statistics' THEN statistics WHEN 'column_profile' THEN profile WHEN 'dataset_overview' THEN concat(row_count, ':4:', missing)
+         WHEN 'missing_values_summary' THEN CAST(missing AS VARCHAR) WHEN 'rubensrohr_sound_speed_table' THEN concat('resonance_points:', tube)
+         WHEN 'rubensrohr_inverse_frequency_plot' THEN concat('tube_coordinates:', tube)
+         WHEN 'rubensrohr_inverse_frequency_regression' THEN concat('tube_coordinates:', tube)
+         WHEN 'angle_time_plot' THEN concat('angle_coordinates:', angles)
+         WHEN 'rubensrohr_sound_speed_result' THEN
+           'n,mean_sound_speed_m_s,sample_std_ddof1_m_s,sem_m_s,min_sound_speed_m_s,max_sound_speed_m_s,source_columns'
+         WHEN 'latitude_result' THEN 'not_computable,reason,omega_mess_rad_s,ratio,latitude_deg,correction_factor_used'
+         WHEN 'angular_regression' THEN 'x_column,y_column,n,slope,intercept,r_value,r_squared,p_value,stderr'
+         WHEN 'gaussian_error_template' THEN 'latex' WHEN 'no_time_angle_regression' THEN 'not_computable,requires_todo'
+         WHEN 'xy_tracking_no_angle' THEN 'not_computable,requires_todo'
+         ELSE CASE WHEN id LIKE '%\_column\_%' ESCAPE '\' THEN 'column' ELSE 'not_computable' END END AS details, true AS whole, true AS has_data
+FROM blocks JOIN sizes USING (dataset_id) JOIN described USING (dataset_id) JOIN points USING (dataset_id)""",
+        "written_points": f"""
+WITH {_MEASURED}
+SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY row_idx) - 1 AS position, row_idx, k AS frequency_hz, v AS peak_spacing_m,
+       round(2 * v, 6) AS wavelength_m FROM m WHERE kind = 4 AND k > 0 AND v > 0""",
+        "written_coordinates": f"""
+WITH {_MEASURED}
+SELECT dataset_id, 'tube_coordinates' AS plot, CAST(0 AS BIGINT) AS chunk, count(*) AS n, CAST(0 AS BIGINT) AS "offset",
+       string_agg(printf('(%.9f,%.9f)', 1 / k, v), ' ' ORDER BY row_idx) AS coordinates FROM m WHERE kind = 4 AND k > 0 AND v > 0 GROUP BY dataset_id
+UNION ALL
+SELECT dataset_id, 'angle_coordinates', 0, count(*), 0, string_agg(printf('(%.6f,%.6f)', t, v), ' ' ORDER BY row_idx) FROM m WHERE kind < 3 GROUP BY dataset_id""",
         "arrival_statistics": f"""
 WITH {_CELLS}
 SELECT dataset_id, "column", count(num) AS n, CAST(avg(num) AS FLOAT) AS mean, min(num) AS "min", max(num) AS "max"

@@ -23,6 +23,7 @@ from labspark.operators import roles as role_ops
 from labspark.plans.analysis import Analysis, analyse, measurement_rows
 from labspark.plans.pendulum_run import evaluate_traces
 from labspark.session import checkpoint_dir, cut_lineage
+from labspark.sinks.ordered import read_ordered
 from labspark.sources import delimited, tracking
 from labspark.streaming.arrival import analyse_arrivals
 
@@ -999,8 +1000,7 @@ def selected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysis_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _analysis(spark, sf_dir).items
-    return items.filter("source_array = 'warnings'").select("dataset_id", "id", "title")
+    return _analysis(spark, sf_dir).warnings.select("dataset_id", "id", "title")
 
 
 def generation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1009,18 +1009,83 @@ def generation_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.generation_summary(overview)
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _item_details(item_id: Column, data: Column) -> Column:
+    """What an item says, as text: exact numbers where there are any, else the names of its members."""
+    statistics = F.from_json(data, "array<struct<column:string,n:bigint,min:double,max:double>>")
+    columns = F.from_json(data, "array<struct<column:string,inferred_type:string,missing_count:bigint,unique_count:bigint,is_constant:boolean>>")
+    listed = F.transform(statistics, lambda r: F.format_string("%s:%d:%.3f:%.3f", r["column"], r["n"], r["min"], r["max"]))
+    kinds = F.transform(
+        columns,
+        lambda r: F.format_string("%s:%s:%d:%d:%s", r["column"], r["inferred_type"], r["missing_count"], r["unique_count"], r["is_constant"]),
+    )
+    rows = F.coalesce(F.get_json_object(data, "$.rows"), F.get_json_object(data, "$.coordinates.rows"))
+    table = F.coalesce(F.get_json_object(data, "$.table"), F.get_json_object(data, "$.coordinates.table"))
+    size = F.concat_ws(":", F.get_json_object(data, "$.rows"), F.get_json_object(data, "$.columns"), F.get_json_object(data, "$.missing_values"))
+    return (
+        F.when(item_id == "raw_statistics", F.array_join(listed, " "))
+        .when(item_id == "column_profile", F.array_join(kinds, " "))
+        .when(item_id == "dataset_overview", size)
+        .when(item_id == "missing_values_summary", F.get_json_object(data, "$.total_missing_values"))
+        .when(table.isNotNull(), F.concat_ws(":", table, rows))
+        .otherwise(F.array_join(F.json_object_keys(data), ","))
+    )
+
+
 def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested report of every file, written as JSON, read back and summarised."""
-    reports = _analysis(spark, sf_dir).reports
-    return reports.select(
+    """The reports written as JSON and read back: every item of their five arrays, with the block made of it."""
+    root = _new_folder(spark, "analysis")
+    _analysis(spark, sf_dir).write(root, "json", ["reports"])
+    reports = spark.read.schema("dataset_id long, report string").json(f"{root}/reports")
+    arrays = F.array(*[F.struct(F.lit(n).alias("source_array"), F.get_json_object("report", f"$.{n}").alias("items")) for n in report.SECTIONS])
+    raw = F.from_json("a.items", "array<variant>")
+    each = reports.select(
         "dataset_id",
         F.get_json_object("report", "$.row_count").cast("bigint").alias("row_count"),
         F.get_json_object("report", "$.column_count").cast("bigint").alias("column_count"),
-        F.json_array_length(F.get_json_object("report", "$.preview_blocks")).alias("n_blocks"),
-        F.get_json_object("report", "$.preview_blocks[0].id").alias("first_block"),
+        F.from_json(F.get_json_object("report", "$.preview_blocks"), "array<struct<id:string,content:struct<data:string>>>").alias("blocks"),
+        F.explode(arrays).alias("a"),
+    ).select("*", F.posexplode(raw).alias("position", "item"))
+    item = F.to_json("item")
+    data, name = F.get_json_object(item, "$.data"), F.get_json_object(item, "$.id")
+    own = F.filter("blocks", lambda b: b["id"] == name)
+    return each.select(
+        "dataset_id",
+        "row_count",
+        "column_count",
+        "a.source_array",
+        "position",
+        name.alias("id"),
+        F.get_json_object(item, "$.title").alias("title"),
+        _item_details(name, F.element_at(own, 1)["content"]["data"]).alias("details"),
+        (F.size(F.json_object_keys(item)) == 8).alias("whole"),
+        data.isNotNull().alias("has_data"),
     )
 
 
+def written_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the resonance tubes, written in blocks and read back in the order of their file."""
+    root = _new_folder(spark, "analysis")
+    _analysis(spark, sf_dir).write(root, "json", ["resonance_points"])
+    columns = "frequency_hz peak_spacing_m wavelength_m sound_speed_m_s inverse_frequency_s".split()
+    schema = ", ".join(["dataset_id long, row_idx long", *(f"{c} double" for c in columns)])
+    read = read_ordered(spark, f"{root}/resonance_points", schema, fmt="json")
+    return read.select("dataset_id", "position", "row_idx", "frequency_hz", "peak_spacing_m", F.round("wavelength_m", 6).alias("wavelength_m"))
+
+
+def written_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coordinates of both plots of every file as text, written and read back chunk by chunk."""
+    root = _new_folder(spark, "analysis")
+    tables = ["tube_coordinates", "angle_coordinates"]
+    _analysis(spark, sf_dir).write(root, "json", tables)
+    schema = "dataset_id long, chunk long, n long, offset long, coordinates string"
+    read = [spark.read.schema(schema).json(f"{root}/{t}").withColumn("plot", F.lit(t)) for t in tables]
+    return read[0].unionByName(read[1])
+
+
 def arrival_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement files analysed by the streaming query, read from the table it wrote."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/arrival-{uuid.uuid4().hex}"
@@ -1111,6 +1176,8 @@ QUERIES: dict[str, Query] = {
         analysis_warnings,
         generation_summaries,
         analysis_reports,
+        written_points,
+        written_coordinates,
         arrival_statistics,
     )
 }
