@@ -1,18 +1,22 @@
 """Generation payloads: removal of raw data at any depth, its audit, and assembly.
 
-Typed payloads are scrubbed by a column expression built from the schema.  JSON text with an open schema, where
-a key may hold different types in different rows, is scrubbed as a variant value, level by level; what is nested
-deeper than one expression reaches goes on as rows of its own.
+Typed payloads are scrubbed by a column expression built from the schema.  JSON text of unknown schema is merged
+into one first, with variants where rows differ; what that expression cannot tell is scrubbed level by level, and
+what is nested deeper than one expression reaches goes on as rows of its own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labspark.session import cut_lineage
+from labspark.sources.tables import variant_type
+
 # Keys that hold raw data.
 RAW_KEYS = ["raw_csv", "csv", "file_content"]
 # Warning text per removed field.
@@ -27,6 +31,8 @@ TOO_DEEP = "Payload ist zu tief verschachtelt."
 #: Objects and lists inside each other that one expression scrubs, and those a round takes of deeper ones; the time to
 #: plan an expression grows fast with them.
 LEVELS, ROUND = 8, 2
+#: Payloads whose merged schema has more fields on the way to raw ones are all taken the long way.
+MOST_FIELDS = 2000
 REJECTED = "messages oder bevorzugter Generate-Payload erforderlich."
 # Fields of the preferred payload and what stands in for an absent one.
 PREFERRED_FIELDS = {
@@ -190,30 +196,13 @@ def _scrubbed(value: Column, raw_keys: Sequence[str], levels: int, path: Column,
     return F.get(F.transform(F.array(F.transform(F.transform(children, placed), visit)), rebuilt), F.lit(0))
 
 
-def scrub_open_variant(text: Column, raw_keys: Sequence[str] = RAW_KEYS, levels: int = LEVELS) -> Column:
-    """``struct<value: variant, warnings, error>`` of JSON text of any shape.
-
-    A field counts as raw by its key alone, also where it holds null.  Text that is no JSON, or nested deeper
-    than ``levels``, has an error and no value; a null text has neither.  :func:`scrub_open_rows` has no such limit.
-    """
+def _scrubbed_text(text: Column, raw_keys: Sequence[str], levels: int = LEVELS) -> Column:
+    """``struct<value: variant, removed, error>`` of JSON text of any shape, as deep as one expression reaches."""
     parsed = F.try_parse_json(text)
     found = _scrubbed(parsed, raw_keys, levels, F.lit(""))
     error = F.when(text.isNotNull() & parsed.isNull(), NOT_JSON).when(found["deep"], TOO_DEEP)
     return F.struct(
-        F.when(error.isNull(), found["value"]).alias("value"),
-        F.transform(found["removed"], lambda path: F.concat(F.lit(REMOVED), path)).alias("warnings"),
-        error.alias("error"),
-    )
-
-
-def scrub_open_json(text: Column, raw_keys: Sequence[str] = RAW_KEYS, levels: int = LEVELS) -> Column:
-    """``struct<json, warnings, error>``: :func:`scrub_open_variant` as text, keys of an object in their order by name."""
-    return F.get(
-        F.transform(
-            F.array(scrub_open_variant(text, raw_keys, levels)),
-            lambda c: F.struct(F.to_json(c["value"]).alias("json"), c["warnings"].alias("warnings"), c["error"].alias("error")),
-        ),
-        F.lit(0),
+        F.when(error.isNull(), found["value"]).alias("value"), found["removed"].alias("removed"), error.alias("error")
     )
 
 
@@ -223,13 +212,13 @@ def _scrub_rows(values: DataFrame, raw_keys: Sequence[str]) -> DataFrame:
     Each round scrubs ``ROUND`` levels and hands what is nested deeper to the next one as rows; then the parts
     are put back in, from the last round to the first.
     """
-    rounds = [values.checkpoint()]
+    rounds = [cut_lineage(values)]
     while True:
         rest = _scrubbed(F.col("value"), raw_keys, ROUND, F.col("path"), F.lit(""))["rest"]
         below = rounds[-1].select("node", F.explode(rest).alias("r")).select(
             F.concat("node", F.lit("|"), "r.pos").alias("node"), F.col("node").alias("parent"), "r.pos", "r.path", "r.value"
         )
-        below = below.checkpoint()
+        below = cut_lineage(below)
         if below.isEmpty():
             break
         rounds.append(below)
@@ -241,41 +230,135 @@ def _scrub_rows(values: DataFrame, raw_keys: Sequence[str]) -> DataFrame:
             nodes, given = nodes.join(parts, nodes["node"] == parts["of"], "left"), F.col("parts")
         clean = _scrubbed(F.col("value"), raw_keys, ROUND, F.col("path"), F.lit(""), given)
         kept = [c for c in ("parent", "pos") if c in nodes.columns]
-        done = nodes.select("node", *kept, clean.alias("c")).select("node", *kept, "c.value", "c.removed").checkpoint()
+        done = nodes.select("node", *kept, clean.alias("c")).select("node", *kept, "c.value", "c.removed")
+        done = cut_lineage(done)
         if kept:
             part = F.struct("pos", F.struct("value", "removed").alias("part"))
             parts = done.groupBy(F.col("parent").alias("of")).agg(F.map_from_entries(F.collect_list(part)).alias("parts"))
     return done
 
 
-def scrub_open_rows(df: DataFrame, column: str, name: str = "clean", raw_keys: Sequence[str] = RAW_KEYS) -> DataFrame:
-    """``df`` with ``name``, as :func:`scrub_open_variant` of the text ``column`` but for JSON of any depth.
+def _scrub_any(df: DataFrame, column: str, name: str, raw_keys: Sequence[str]) -> DataFrame:
+    """``df`` with ``name``, a struct of JSON, removed paths and error, by visiting every object and list.
 
-    Whether any text is nested deeper than one expression reaches is looked up at once; only such rows go further.
+    What is nested deeper than one expression reaches goes on as rows.
     """
-    text = F.col(column)
-    once = df.withColumn(name, scrub_open_variant(text, raw_keys))
-    # Fewer opening brackets cannot nest deeper; that is told without parsing.
-    deep = F.coalesce(text.rlike(r"(?s)(?:[\[{][^\[{]*+){%d}" % (LEVELS + 1)), F.lit(False)) & F.coalesce(
-        scrub_open_variant(text, raw_keys)["error"] == TOO_DEEP, F.lit(False)
-    )
-    found = df.where(deep)
+    once = cut_lineage(df.withColumn(name, _as_json(_scrubbed_text(F.col(column), raw_keys))))
+    deep = F.coalesce(F.col(name)["error"] == TOO_DEEP, F.lit(False))
+    found = once.where(deep).drop(name)
     if found.isEmpty():
         return once
-    values = found.select(F.sha2(column, 256).alias("node"), text.alias("_text")).dropDuplicates(["node"])
+    values = found.select(F.sha2(column, 256).alias("node"), F.col(column).alias("_text")).dropDuplicates(["node"])
     values = values.select("node", F.lit("").alias("path"), F.try_parse_json(F.col("_text")).alias("value"))
-    done = _scrub_rows(values, raw_keys).select(
-        "node",
-        F.struct(
-            "value",
-            F.transform("removed", lambda path: F.concat(F.lit(REMOVED), path)).alias("warnings"),
-            F.lit(None).cast("string").alias("error"),
-        ).alias(name),
-    )
+    whole = F.struct("value", "removed", F.lit(None).cast("string").alias("error"))
+    done = _scrub_rows(values, raw_keys).select("node", _as_json(whole).alias(name))
     rest = found.withColumn("node", F.sha2(column, 256)).join(done, "node").select(*df.columns, name)
     return once.where(~deep).unionByName(rest)
 
 
+def _as_json(clean: Column) -> Column:
+    text = F.to_json(clean["value"])
+    return F.struct(text.alias("json"), clean["removed"].alias("removed"), clean["error"].alias("error"))
+
+
+def _open_type(kind: T.DataType, raw_keys: Sequence[str]) -> T.DataType:
+    """The type by which values of ``kind`` are taken apart: only what leads to raw fields, the rest as variants."""
+    if not _holds_raw(kind, raw_keys):
+        return T.VariantType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_open_type(kind.elementType, raw_keys))
+    return T.StructType(
+        [T.StructField(f.name, T.VariantType() if f.name in raw_keys else _open_type(f.dataType, raw_keys)) for f in kind.fields]
+    )
+
+
+def _kept(value: Column, kind: T.DataType, raw_keys: Sequence[str]) -> Column:
+    """``value`` of an open type without its raw fields; an object that loses all is an empty one."""
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda item: _kept(item, kind.elementType, raw_keys))
+    if not isinstance(kind, T.StructType):
+        return value
+    kept = [_kept(value[f.name], f.dataType, raw_keys).alias(f.name) for f in kind.fields if f.name not in raw_keys]
+    return F.when(value.isNotNull(), F.struct(*kept) if kept else F.parse_json(F.lit("{}")))
+
+
+def _n_fields(kind: T.DataType) -> int:
+    if isinstance(kind, T.ArrayType):
+        return _n_fields(kind.elementType)
+    return sum(1 + _n_fields(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else 0
+
+
+def _inner_keys(kind: T.DataType) -> set[str]:
+    """The keys of an open type whose values are taken apart."""
+    if isinstance(kind, T.ArrayType):
+        return _inner_keys(kind.elementType)
+    if not isinstance(kind, T.StructType):
+        return set()
+    inner = {f.name for f in kind.fields if not isinstance(f.dataType, T.VariantType)}
+    return inner.union(*(_inner_keys(f.dataType) for f in kind.fields))
+
+
+def scrub_open(df: DataFrame, column: str, name: str = "clean", raw_keys: Sequence[str] = RAW_KEYS) -> DataFrame:
+    """``df`` with ``name``: ``struct<json, warnings, error>`` of the JSON text ``column``, of any shape and depth.
+
+    A field counts as raw by its key alone, also where it holds null.  Keys of an object are written in their
+    order by name.  Text that is no JSON has an error and no value; a null text has neither.
+
+    One aggregate merges the schemas of all objects, and of all lists, at the top.  From them one expression
+    is built that takes apart only what leads to raw fields.  A row where it does not tell all goes the long way,
+    through every object and list: where a null stands instead of an object or list, where the text names more raw
+    fields than were found (inside a field of several types), or where keys may be written with escapes.
+    """
+    text, nothing = F.col(column), F.array().cast("array<string>")
+    first = F.substr(F.ltrim(F.translate(text, "\t\r\n", "   ")), F.lit(1), F.lit(1))
+    tops = {"{": "object", "[": "list"}
+    parsed = F.try_parse_json(text)
+    merged = df.agg(*[F.schema_of_variant_agg(F.when(first == c, parsed)).alias(top) for c, top in tops.items()]).first()
+    kinds = {c: variant_type(merged[top]) for c, top in tops.items()}
+    opened = {c: _open_type(kind, raw_keys) for c, kind in kinds.items()}
+    # Each step is a projection of its own, whose columns the next one uses more than once.
+    steps = df.withColumns({"_whole": parsed, "_first": first})
+    taken = {c: F.when(F.col("_first") == c, F.col("_whole")).try_cast(opened[c]) for c in tops}
+    steps = steps.withColumns({f"_{tops[c]}": taken[c] for c in tops})
+    value = F.when(~F.col("_first").isin(*tops), F.to_json("_whole"))
+    removed, long_way = F.when(F.lit(False), nothing), F.lit(False)
+    for c, top in tops.items():
+        parts, here = F.col(f"_{top}"), F.col("_first") == c
+        if _n_fields(opened[c]) > MOST_FIELDS:
+            long_way = long_way | here
+            continue
+        if isinstance(opened[c], T.VariantType):
+            value, removed = value.when(here, F.to_json("_whole")), removed.when(here, nothing)
+        else:
+            value = value.when(here, F.to_json(_kept(parts, opened[c], raw_keys)))
+            removed = removed.when(here, removed_paths(parts, opened[c], raw_keys))
+        keys = _inner_keys(opened[c])
+        if keys:
+            # A null instead of an object or list would be taken for an absent one.
+            named = "|".join(map(re.escape, sorted(keys)))
+            long_way = long_way | (here & text.rlike(rf'"(?:{named})"\s*:\s*null'))
+        # Keys written with escapes are not seen by the patterns; those of ASCII letters have these.
+        odd = any(not k.isascii() or re.search(r'["\\\x00-\x1f/]', k) for k in {*keys, *raw_keys})
+        long_way = long_way | (here & text.rlike(r"\\" if odd else r"\\u00[2-7]"))
+    steps = steps.withColumns({"_value": value, "_removed": F.coalesce(removed, nothing), "_differs": long_way})
+    names = "|".join(map(re.escape, raw_keys))
+    named = F.regexp_count(text, F.lit(rf'"(?:{names})"\s*:')) > F.size("_removed")
+    known = F.col("_whole").isNotNull()
+    error = F.when(text.isNotNull() & ~known, NOT_JSON)
+    clean = F.struct(
+        F.when(known, F.col("_value")).alias("json"), F.when(known, F.col("_removed")).otherwise(nothing).alias("removed"), error.alias("error")
+    )
+    long_way = F.coalesce(known & F.col("_first").isin(*tops) & (F.col("_differs") | named), F.lit(False))
+    # Written once, so that neither the merge nor the parsing is repeated for the rows that go on.
+    once = cut_lineage(steps.select(*df.columns, clean.alias(name), long_way.alias("_long")))
+    rest = once.where("_long").drop("_long", name)
+    out = once.where("not _long").drop("_long")
+    if not rest.isEmpty():
+        out = out.unionByName(_scrub_any(rest, column, name, raw_keys))
+    warnings = F.transform(F.col(name)["removed"], lambda path: F.concat(F.lit(REMOVED), path))
+    return out.withColumn(name, F.struct(F.col(name)["json"].alias("json"), warnings.alias("warnings"), F.col(name)["error"].alias("error")))
+
+
 def _truthy(text: Column) -> Column:
     """A JSON value other than null, false, zero and the empty string, list or object."""
     return text.isNotNull() & ~F.trim(text).isin("", "null", "false", "0", "0.0", '""', "[]", "{}")
@@ -315,8 +398,8 @@ def assemble_payloads(requests: DataFrame) -> DataFrame:
         top.alias("_top"),
         source.alias("_source"),
     )
-    built = scrub_open_rows(built, "_source", "_clean")
-    value = F.col("_clean.value")
+    built = scrub_open(built, "_source", "_clean").withColumn("_value", F.try_parse_json(F.col("_clean.json")))
+    value = F.col("_value")
     fields = [
         F.concat(F.lit(f'"{name}":'), F.coalesce(F.to_json(F.variant_get(value, f"$.{name}", "variant")), F.lit("null")))
         for name in PREFERRED_FIELDS
@@ -326,7 +409,7 @@ def assemble_payloads(requests: DataFrame) -> DataFrame:
         "request_id",
         F.when(F.col("kind").isNotNull(), F.col("system")).alias("system"),
         "kind",
-        F.when(value.isNotNull(), F.when(F.col("kind") == "preferred", ordered).otherwise(F.to_json(value))).alias("payload"),
+        F.when(value.isNotNull(), F.when(F.col("kind") == "preferred", ordered).otherwise(F.col("_clean.json"))).alias("payload"),
         F.concat("_top", "_clean.warnings").alias("warnings"),
         F.when(F.col("kind").isNull(), REJECTED).otherwise(F.col("_clean.error")).alias("error"),
     )

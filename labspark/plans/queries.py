@@ -935,10 +935,8 @@ def payload_scrub_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same payloads as text of unknown schema, nulls written out."""
     df = typed_payloads(table(spark, sf_dir, "events"))
     text = F.to_json("payload", {"ignoreNullFields": "false"})
-    clean = payload.scrub_open_rows(df.select("event_id", text.alias("payload")), "payload", "c")
-    return clean.select(
-        "event_id", F.to_json("c.value").alias("payload"), F.size("c.warnings").alias("n_warnings")
-    )
+    clean = payload.scrub_open(df.select("event_id", text.alias("payload")), "payload", "c")
+    return clean.select("event_id", F.col("c.json").alias("payload"), F.size("c.warnings").alias("n_warnings"))
 
 
 def scrub_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

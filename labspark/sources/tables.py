@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,10 +83,23 @@ def bib_entries(text: Column) -> Column:
     return F.filter(entries, lambda e: ~e["entry_type"].isin(NO_ENTRIES))
 
 
+def variant_type(ddl: str, untyped: str = "VARIANT") -> T.DataType:
+    """The type that a schema of variants names; objects are structs, and what is always null is ``untyped``."""
+
+    def spark_names(part: str) -> str:
+        part = re.sub(r"(^|: |<)OBJECT<", r"\1STRUCT<", part)
+        return re.sub(r"(^|: |<)VOID(?=[,>]|$)", rf"\1{untyped}", part)
+
+    # Only outside quoted names.
+    plain = [p if i % 2 else spark_names(p) for i, p in enumerate(ddl.split("`"))]
+    kind = T.DataType.fromDDL("v " + "`".join(plain))
+    return kind.fields[0].dataType
+
+
 def payload_schema(payloads: DataFrame, column: str = "payload") -> T.StructType:
     """One schema over all payloads, found by a distributed aggregate; only its text reaches the driver."""
     ddl = payloads.agg(
         F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("ddl")
     ).first()["ddl"]
-    parsed = T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
+    parsed = variant_type(ddl, "VOID")
     return parsed if isinstance(parsed, T.StructType) else T.StructType([])

@@ -144,7 +144,7 @@ def _keys(node):
 def test_open_json_scrub(spark):
     texts = [json.dumps(RAW), "no json", None, "[1, {\"csv\": 2}]", '{"csv": 1}']
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
-    rows = df.select("i", payload.scrub_open_json(F.col("p")).alias("c")).orderBy("i").collect()
+    rows = payload.scrub_open(df, "p", "c").orderBy("i").collect()
     clean = json.loads(rows[0].c.json)
     assert not _keys(clean) & set(payload.RAW_KEYS)
     assert clean["selected_analysis_blocks"] == [{"id": "x", "content": {"v": 1}}, {"id": "y"}, {}]
@@ -168,12 +168,12 @@ def test_odd_json_does_not_stop_the_others(spark):
     deep = "[" * 30 + "]" * 30
     texts = ['{"csv": null, "a": {"raw_csv": null, "b": null}}', '{"t": "\\ud800"}', deep, "{mass: 5", "null", "[" * 5000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
-    rows = [r.c for r in df.select("i", payload.scrub_open_json(F.col("p")).alias("c")).orderBy("i").collect()]
+    rows = [r.c for r in payload.scrub_open(df, "p", "c").orderBy("i").collect()]
     assert json.loads(rows[0].json) == {"a": {"b": None}}
     assert rows[0].warnings == [payload.REMOVED + "a.raw_csv", payload.REMOVED + "csv"]
     assert rows[1].error is None and rows[4].json == "null"
-    assert [rows[i].error for i in (2, 3, 5)] == [payload.TOO_DEEP, payload.NOT_JSON, payload.NOT_JSON]
-    assert all(rows[i].json is None for i in (2, 3, 5))
+    assert [rows[i].error for i in (2, 3, 5)] == [None, payload.NOT_JSON, payload.NOT_JSON]
+    assert rows[2].json == deep and all(rows[i].json is None for i in (3, 5))
     broken = payload.assemble_payloads(_requests(spark, {"request_id": "r", "experiment_title": "t", "metadata": "{mass: 5"}))
     assert broken.first().payload is None and broken.first().error == payload.NOT_JSON
 
@@ -202,7 +202,7 @@ def test_open_json_of_any_depth_is_scrubbed(spark):
     whole = [nested(n) for n in (1, 5, 6, 7, 8, 9, 10, 13)]
     whole.append([nested(9), nested(3), {"x": nested(8), "csv": nested(12)}, nested(9)])
     rows = [(i, json.dumps(x)) for i, x in enumerate([*whole, whole[-2]])] + [(90, None), (91, "{")]
-    got = {r.i: r for r in payload.scrub_open_rows(spark.createDataFrame(rows, "i int, p string"), "p").select("i", F.to_json("clean.value").alias("json"), "clean.*").drop("value").collect()}
+    got = {r.i: r for r in payload.scrub_open(spark.createDataFrame(rows, "i int, p string"), "p").select("i", "clean.*").collect()}
     assert len(got) == len(rows)
     for i, x in enumerate([*whole, whole[-2]]):
         assert json.loads(got[i].json) == clean(x) and got[i].error is None
@@ -321,3 +321,51 @@ def test_arrival_equals_batch_and_takes_each_file_once(spark, tmp_path):
     want = sorted((r.dataset_id, r.column, r.n, r.mean) for r in batch["statistics"].collect())
     assert got == want and len(got) == 8
     assert spark.read.parquet(f"{out}/errors").count() == 1
+
+
+def test_rows_that_the_merged_schema_cannot_tell(spark):
+    """Nulls instead of objects, several types under one key, escaped keys, raw fields in raw fields, odd names."""
+    whole = [
+        {"a": {"csv": 1, "b": 2}, "n": 1, "we ird`k, VOID": {"raw_csv": None, "x": "y"}, "AVOID": None, "OBJECT": {}},
+        {"a": None, "n": {"csv": [1, {"csv": 2}], "keep": None}},
+        {"a": [{"csv": 1}, 3, None], "n": "text with \"csv\": inside"},
+        {"a": {"b": {"file_content": 1, "z": []}}, "n": [[{"raw_csv": 1}]]},
+        {"a": {}, "n": True},
+        [{"csv": 1}, {"k": 2.50}, None, [{"csv": {}}]],
+        [],
+        3,
+        "csv",
+        None,
+    ]
+    texts = [json.dumps(x) for x in whole] + ['{"n": {"\\u0063sv": 1, "m": 2}}', ' \n{"a": {"csv": 1}}']
+    whole += [{"n": {"csv": 1, "m": 2}}, {"a": {"csv": 1}}]
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items() if k not in payload.RAW_KEYS}
+        return [clean(v) for v in x] if isinstance(x, list) else x
+
+    def paths(x, path=""):
+        if isinstance(x, list):
+            return [p for v in x for p in paths(v, f"{path}[]")]
+        found = []
+        for key in sorted(x) if isinstance(x, dict) else ():
+            here = f"{path}.{key}" if path else key
+            found += [here] if key in payload.RAW_KEYS else paths(x[key], here)
+        return found
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, p string")
+    for frame in (df, df.filter("i != 2"), df.filter("i in (0, 5, 11)")):
+        rows = payload.scrub_open(frame, "p", "c").collect()
+        assert len(rows) == frame.count()
+        for r in rows:
+            assert json.loads(r.c.json) == clean(whole[r.i]) and r.c.error is None
+            assert sorted(r.c.warnings) == sorted(payload.REMOVED + p for p in paths(whole[r.i]))
+    assert payload.scrub_open(df.limit(0), "p").count() == 0
+
+
+def test_payloads_with_many_keys_take_the_long_way(spark, monkeypatch):
+    monkeypatch.setattr(payload, "MOST_FIELDS", 3)
+    texts = [json.dumps({f"k{i}": {"csv": i, "v": i}}) for i in range(6)]
+    rows = payload.scrub_open(spark.createDataFrame(list(enumerate(texts)), "i int, p string"), "p", "c").collect()
+    assert all(json.loads(r.c.json) == {f"k{r.i}": {"v": r.i}} and r.c.warnings == [payload.REMOVED + f"k{r.i}.csv"] for r in rows)
