@@ -43,6 +43,25 @@ def test_recall_over_shards(spark, monkeypatch):
             assert abs(s - float(vectors[ids.index(j)].astype(float) @ vectors[ids.index(q)].astype(float))) < 1e-9
 
 
+def recall(spark, vectors):
+    ids = list(range(len(vectors)))
+    got = found(nearest_neighbours(frame(spark, zip(ids, vectors.tolist(), strict=True))))
+    want = brute(ids, vectors.astype(float), 20, 20)
+    return sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_recall_with_very_long_vectors(spark):
+    r = np.random.default_rng(4)
+    vectors = r.normal(size=(1200, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    for factor in (10_000, 1e8):
+        one = vectors.astype(np.float32)
+        one[77] *= factor
+        assert recall(spark, one) >= 0.95
+    uneven = (vectors * np.exp(r.normal(size=1200) * 3)[:, None]).astype(np.float32)
+    assert recall(spark, uneven) >= 0.9
+
+
 def test_small_tables_ties_and_invalid_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 1.0]), (3, [-1.0, 0.0]), (20, [0.0, 3.0]), (4, None), (5, [0.0, 0.0]), (6, [None, 1.0])]
     rows += [(7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, []), (None, [5.0, 5.0]), (10, [1.0, 2.0, 3.0]), (40, [0.0, 0.0])]
