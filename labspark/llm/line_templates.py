@@ -20,11 +20,15 @@ MIN_DOCS = 5
 TENTHS = 7
 
 _BLANKS = r"[ \t\x0B\f\r]+"
-_FIELD = r"[^ 0-9]*[0-9][^ ]*"
+#: From the beginning of a token only, and without going back, so that a token is read once.
+_FIELD = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _BLANKS, " ")), _FIELD, "<*>")
+    """Tokens with one space between them, those with a digit as ``<*>``; most lines need neither pattern."""
+    odd = line.rlike(r"[\t\x0B\f\r]|  ")
+    plain = F.trim(F.when(odd, F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, _FIELD, "<*>")).otherwise(plain)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
