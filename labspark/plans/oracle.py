@@ -761,4 +761,9 @@ WITH {_CELLS}
 SELECT dataset_id, "column", count(num) AS n, CAST(avg(num) AS FLOAT) AS mean, min(num) AS "min", max(num) AS "max"
 FROM cells GROUP BY dataset_id, "column" HAVING count(num) > 0""",
     }
+    queries["arrival_regression"] = queries["angular_regression"]
+    heads = ", ".join(f"({i}, {_quote(h)})" for i, (_, h) in enumerate(RUN_KINDS))
+    queries["read_file_lines"] = f"""
+SELECT dataset_id, n_lines, n_chars, replace(header, '\\t', chr(9)) AS header
+FROM ({queries["read_lines"]}) JOIN (SELECT * FROM (VALUES {heads}) AS h(kind, header)) ON kind = dataset_id % 6"""
     return queries

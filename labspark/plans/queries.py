@@ -25,7 +25,8 @@ from labspark.plans.pendulum_run import evaluate_traces
 from labspark.session import checkpoint_dir, cut_lineage
 from labspark.sinks.ordered import read_ordered
 from labspark.sources import delimited, tracking
-from labspark.streaming.arrival import analyse_arrivals
+from labspark.sources.lines import read_lines as read_text_lines
+from labspark.streaming.arrival import analyse_arrivals, read_arrivals, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_EVENTS = 200
@@ -513,7 +514,10 @@ def role_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def angular_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fit = physics.angular_regression(role_ops.pairs(_rows(spark, sf_dir), "time", "angle"))
+    return _rounded_fit(physics.angular_regression(role_ops.pairs(_rows(spark, sf_dir), "time", "angle")))
+
+
+def _rounded_fit(fit: DataFrame) -> DataFrame:
     return fit.select(
         "dataset_id",
         "n",
@@ -1086,7 +1090,7 @@ def written_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrival_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurement files analysed by the streaming query, read from the table it wrote."""
-    root = f"{checkpoint_dir(spark).rstrip('/')}/arrival-{uuid.uuid4().hex}"
+    root = _new_folder(spark, "arrival")
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     stream = (
         spark.readStream.schema(schema)
@@ -1094,13 +1098,45 @@ def arrival_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .option("maxFilesPerTrigger", (1 << 31) - 1)  # runs may cross files, so all files are one batch
         .parquet(sf_dir)
     )
-    query = analyse_arrivals(measurement_lines(stream), f"{root}/out", f"{root}/progress")
+    query = analyse_arrivals(
+        measurement_lines(stream), f"{root}/out", f"{root}/progress", lambda lines: {"statistics": analyse(lines).statistics}
+    )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out/statistics").select(
+    return read_arrivals(spark, f"{root}/out", "statistics").select(
         "dataset_id", "column", "n", _mean_digits(F.col("mean")).alias("mean"), "min", "max"
     )
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> str:
+    """The measurement files of the events as text files, one folder each, below the checkpoint folder."""
+    root = _new_folder(spark, "landing")
+    ordered = _lines(spark, sf_dir).repartition("dataset_id").sortWithinPartitions("dataset_id", "row_idx")
+    ordered.select("dataset_id", "line").write.partitionBy("dataset_id").text(root)
+    return root
+
+
+def _run_number(path: Column) -> Column:
+    return F.regexp_extract(path, "dataset_id=([0-9]+)", 1).cast("bigint")
+
+
+def arrival_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a landing folder streamed in several batches with the whole analysis; the fits it wrote."""
+    root = _new_folder(spark, "arrival")
+    lines = stream_files(spark, f"{_landed(spark, sf_dir)}/*", 300, _run_number)
+    analyse_arrivals(lines, f"{root}/out", f"{root}/progress").awaitTermination()
+    return _rounded_fit(read_arrivals(spark, f"{root}/out", "regression"))
+
+
+def read_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and characters of the measurement files, read from files with numbered lines."""
+    lines = read_text_lines(spark, f"{_landed(spark, sf_dir)}/*").withColumn("dataset_id", _run_number(F.col("dataset_id")))
+    return lines.groupBy("dataset_id").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.length("line")).alias("n_chars"),
+        F.min_by("line", "row_idx").alias("header"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -1177,5 +1213,7 @@ QUERIES: dict[str, Query] = {
         written_points,
         written_coordinates,
         arrival_statistics,
+        arrival_regression,
+        read_file_lines,
     )
 }

@@ -2,60 +2,87 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from labspark.operators.profile import column_profile, numeric_stats
-from labspark.plans.analysis import measurement_rows
-from labspark.session import cut_lineage
-from labspark.sources.delimited import column_names, detect, errors, to_cells
+from labspark.operators.ordered import BLOCK_ROWS
+from labspark.plans.analysis import analyse
 from labspark.sources.lines import split_lines
 
 Tables = Mapping[str, DataFrame]
+#: What a micro-batch leaves behind; ``files`` is added to them.
+TABLES = "errors statistics profile resonance_points resonance regression latitude items preview_blocks reports".split()
+_VERSION = ["version", "path"]
 
 
-def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Streaming ``lines`` of whole files; a file belongs to exactly one micro-batch."""
+def stream_files(
+    spark: SparkSession, folder: str, max_files: int | None = None, name: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Streaming ``lines`` of whole files; a file belongs to exactly one micro-batch.
+
+    ``name`` makes the dataset's id of a file's path (default: the path itself).  A file that is delivered
+    again under another path may so replace the earlier one: ``version`` is its time of modification.
+    """
     reader = spark.readStream.format("text").option("wholetext", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    path = F.col("_metadata.file_path")
     files = reader.load(folder).select(
-        F.col("_metadata.file_path").alias("dataset_id"), F.col("value").alias("content")
+        (name(path) if name else path).alias("dataset_id"),
+        F.col("_metadata.file_modification_time").alias("version"),
+        path.alias("path"),
+        F.col("value").alias("content"),
     )
-    return split_lines(files)
+    lines = split_lines(files.withColumn("dataset_id", F.struct("dataset_id", *_VERSION)))
+    return lines.select("dataset_id.*", "row_idx", "line")
+
 
+def latest_files(files: DataFrame) -> DataFrame:
+    """One row per dataset: its last version, of files modified at the same time the one with the greatest path."""
+    newest = F.max(F.struct(*_VERSION, *[c for c in files.columns if c not in ("dataset_id", *_VERSION)]))
+    return files.groupBy("dataset_id").agg(newest.alias("f")).select("dataset_id", "f.*")
 
-def arrival_tables(lines: DataFrame) -> Tables:
-    """Statistics, profile and errors of the files of one micro-batch: the batch transformations."""
-    layouts = cut_lineage(detect(lines))
-    cells = to_cells(measurement_rows(lines, layouts))
-    names = column_names(layouts)
 
-    def named(df: DataFrame) -> DataFrame:
-        return df.join(names, ["dataset_id", "col_idx"])
+def arrival_tables(lines: DataFrame, metadata: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> Tables:
+    """The whole analysis of the files of one micro-batch: the batch transformations."""
+    result = analyse(lines, metadata, block_rows)
+    return {name: getattr(result, name) for name in TABLES}
 
-    return {
-        "statistics": named(numeric_stats(cells)),
-        "profile": named(column_profile(cells)),
-        "errors": errors(layouts),
-    }
+
+def _commit(spark: SparkSession, out: str, batch_id: int, attempt: str, versions: bool) -> None:
+    row = spark.createDataFrame([(batch_id, attempt, versions)], "batch long, attempt string, versions boolean")
+    row.coalesce(1).write.mode("overwrite").parquet(f"{out}/commits/of={batch_id}")
 
 
 def analyse_arrivals(
-    lines: DataFrame, out: str, checkpoint: str, tables: Callable[[DataFrame], Tables] = arrival_tables
+    lines: DataFrame,
+    out: str,
+    checkpoint: str,
+    tables: Callable[[DataFrame], Tables] = arrival_tables,
 ) -> StreamingQuery:
     """Process everything that has arrived, each file once, then stop.
 
-    A batch writes its own folder per table.  A batch that is retried after a failure replaces that
-    folder, so results are neither lost nor doubled; the query keeps no other state.
+    Each attempt at a batch writes folders of its own, one per table; a commit, written last, names the attempt
+    that counts.  A batch that fails in between has no commit and is tried again, so readers
+    (:func:`read_arrivals`) see each batch whole or not at all, and never twice.
+    Where ``lines`` have versions, only the last version of a dataset in a batch is analysed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        for name, table in tables(batch).items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        spark, attempt = batch.sparkSession, f"a{uuid.uuid4().hex}"
+        made: dict[str, DataFrame] = {}
+        if set(_VERSION) <= set(batch.columns):
+            files = latest_files(batch.select("dataset_id", *_VERSION).distinct())
+            batch = batch.join(files, ["dataset_id", *_VERSION], "left_semi").select("dataset_id", "row_idx", "line")
+            made["files"] = files
+        made.update(tables(batch))
+        for name, table in made.items():
+            table.write.parquet(f"{out}/{name}/batch={batch_id}/attempt={attempt}")
+        _commit(spark, out, batch_id, attempt, "files" in made)
 
     return (
         lines.writeStream.foreachBatch(write)
@@ -63,3 +90,21 @@ def analyse_arrivals(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_arrivals(spark: SparkSession, out: str, name: str, latest: bool = True) -> DataFrame:
+    """A table of all committed batches; with ``latest`` only of the last version of each dataset.
+
+    Without versions there is one of each dataset.
+    """
+    commits = spark.read.parquet(f"{out}/commits").select("batch", "attempt", "versions")
+
+    def committed(table: str) -> DataFrame:
+        return spark.read.parquet(f"{out}/{table}").join(commits, ["batch", "attempt"], "left_semi")
+
+    rows = committed(name)
+    if latest and not commits.where("versions").isEmpty():
+        newest = latest_files(committed("files").select("dataset_id", *_VERSION, "batch"))
+        rows = rows.join(newest.select("dataset_id", "batch"), ["dataset_id", "batch"], "left_semi")
+    return rows.drop("batch", "attempt")
+

@@ -1,6 +1,7 @@
 """Protocol texts, payload scrubbing, block selection and arrival."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from labspark.functions.text import clean_generated_text
 from labspark.operators import documents, payload, report
 from labspark.sources.lines import split_lines
 from labspark.sources.tables import payload_schema, read_bibliographies, read_protocols
-from labspark.streaming.arrival import analyse_arrivals, arrival_tables, stream_files
+from labspark.streaming import arrival
+from labspark.streaming.arrival import analyse_arrivals, arrival_tables, read_arrivals, stream_files
 
 FENCED = "```latex\n\\documentclass{article}\n% Beleg mit \\cite[S.~X]{key}\nText \\cite{known2020}.\n"
 BROKEN = (
@@ -314,13 +316,65 @@ def test_arrival_equals_batch_and_takes_each_file_once(spark, tmp_path):
     (landing / "late.csv").write_text("a;b\n1,5;2\n")
     run()
     run()
-    stats = spark.read.parquet(f"{out}/statistics")
+    stats = read_arrivals(spark, out, "statistics")
     got = sorted((r.dataset_id.split("/")[-1], r.column, r.n, r.mean) for r in stats.collect())
     files = [(p.name, p.read_text()) for p in sorted(landing.iterdir())]
     batch = arrival_tables(split_lines(spark.createDataFrame(files, "dataset_id string, content string")))
     want = sorted((r.dataset_id, r.column, r.n, r.mean) for r in batch["statistics"].collect())
     assert got == want and len(got) == 8
-    assert spark.read.parquet(f"{out}/errors").count() == 1
+    assert read_arrivals(spark, out, "errors").count() == 1
+    fits = {r.dataset_id.split("/")[-1]: r.report for r in read_arrivals(spark, out, "reports").collect()}
+    assert {k: json.loads(v) for k, v in fits.items()} == {r.dataset_id: json.loads(r.report) for r in batch["reports"].collect()}
+
+
+def test_a_batch_that_fails_before_its_commit_is_not_seen_and_tried_again(spark, tmp_path, monkeypatch):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+
+    def run():
+        stream = stream_files(spark, str(landing), max_files=1)
+        analyse_arrivals(stream, out, progress, lambda lines: {"lines": lines}).awaitTermination()
+
+    (landing / "first.csv").write_text("a,b\n1,2")
+    run()
+    (landing / "second.csv").write_text("a,b\n3,4")
+    with monkeypatch.context() as broken:
+        broken.setattr(arrival, "_commit", lambda *args: 1 / 0)
+        with pytest.raises(Exception):
+            run()
+    # The rows of the second file are in folders of failed attempts, but no reader takes them.
+    assert spark.read.parquet(f"{out}/lines").count() > 2
+    assert {r.line for r in read_arrivals(spark, out, "lines").collect()} == {"a,b", "1,2"}
+    run()
+    assert sorted(r.line for r in read_arrivals(spark, out, "lines").collect()) == ["1,2", "3,4", "a,b", "a,b"]
+    assert spark.read.parquet(f"{out}/lines").count() > 4
+
+
+def test_a_file_delivered_again_replaces_the_earlier_one(spark, tmp_path):
+    out, progress, landing = str(tmp_path / "out"), str(tmp_path / "progress"), tmp_path / "landing"
+
+    def deliver(day, name, text, age):
+        folder = landing / day
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(text)
+        os.utime(folder / name, (1_700_000_000 + age, 1_700_000_000 + age))
+
+    def run():
+        stream = stream_files(spark, f"{landing}/*", name=lambda path: F.regexp_extract(path, "([^/]+)$", 1))
+        analyse_arrivals(stream, out, progress).awaitTermination()
+        rows = read_arrivals(spark, out, "statistics").filter("column = 'v'").collect()
+        return sorted((r.dataset_id, r.n, r.mean) for r in rows)
+
+    deliver("1", "a.csv", "t,v\n0,1\n1,3\n", 0)
+    deliver("1", "b.csv", "t,v\n0,5\n", 0)
+    deliver("2", "b.csv", "t,v\n0,7\n", 10)  # two versions in one batch
+    assert run() == [("a.csv", 2, 2.0), ("b.csv", 1, 7.0)]
+    deliver("3", "a.csv", "t,v\n0,10\n", 20)
+    deliver("3", "b.csv", "t,v\n0,6\n", 5)  # older than what is there
+    assert run() == [("a.csv", 1, 10.0), ("b.csv", 1, 7.0)]
+    assert run() == [("a.csv", 1, 10.0), ("b.csv", 1, 7.0)]
+    assert read_arrivals(spark, out, "statistics", latest=False).filter("column = 'v'").count() == 4
 
 
 def test_rows_that_the_merged_schema_cannot_tell(spark):
