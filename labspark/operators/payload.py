@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labspark.operators.report import selected_block_lists
 from labspark.session import cut_lineage
 from labspark.sources.tables import variant_type
 
@@ -364,6 +365,17 @@ def _truthy(text: Column) -> Column:
     return text.isNotNull() & ~F.trim(text).isin("", "null", "false", "0", "0.0", '""', "[]", "{}")
 
 
+def with_selected_blocks(requests: DataFrame, blocks: DataFrame, selection: DataFrame) -> DataFrame:
+    """``requests`` with ``selected_analysis_blocks`` made of the blocks that ``selection`` names for each.
+
+    ``blocks`` are preview blocks of any number of datasets, ``selection(request_id, dataset_id, id)`` chooses
+    among them.  A request without any has an empty list.
+    """
+    lists = selected_block_lists(blocks, selection, ["request_id"])
+    joined = requests.drop("selected_analysis_blocks").join(lists, "request_id", "left")
+    return joined.withColumn("selected_analysis_blocks", F.coalesce("selected_analysis_blocks", F.lit("[]")))
+
+
 def assemble_payloads(requests: DataFrame) -> DataFrame:
     """Payload per request: the preferred fields if any is filled, else the plain messages, else a rejection.
 

@@ -372,6 +372,17 @@ def select_blocks(blocks: DataFrame, selection: DataFrame) -> DataFrame:
     return blocks.join(selection.select("dataset_id", "id"), ["dataset_id", "id"], "left_semi")
 
 
+def selected_block_lists(blocks: DataFrame, selection: DataFrame, keys: Sequence[str] = ("dataset_id",)) -> DataFrame:
+    """``keys, selected_analysis_blocks``: the chosen blocks as a JSON array in their order.
+
+    ``selection`` has ``dataset_id``, ``id`` and the ``keys`` of the lists, as several lists may be chosen from one
+    dataset.  A block chosen twice stands once; what names no block is ignored.
+    """
+    chosen = selection.select("dataset_id", "id", *[k for k in keys if k != "dataset_id"]).distinct()
+    found = chosen.join(blocks, ["dataset_id", "id"]).select(*keys, F.struct("dataset_id", "block", _block_json().alias("json")).alias("e"))
+    return found.groupBy(*keys).agg(_listed(F.collect_list("e")).alias("selected_analysis_blocks"))
+
+
 def generation_summary(overview: DataFrame) -> DataFrame:
     """``dataset_id, summary, error``: the summary as JSON, or an error where it names a forbidden term."""
     summary = json_text(

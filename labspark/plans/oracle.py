@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from labspark.operators.documents import FORBIDDEN_TERMS, TEXT_RULES
 from labspark.operators.physics import REASON_DOMAIN, REASON_UNIT
-from labspark.operators.report import DATASET_WARNINGS, EXPECTED_PARAMETERS, ITEMS, SECTIONS, SELECTED_ITEM_RULE
+from labspark.operators.report import (
+    COLUMN_WARNINGS,
+    DATASET_WARNINGS,
+    ERROR_FORMULA,
+    EXPECTED_PARAMETERS,
+    ITEMS,
+    SECTIONS,
+    SELECTED_ITEM_RULE,
+)
 from labspark.plans.queries import EXTRA_RULES, EXTRA_TERMS, RUN_KINDS, SEARCHES
 
 
@@ -322,6 +332,15 @@ blocks AS (
 _SELECTED_NOT = "id = 'column_profile'"
 
 
+def _description_rows() -> str:
+    """Descriptions and hints by id; those of a column's warning by the beginning of the id."""
+    rows = [(name, values[3], values[6]) for name, values in ITEMS.items()]
+    rows += [(name, values[2], "") for name, values in DATASET_WARNINGS.items()]
+    rows += [(f"missing_{p}", f"{p} wurde nicht in den Metadaten bereitgestellt.", "") for p in EXPECTED_PARAMETERS]
+    rows += [(name.split("_")[0], values[1], "") for name, values in COLUMN_WARNINGS.items()]
+    return ", ".join(f"({_quote(a)}, {_quote(b)}, {_quote(c)})" for a, b, c in rows)
+
+
 def oracle() -> dict[str, str]:
     queries = {
         "linear_regression": f"""
@@ -761,6 +780,26 @@ WITH {_CELLS}
 SELECT dataset_id, "column", count(num) AS n, CAST(avg(num) AS FLOAT) AS mean, min(num) AS "min", max(num) AS "max"
 FROM cells GROUP BY dataset_id, "column" HAVING count(num) > 0""",
     }
+    queries["selected_payloads"] = f"""
+WITH {_BLOCKS}, texts(id, description, hint) AS (VALUES {_description_rows()}), chosen AS (
+  SELECT b.*, coalesce(x.description, y.description) AS description, coalesce(x.hint, '') AS hint, sizes.n AS n_rows, missing, c."column"
+  FROM blocks b LEFT JOIN texts x ON b.id = x.id LEFT JOIN texts y ON starts_with(b.id, y.id || '_column_') OR starts_with(b.id, y.id || '_numeric_column_')
+  LEFT JOIN per_column c ON b.dataset_id = c.dataset_id AND b.id IN ('empty_column_' || c."column", 'constant_numeric_column_' || c."column")
+  JOIN (SELECT dataset_id, count(*) AS n FROM m GROUP BY dataset_id) sizes ON sizes.dataset_id = b.dataset_id
+  JOIN (SELECT dataset_id, sum(n_all - n - n_txt) AS missing FROM per_column GROUP BY dataset_id) g ON g.dataset_id = b.dataset_id
+  WHERE b.id IN ('dataset_overview', 'gaussian_error_template') OR source_array = 'warnings'
+)
+SELECT 'r' || dataset_id AS request_id, 'preferred' AS kind, '{{"experiment_title":"Versuch r' || dataset_id
+  || '","experiment_type":null,"lab_notes":null,"metadata":{{}},"summary_for_generation":null,"selected_analysis_blocks":['
+  || string_agg(concat('{{"content":{{"data":', CASE WHEN id = 'dataset_overview' THEN concat('{{"columns":4,"missing_values":', missing, ',"rows":', n_rows, '}}')
+       WHEN id = 'gaussian_error_template' THEN {_quote(json.dumps({"latex": ERROR_FORMULA}, separators=(",", ":")))}
+       WHEN "column" IS NOT NULL THEN concat('{{"column":"', "column", '"}}')
+       WHEN id IN ('no_time_angle_regression', 'xy_tracking_no_angle') THEN '{{"not_computable":true,"requires_todo":true}}'
+       ELSE '{{"not_computable":true}}' END,
+     ',"description":"', description, '","latex_hint":"', hint, '"}},"id":"', id, '","section":"', section, '","source":{{"array":"', source_array,
+     '","id":"', id, '"}},"title":"', title, '","type":"', type, '"}}'), ',' ORDER BY block)
+  || '],"generation_rules":{{}}}}' AS payload, 0 AS n_warnings
+FROM chosen GROUP BY dataset_id"""
     queries["arrival_regression"] = queries["angular_regression"]
     heads = ", ".join(f"({i}, {_quote(h)})" for i, (_, h) in enumerate(RUN_KINDS))
     queries["read_file_lines"] = f"""

@@ -982,6 +982,21 @@ def generation_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def selected_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made of the blocks chosen from each file's analysis: overview, error formula and all warnings."""
+    result = _analysis(spark, sf_dir)
+    blocks = result.preview_blocks.filter(
+        "id in ('dataset_overview', 'gaussian_error_template') or source.array = 'warnings'"
+    )
+    selection = blocks.select(F.concat(F.lit("r"), F.col("dataset_id").cast("string")).alias("request_id"), "dataset_id", "id")
+    none = F.lit(None).cast("string")
+    names = ["system", "messages", *payload.PREFERRED_FIELDS, *payload.RAW_KEYS]
+    requests = result.layouts.select(F.concat(F.lit("r"), F.col("dataset_id").cast("string")).alias("request_id"), *[none.alias(n) for n in names])
+    requests = requests.withColumn("experiment_title", F.concat(F.lit("Versuch "), "request_id"))
+    built = payload.assemble_payloads(payload.with_selected_blocks(requests, blocks, selection))
+    return built.select("request_id", "kind", "payload", F.size("warnings").alias("n_warnings"))
+
+
 def preview_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = _analysis(spark, sf_dir).preview_blocks
     return blocks.select(
@@ -1205,6 +1220,7 @@ QUERIES: dict[str, Query] = {
         payload_scrub_open,
         scrub_audit,
         generation_payloads,
+        selected_payloads,
         preview_blocks,
         selected_blocks,
         analysis_warnings,
