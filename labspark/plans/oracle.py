@@ -672,6 +672,7 @@ SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(app_scope, '|')) AS t
 WITH {_DOCS}, {_OWN} SELECT lang, rule_id, severity, count(*) AS n FROM own GROUP BY ALL""",
         "citation_rules": f"WITH {_DOCS} SELECT * FROM key_errors",
         "uncited_entries": f"WITH {_DOCS} SELECT doc_id, key FROM bib ANTI JOIN cited USING (doc_id, key)",
+        "bibliography_files": "SELECT source, 'article' AS entry_type, 'key' || doc_id AS \"key\" FROM documents",
         "doc_quality": f"""
 WITH {_DOCS}, {_OWN}, found AS (
   SELECT doc_id, severity FROM own UNION ALL SELECT doc_id, severity FROM key_errors

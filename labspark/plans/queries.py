@@ -26,6 +26,7 @@ from labspark.session import checkpoint_dir, cut_lineage
 from labspark.sinks.ordered import read_ordered
 from labspark.sources import delimited, tracking
 from labspark.sources.lines import read_lines as read_text_lines
+from labspark.sources.tables import read_bibliographies
 from labspark.streaming.arrival import analyse_arrivals, read_arrivals, stream_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -897,6 +898,26 @@ def uncited_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.uncited_entries(documents.citations(tex), bib)
 
 
+def bibliography_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries read from bibliography files, one a source, whose values hold whole texts, braces and what looks like entries."""
+    docs = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    entry = F.concat(
+        F.when(F.col("doc_id") % 3 == 0, "@comment{ @misc{none} }\n").otherwise("text outside @ of entries\n"),
+        F.lit("@Article {\n  key"),
+        number,
+        F.lit(",\n  title = {"),
+        F.translate("text", "{}", "()"),
+        F.lit(" @misc{inner"),
+        number,
+        F.lit(', y = {}}},\n  note = "@book{quoted, z}"\n}\n'),
+    )
+    root = _new_folder(spark, "literature")
+    docs.select("source", entry.alias("entry")).repartition("source").write.partitionBy("source").text(root)
+    found = read_bibliographies(spark, f"{root}/*", block_rows=1 << 16)
+    return found.select(F.regexp_extract("doc_id", "source=([^/]+)$", 1).alias("source"), "entry_type", "key")
+
+
 def doc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tex, bib = _protocols(spark, sf_dir)
     return documents.quality_report(tex, bib, [*documents.TEXT_RULES, *EXTRA_RULES])
@@ -1213,6 +1234,7 @@ QUERIES: dict[str, Query] = {
         text_rules,
         citation_rules,
         uncited_entries,
+        bibliography_files,
         doc_quality,
         citations_missing,
         fence_clean,

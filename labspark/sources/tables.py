@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from labspark.operators.ordered import BLOCK_ROWS
 
 TAXA_COLUMNS = [
     "taxon_id",
@@ -58,29 +61,61 @@ def read_protocols(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     )
 
 
-def read_bibliographies(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``bib(doc_id, entry_type, key)``; read up to each closing brace, so a large shared file is split and a
-    key may stand on the line after its opening brace."""
-    parts = spark.read.option("lineSep", "}").text(paths).select(_folder().alias("doc_id"), "value")
-    return parts.select("doc_id", F.explode(bib_entries(F.col("value"))).alias("entry")).select("doc_id", "entry.*")
+def read_bibliographies(spark: SparkSession, paths: str | Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``bib(doc_id, entry_type, key)`` of bibliography files of any size; files of one folder are one bibliography.
+
+    Files are read up to each closing brace, so a large one is split and a key may stand on the line after its
+    opening brace.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = spark.read.option("lineSep", "}").text(paths).select(
+        _folder().alias("doc_id"),
+        F.col("_metadata.file_path").alias("path"),
+        (F.col("_metadata.file_block_start") + place).alias("row_idx"),
+        F.col("value").alias("part"),
+    )
+    return bib_entries(parts, block_rows)
 
 
 def _folder() -> Column:
     return F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]+$", 1)
 
 
-def bib_entries(text: Column) -> Column:
-    """``array<struct<entry_type, key>>`` of the entries opened in a bibliography text.
+def bib_entries(parts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``doc_id, entry_type, key`` of the entries in ``parts(doc_id, path, row_idx, part)`` of bibliography files.
 
-    Abbreviations, comments and preambles are no entries.
+    A part ends before a closing brace; ``row_idx`` orders the parts of a file.  An entry opens only outside all
+    braces, so an ``@`` inside a value is none.  The depth before a part is the number of braces opened and
+    closed before it, where a closing brace too many counts for nothing: a running sum less its lowest value.
+    Both are taken in blocks of parts and carried over the blocks of a file.  Abbreviations, comments and
+    preambles are no entries.
     """
-    pattern = r"@(\w+)\s*\{\s*([^,\s{}]+)"
-    kinds = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    entries = F.zip_with(
-        kinds, keys, lambda kind, key: F.struct(F.lower(kind).alias("entry_type"), key.alias("key"))
+    step = F.length("part") - F.length(F.replace("part", F.lit("{"))) - 1
+    file, block = ["doc_id", "path"], ["doc_id", "path", "_part_block"]
+    here = Window.partitionBy(*block).orderBy("row_idx")
+    earlier = here.rowsBetween(Window.unboundedPreceding, -1)
+    rows = (
+        parts.withColumn("_part_block", F.expr(f"row_idx div {int(block_rows)}L"))
+        .withColumn("step", step.cast("long"))
+        .withColumn("sum", F.sum("step").over(here))
+        .withColumn("lowest", F.min("sum").over(earlier))
+    )
+    before = Window.partitionBy(*file).orderBy("_part_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        rows.groupBy(*block)
+        .agg(F.sum("step").alias("total"), F.min("sum").alias("low"))
+        .withColumn("carried", F.coalesce(F.sum("total").over(before), F.lit(0)))
+        .withColumn("floor", F.coalesce(F.min(F.col("carried") + F.col("low")).over(before), F.lit(0)))
+        .select(*block, "carried", "floor")
+    )
+    sum_before = F.col("carried") + F.col("sum") - F.col("step")
+    floor = F.least(F.lit(0), F.col("floor"), F.col("carried") + F.coalesce("lowest", F.lit(0)))
+    # Inside a part braces only open, so an entry's brace is the first of its part.
+    pattern = r"^[^{]*@(\w+)\s*\{\s*([^,\s{}]+)"
+    entries = rows.join(blocks, block).filter(sum_before - floor == 0).select(
+        "doc_id", F.lower(F.regexp_extract("part", pattern, 1)).alias("entry_type"), F.regexp_extract("part", pattern, 2).alias("key")
     )
-    return F.filter(entries, lambda e: ~e["entry_type"].isin(NO_ENTRIES))
+    return entries.filter((F.col("key") != "") & ~F.col("entry_type").isin(NO_ENTRIES))
 
 
 def variant_type(ddl: str, untyped: str = "VARIANT") -> T.DataType:

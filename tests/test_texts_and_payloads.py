@@ -377,6 +377,35 @@ def test_a_file_delivered_again_replaces_the_earlier_one(spark, tmp_path):
     assert read_arrivals(spark, out, "statistics", latest=False).filter("column = 'v'").count() == 4
 
 
+@pytest.mark.parametrize("block_rows", [1, 5, 1 << 20])
+def test_entries_open_only_outside_all_braces(spark, tmp_path, block_rows):
+    texts = {
+        "a": '@string{x = "y"}\n@Book{one,\n title = {A {B @misc{no, z}} C},\n note = "@article{quoted, x}"}\n mail me @ home\n@ misc {two}\n@misc\n{\n three ,}',
+        "b": "}} stray @book{four, t={}}\n@comment{ @book{hidden, x={y}} }@preamble{p}@BOOK{five,}",
+        "c": "@book{open, t = {never closed @misc{inner, x}",
+        "d": "",
+        "e": "no entry at all",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.bib").write_text(text)
+    many = "".join(f"@misc{{k{i}, t = {{a}}, u = {{@book{{no{i}, x}}}}}}\n" for i in range(500))
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bib").write_text(many)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        found = {}
+        for r in read_bibliographies(spark, f"{tmp_path}/*/*.bib", block_rows).collect():
+            found.setdefault(r.doc_id.split("/")[-1], []).append((r.entry_type, r.key))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(found["a"]) == [("book", "one"), ("misc", "three")]
+    assert sorted(found["b"]) == [("book", "five"), ("book", "four")]
+    assert found["c"] == [("book", "open")] and "d" not in found and "e" not in found
+    assert sorted(found["f"]) == sorted(("misc", f"k{i}") for i in range(500))
+
+
 def test_rows_that_the_merged_schema_cannot_tell(spark):
     """Nulls instead of objects, several types under one key, escaped keys, raw fields in raw fields, odd names."""
     whole = [
