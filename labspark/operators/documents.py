@@ -63,7 +63,7 @@ CITATION_LITERAL = "Literal-Citation-Key im sichtbaren Text gefunden."
 
 _COMMENT = r"(?<!\\)((?:\\\\)*)%.*"  # a percent sign after an even number of backslashes
 _CITE = r"\\[A-Za-z]*[Cc]ite[A-Za-z]*\*?(?:\s*(?:\[[^\]]*\]\s*)*\{[^}]*\})+"
-_NO_KEY_CHARACTERS = r"[^\p{L}\p{M}\p{N}_:.+/-]+"
+_KEY_CHARACTER, _STOP = r"[\p{L}\p{M}\p{N}_:.+/-]", "[.:+/-]"
 _EVERY_ENTRY = "*"  # the key of a \\nocite that names the whole bibliography
 _STOPS = ".:+/-"
 
@@ -110,7 +110,7 @@ def bibliography_violations(tex: Column) -> Column:
 
 
 def without_comments(tex: Column) -> Column:
-    return F.regexp_replace(tex, _COMMENT, "$1")
+    return F.when(tex.contains("%"), F.regexp_replace(tex, _COMMENT, "$1")).otherwise(tex)
 
 
 def cited_keys(tex: Column) -> Column:
@@ -122,11 +122,21 @@ def cited_keys(tex: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k != ""))
 
 
-def visible_words(tex: Column) -> Column:
-    """Distinct key-like words of the text outside comments and citation commands."""
-    shown = F.regexp_replace(without_comments(tex), _CITE, " ")
-    words = F.array_distinct(F.split(shown, _NO_KEY_CHARACTERS))
-    return F.array_distinct(F.transform(words, lambda w: F.btrim(w, F.lit(_STOPS))))
+def standing_keys(tex: Column, keys: Column) -> Column:
+    """The ``keys`` that stand in the text as plain words, outside comments and citation commands.
+
+    A word is a run of key-like characters without the stops at its ends.  Only keys that the text contains at
+    all are looked for by a pattern, so the text is never cut into words.
+    """
+    shown = F.when(tex.contains("\\"), F.regexp_replace(without_comments(tex), _CITE, " ")).otherwise(without_comments(tex))
+
+    def stands(text: Column, key: Column) -> Column:
+        word = F.concat(F.lit(f"(?<!{_KEY_CHARACTER}){_STOP}*\\Q"), key, F.lit(f"\\E{_STOP}*(?!{_KEY_CHARACTER})"))
+        possible = key.rlike(f"^{_KEY_CHARACTER}+\\z") & (key == F.btrim(key, F.lit(_STOPS)))
+        return text.contains(key) & possible & F.regexp_like(text, word)
+
+    # The text is bound to a variable, so that it is made once for all keys.
+    return F.get(F.transform(F.array(shown), lambda text: F.filter(keys, lambda key: stands(text, key))), F.lit(0))
 
 
 def citations(docs: DataFrame) -> DataFrame:
@@ -169,7 +179,7 @@ def key_violations(tex: Column, entries: Column) -> Column:
     A literal key is an entry of the document's bibliography that stands as a plain word in its text.
     """
     missing = F.array_except(cited_keys(tex), F.concat(entries, F.array(F.lit(_EVERY_ENTRY))))
-    literal = F.array_intersect(entries, visible_words(tex))
+    literal = F.array_distinct(standing_keys(tex, entries))
     return F.concat(
         F.transform(missing, lambda k: violation("citation_missing", "error", CITATION_MISSING, k)),
         F.transform(literal, lambda k: violation("citation_literal", "error", CITATION_LITERAL, k)),
@@ -206,9 +216,11 @@ def quality_report(docs: DataFrame, bib: DataFrame, rules: Sequence[TextRule] =
     """
     own = F.concat(text_violations(F.col("tex"), rules), bibliography_violations(F.col("tex")))
     keys = key_violations(F.col("tex"), F.col("bib_keys"))
-    counted = with_entries(docs, bib).select(
+    # A projection of its own, so that the rules are tested once and not for each count.
+    found = with_entries(docs, bib).select("doc_id", own.alias("_own"), F.size(keys).alias("_keys"))
+    counted = found.select(
         "doc_id",
-        (F.size(F.filter(own, lambda v: v["severity"] == "error")) + F.size(keys)).cast("bigint").alias("n_errors"),
-        F.size(F.filter(own, lambda v: v["severity"] == "warning")).cast("bigint").alias("n_warnings"),
+        (F.size(F.filter("_own", lambda v: v["severity"] == "error")) + F.col("_keys")).cast("bigint").alias("n_errors"),
+        F.size(F.filter("_own", lambda v: v["severity"] == "warning")).cast("bigint").alias("n_warnings"),
     )
     return counted.withColumn("passed", F.col("n_errors") == 0)

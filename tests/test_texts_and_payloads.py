@@ -452,3 +452,20 @@ def test_payloads_with_many_keys_take_the_long_way(spark, monkeypatch):
     texts = [json.dumps({f"k{i}": {"csv": i, "v": i}}) for i in range(6)]
     rows = payload.scrub_open(spark.createDataFrame(list(enumerate(texts)), "i int, p string"), "p", "c").collect()
     assert all(json.loads(r.c.json) == {f"k{r.i}": {"v": r.i}} and r.c.warnings == [payload.REMOVED + f"k{r.i}.csv"] for r in rows)
+
+
+def test_literal_keys_equal_words_of_the_text(spark):
+    import random
+
+    import regex
+
+    rng = random.Random(6)
+    keys = ["a", "b:c", "x.y", ".a", "a.", "\\E", "ä", "a+b", "", "-", "c"]
+    pieces = ["a", "b:c", "x.y", "ä", "a+b", " ", ".", "-", "(", "\\E", "A", "\n", "_", "c", "/", "é", "1"]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(14))) for _ in range(500)]
+    df = spark.createDataFrame([(i, t, keys) for i, t in enumerate(texts)], "i int, tex string, keys array<string>")
+    found = {r.i: set(r.k) for r in df.select("i", documents.standing_keys(F.col("tex"), F.col("keys")).alias("k")).collect()}
+    for i, text in enumerate(texts):
+        words = {w.strip(".:+/-") for w in regex.split(r"[^\p{L}\p{M}\p{N}_:.+/-]+", text)} - {""}
+        assert found[i] == words & set(keys), text
+    assert sum(map(bool, found.values())) > 100
