@@ -764,7 +764,7 @@ SELECT dataset_id, row_count, CAST(4 AS BIGINT) AS column_count, source_array,
          WHEN 'angular_regression' THEN 'x_column,y_column,n,slope,intercept,r_value,r_squared,p_value,stderr'
          WHEN 'gaussian_error_template' THEN 'latex' WHEN 'no_time_angle_regression' THEN 'not_computable,requires_todo'
          WHEN 'xy_tracking_no_angle' THEN 'not_computable,requires_todo'
-         ELSE CASE WHEN id LIKE '%\_column\_%' ESCAPE '\' THEN 'column' ELSE 'not_computable' END END AS details, true AS whole, true AS has_data
+         ELSE CASE WHEN contains(id, '_column_') THEN 'column' ELSE 'not_computable' END END AS details, true AS whole, true AS has_data
 FROM blocks JOIN sizes USING (dataset_id) JOIN described USING (dataset_id) JOIN points USING (dataset_id)""",
         "written_points": f"""
 WITH {_MEASURED}
