@@ -39,6 +39,9 @@ HEADLINE = [
     "analysis_reports",
     "pendulum_results",
     "arrival_statistics",
+    "table_search",
+    "multiline_cells",
+    "bibliography_files",
 ]
 
 
