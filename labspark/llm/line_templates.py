@@ -3,8 +3,10 @@
 A line falls through a tree of fixed depth: its token count, then its ``DEPTH`` leading tokens, tokens with a
 digit counting as the variable field ``<*>``.  The lines of one leaf share a template that has a token where
 more than half of the leaf's documents agree and a variable field elsewhere; a line belongs to it if enough
-of its tokens stand in the template.  Masked lines that differ from their leaf's template are templates of
-their own.  A template found in ``MIN_DOCS`` documents is boilerplate: all its lines but the first go.
+of its tokens stand in the template.  Below that the leaf has templates with one further variable field: masked
+lines that are equal but for the token at one place, whatever else is in the leaf.  A line takes the one of most
+documents.  Masked lines in neither are templates of their own.  A template found in ``MIN_DOCS`` documents is
+boilerplate: all its lines but the first go.
 """
 
 from __future__ import annotations
@@ -41,6 +43,28 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _one_field(tokens: DataFrame) -> DataFrame:
+    """(leaf, form, group): forms of a leaf that are equal but for the token at one place.
+
+    ``tokens`` has a row for each token of a form.  The rest of a form without one token is its hash, the
+    exclusive or of its tokens with their places, less that token's; so a line of any length is read once.
+    """
+    placed = tokens.where(f"10 * (n - 1) >= {TENTHS} * n").withColumn("own", F.xxhash64("at", "token"))
+    whole = placed.groupBy("leaf", "form").agg(F.bit_xor("own").alias("whole"))
+    rest = placed.where(f"at >= {DEPTH}").join(whole, ["leaf", "form"]).select("leaf", "form", "docs", "at", F.col("whole").bitwiseXOR(F.col("own")).alias("rest"))
+    groups = (
+        rest.groupBy("leaf", "at", "rest")
+        .agg(F.sum("docs").alias("weight"), F.count("*").alias("forms"))
+        .where(f"forms > 1 and weight >= {MIN_DOCS}")
+    )
+    return (
+        rest.join(groups.drop("forms"), ["leaf", "at", "rest"])
+        .groupBy("leaf", "form")
+        .agg(F.max(F.struct("weight", (-F.col("at")).alias("before"), "rest")).alias("best"))
+        .select("leaf", "form", F.xxhash64("best.before", "best.rest").alias("group"))
+    )
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(key, line_no): the lines to drop from ``docs`` (key, doc_id, text).
 
@@ -89,10 +113,12 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
         .where(f"10 * same >= {TENTHS} * n")
         .select("leaf", "form")
     )
-    # The template of a line: its leaf's, or its own form.
-    template = F.when(F.col("general").isNotNull(), F.lit(0)).otherwise(F.col("form"))
+    # The template of a line: its leaf's, one with a further field, or its own form.
+    wide = general.select("leaf", "form", F.lit(0).cast("long").alias("group"))
+    wide = wide.union(_one_field(tokens.join(general, ["leaf", "form"], "left_anti")))
+    template = F.coalesce("group", "form")
     named = written(
-        found.join(general.withColumn("general", F.lit(1)), ["leaf", "form"], "left").select(
+        found.join(wide, ["leaf", "form"], "left").select(
             "key", "doc_id", "line_no", "leaf", template.alias("template")
         ),
         "templates",
@@ -156,9 +182,18 @@ WITH lines AS (
   SELECT leaf, ord, token FROM tok GROUP BY leaf, ord, token HAVING 2 * sum(docs) > any_value(total)
 ), general AS (
   SELECT leaf, masked FROM tok JOIN fixed USING (leaf, ord, token) GROUP BY leaf, masked, n HAVING 10 * count(*) >= {TENTHS} * n
+), placed AS (
+  SELECT *, hash(ord, token) AS own FROM tok ANTI JOIN general USING (leaf, masked) WHERE 10 * (n - 1) >= {TENTHS} * n
+), rest AS (
+  SELECT leaf, masked, docs, ord, xor(own, bit_xor(own) OVER (PARTITION BY leaf, masked)) AS rest FROM placed
+), one_field AS (
+  SELECT leaf, ord, rest, sum(docs) AS weight FROM rest WHERE ord > {DEPTH} GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS}
+), best AS (
+  SELECT leaf, masked, arg_max(chr(10) || ord || ' ' || rest, weight * 1000000 - ord) AS template
+  FROM rest JOIN one_field USING (leaf, ord, rest) GROUP BY leaf, masked
 ), named AS (
-  SELECT t.doc_id, t.line_no, t.leaf, CASE WHEN g.masked IS NULL THEN t.masked ELSE '' END AS template
-  FROM t LEFT JOIN general g ON t.leaf = g.leaf AND t.masked = g.masked
+  SELECT t.doc_id, t.line_no, t.leaf, CASE WHEN g.masked IS NOT NULL THEN '' ELSE coalesce(b.template, t.masked) END AS template
+  FROM t LEFT JOIN general g ON t.leaf = g.leaf AND t.masked = g.masked LEFT JOIN best b ON t.leaf = b.leaf AND t.masked = b.masked
 ), recurring AS (
   SELECT leaf, template, min(doc_id * 1000000 + line_no) AS first FROM named GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
 ), gone AS (

@@ -44,3 +44,32 @@ def test_nulls_repeated_rows_and_other_columns(spark, docs):
     want += [(i, "own c", 2, 1) for i in (3, 4, 5)]
     assert got == sorted(want, key=str)
     assert drop_recurring_lines(docs(rows).where("false")).count() == 0
+
+
+def test_templates_of_a_crowded_leaf(spark, docs):
+    """Lines with one variable word go, however many other lines open alike; compared with plain Python."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    shoes = [f"Visit our page for {letters[i]}{letters[i + 1]} shoes and more" for i in range(20)]
+    others = [f"Visit our page {' '.join(letters[(i * 7 + k * (i + 3)) % 26] * 3 + letters[i % 26] for k in range(6))}" for i in range(30)]
+    other_fields = [f"Visit our page for blue {letters[i]}{letters[i]} and gone again" for i in range(4)]
+    long = " ".join(f"w{letters[k % 26]}{letters[k // 26 % 26]}{letters[k // 676]}" for k in range(5000))
+    lines = shoes + others + other_fields + [f"{long} end{letters[i]}" for i in range(5)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring_lines(docs(list(enumerate(lines)))).collect()}
+    alone = {r.doc_id: r.n_dropped for r in drop_recurring_lines(docs(list(enumerate(shoes)))).collect()}
+
+    groups = {}
+    for i, line in enumerate(lines):
+        words = line.split()
+        for at in range(3, len(words)):
+            if len(words) < 100 or at == len(words) - 1:
+                groups.setdefault((len(words), at, " ".join(words[:at] + words[at + 1 :])), set()).add(i)
+    want = {i: 0 for i in range(len(lines))}
+    for members in groups.values():
+        if len(members) >= 5:
+            want.update({i: 1 for i in members if i != min(members)})
+    assert got == want and sum(want.values()) == 19 + 4
+    assert alone == {i: int(i > 0) for i in range(20)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(lines)))
+    assert {r[0]: r[2] for r in con.execute(ORACLE).fetchall()} == got
