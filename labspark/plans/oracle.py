@@ -91,6 +91,12 @@ s AS (
 )"""
 
 
+_HELD = """
+h AS (
+  SELECT s.*, row_idx % 10 = 0 AND t < t0 + (t1 - t0) / 4 AS held FROM s, (SELECT min(t) AS t0, max(t) AS t1 FROM s)
+)"""
+
+
 def _crossings(key: str) -> str:
     return f"""
 {_traces(key)},
@@ -586,6 +592,13 @@ SELECT event_type, coords, round(intercept, 4) AS fit_a, round(slope, 7) AS fit_
 WITH {_traces("event_type")}, z AS (SELECT event_type, CAST(floor(t / 86400) AS BIGINT) AS slice, x, y FROM s),
 {_fit("x", "y", "z", "event_type, slice")}
 SELECT event_type, slice, n, round(degrees(atan(slope)), 6) AS alpha_deg FROM fit""",
+        "arriving_slices": f"""
+WITH {_traces("event_type")}, {_HELD}, z AS (SELECT event_type, CAST(floor(t / 86400) AS BIGINT) AS slice, x, y FROM h WHERE NOT held),
+{_fit("x", "y", "z", "event_type, slice")}
+SELECT event_type, slice, n, round(degrees(atan(slope)), 6) AS alpha_deg FROM fit""",
+        "late_slice_samples": f"""
+WITH {_traces("event_type")}, {_HELD}
+SELECT event_type, CAST(floor(t / 86400) AS BIGINT) AS slice, count(*) AS n_late FROM h WHERE held GROUP BY ALL""",
         "pendulum_results": f"""
 WITH {_crossings("event_type")}, p AS (SELECT event_type, count(*) AS n_periods FROM periods GROUP BY event_type)
 SELECT event_type, 'Versuch' AS title, count(*) AS n, max(n_periods) AS n_periods, CAST(30 AS BIGINT) AS n_seg
@@ -670,6 +683,14 @@ SELECT tag, count(*) AS n FROM (SELECT unnest(string_split(app_scope, '|')) AS t
         "forbidden_terms": _TERMS,
         "text_rules": f"""
 WITH {_DOCS}, {_OWN} SELECT lang, rule_id, severity, count(*) AS n FROM own GROUP BY ALL""",
+        "table_rules": r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS word FROM benchmark),
+r AS (
+  SELECT word, length(word) % 2 = 1 AS whole, '(^|[^a-z])' || word || '([^a-z]|$)' AS pattern FROM w
+)
+SELECT lang, word AS rule_id, CASE WHEN whole THEN 'error' ELSE 'warning' END AS severity, count(*) AS n
+FROM documents JOIN r ON CASE WHEN contains(lower(text), word) THEN NOT whole OR regexp_matches(text, pattern) ELSE false END
+GROUP BY ALL""",
         "citation_rules": f"WITH {_DOCS} SELECT * FROM key_errors",
         "uncited_entries": f"WITH {_DOCS} SELECT doc_id, key FROM bib ANTI JOIN cited USING (doc_id, key)",
         "bibliography_files": "SELECT source, 'article' AS entry_type, 'key' || doc_id AS \"key\" FROM documents",

@@ -20,6 +20,7 @@ from labspark.functions.text import clean_generated_text
 from labspark.operators import catalog, documents, payload, physics, profile, quality, report
 from labspark.operators import pendulum as p
 from labspark.operators import roles as role_ops
+from labspark.operators.rules import rule_findings
 from labspark.plans.analysis import Analysis, analyse, measurement_rows
 from labspark.plans.pendulum_run import evaluate_traces
 from labspark.session import checkpoint_dir, cut_lineage
@@ -28,6 +29,7 @@ from labspark.sources import delimited, tracking
 from labspark.sources.lines import read_lines as read_text_lines
 from labspark.sources.tables import read_bibliographies
 from labspark.streaming.arrival import analyse_arrivals, read_arrivals, stream_files
+from labspark.streaming.slices import late_samples, read_slices, slice_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 RUN_EVENTS = 200
@@ -759,6 +761,38 @@ def slice_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "slice", "n", F.round("alpha_deg", 6).alias("alpha_deg"))
 
 
+_HELD_BACK = 10
+
+
+def _arrived_slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """All samples as they were delivered in three parts, and the folder of their slices.
+
+    The second half of the time comes after the first, and every tenth event of the first quarter comes last.
+    """
+    root = _new_folder(spark, "slices")
+    samples = traces(table(spark, sf_dir, "events"), "event_type").select("event_type", "row_idx", "t", "x", "y")
+    first, last = samples.agg(F.min("t"), F.max("t")).first()
+    early = F.col("t") < first + (last - first) / 4
+    held = early & (F.col("row_idx") % _HELD_BACK == 0)
+    half = F.col("t") < (first + last) / 2
+    for part in (half & ~held, ~half, held):
+        samples.filter(part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(samples.schema).parquet(f"{root}/in")
+        slice_arrivals(stream, f"{root}/out", f"{root}/progress", ["event_type"], 86_400.0, "2 days").awaitTermination()
+    return spark.read.schema(samples.schema).parquet(f"{root}/in"), f"{root}/out"
+
+
+def arriving_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles of daily slices from samples that arrive in parts, without those that come too late."""
+    _, out = _arrived_slices(spark, sf_dir)
+    return read_slices(spark, out, ["event_type"]).select("event_type", "slice", "n", F.round("alpha_deg", 6).alias("alpha_deg"))
+
+
+def late_slice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of samples of each daily slice that came too late."""
+    return late_samples(*_arrived_slices(spark, sf_dir), ["event_type"], 86_400.0)
+
+
 def pendulum_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete evaluation of every trace, as JSON with selected fields read back."""
     run = evaluate_traces(_traces(spark, sf_dir, "event_type"), ["event_type"])
@@ -887,6 +921,27 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("lang", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_table(benchmark: DataFrame) -> DataFrame:
+    """A rule for each longer word of the benchmark; every second one must stand as a whole word."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("literal")
+    whole = F.concat(F.lit("(^|[^a-z])"), "literal", F.lit("([^a-z]|$)"))
+    odd = F.length("literal") % 2 == 1
+    return benchmark.select(words).distinct().select(
+        F.col("literal").alias("rule_id"),
+        "literal",
+        F.when(odd, whole).alias("pattern"),
+        F.when(odd, "error").otherwise("warning").alias("severity"),
+        F.lit("Benchmark").alias("message"),
+    )
+
+
+def table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that are a table, one for each longer word of the benchmark, on all documents."""
+    rules = rule_table(table(spark, sf_dir, "benchmark"))
+    found = rule_findings(table(spark, sf_dir, "documents"), rules, "doc_id", "text", ["lang"])
+    return found.groupBy("lang", "rule_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def citation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.citation_violations(*_protocols(spark, sf_dir)).select(
         "doc_id", "rule_id", "severity", F.col("detail").alias("key")
@@ -1214,6 +1269,8 @@ QUERIES: dict[str, Query] = {
         rotation_residuals,
         coordinate_export,
         slice_angles,
+        arriving_slices,
+        late_slice_samples,
         pendulum_results,
         catalog_search,
         search_envelope,
@@ -1232,6 +1289,7 @@ QUERIES: dict[str, Query] = {
         scope_tags,
         forbidden_terms,
         text_rules,
+        table_rules,
         citation_rules,
         uncited_entries,
         bibliography_files,

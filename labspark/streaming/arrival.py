@@ -63,13 +63,15 @@ def analyse_arrivals(
     out: str,
     checkpoint: str,
     tables: Callable[[DataFrame], Tables] = arrival_tables,
+    mode: str = "append",
 ) -> StreamingQuery:
     """Process everything that has arrived, each file once, then stop.
 
     Each attempt at a batch writes folders of its own, one per table; a commit, written last, names the attempt
     that counts.  A batch that fails in between has no commit and is tried again, so readers
     (:func:`read_arrivals`) see each batch whole or not at all, and never twice.
-    Where ``lines`` have versions, only the last version of a dataset in a batch is analysed.
+    Where ``lines`` have versions, only the last version of a dataset in a batch is analysed.  ``mode`` is the
+    output mode, for streams with state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -85,26 +87,28 @@ def analyse_arrivals(
         _commit(spark, out, batch_id, attempt, "files" in made)
 
     return (
-        lines.writeStream.foreachBatch(write)
+        lines.writeStream.outputMode(mode)
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def committed_rows(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A table of all committed batches, with ``batch`` and ``attempt``."""
+    commits = spark.read.parquet(f"{out}/commits").select("batch", "attempt")
+    return spark.read.parquet(f"{out}/{name}").join(commits, ["batch", "attempt"], "left_semi")
+
+
 def read_arrivals(spark: SparkSession, out: str, name: str, latest: bool = True) -> DataFrame:
     """A table of all committed batches; with ``latest`` only of the last version of each dataset.
 
     Without versions there is one of each dataset.
     """
-    commits = spark.read.parquet(f"{out}/commits").select("batch", "attempt", "versions")
-
-    def committed(table: str) -> DataFrame:
-        return spark.read.parquet(f"{out}/{table}").join(commits, ["batch", "attempt"], "left_semi")
-
-    rows = committed(name)
-    if latest and not commits.where("versions").isEmpty():
-        newest = latest_files(committed("files").select("dataset_id", *_VERSION, "batch"))
+    rows = committed_rows(spark, out, name)
+    if latest and not spark.read.parquet(f"{out}/commits").where("versions").isEmpty():
+        newest = latest_files(committed_rows(spark, out, "files").select("dataset_id", *_VERSION, "batch"))
         rows = rows.join(newest.select("dataset_id", "batch"), ["dataset_id", "batch"], "left_semi")
     return rows.drop("batch", "attempt")
 
