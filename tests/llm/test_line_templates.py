@@ -50,7 +50,7 @@ def test_templates_of_a_crowded_leaf(spark, docs):
     """Lines with one variable word go, however many other lines open alike; compared with plain Python."""
     letters = "abcdefghijklmnopqrstuvwxyz"
     shoes = [f"Visit our page for {letters[i]}{letters[i + 1]} shoes and more" for i in range(20)]
-    others = [f"Visit our page {' '.join(letters[(i * 7 + k * (i + 3)) % 26] * 3 + letters[i % 26] for k in range(6))}" for i in range(30)]
+    others = [f"Visit our page {' '.join(letters[(i * 7 + k * (i + 3)) % 26] * 3 + letters[i % 26] for k in range(5))}" for i in range(30)]
     other_fields = [f"Visit our page for blue {letters[i]}{letters[i]} and gone again" for i in range(4)]
     long = " ".join(f"w{letters[k % 26]}{letters[k // 26 % 26]}{letters[k // 676]}" for k in range(5000))
     lines = shoes + others + other_fields + [f"{long} end{letters[i]}" for i in range(5)]
