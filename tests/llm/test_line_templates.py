@@ -1,6 +1,6 @@
 import duckdb
 
-from labspark.llm.line_templates import ORACLE, drop_recurring_lines
+from labspark.llm.line_templates import ORACLE, _one_field, drop_recurring_lines
 
 HEADER = "Generated by tool build {} for user someone in room {}"
 
@@ -73,3 +73,13 @@ def test_templates_of_a_crowded_leaf(spark, docs):
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(lines)))
     assert {r[0]: r[2] for r in con.execute(ORACLE).fetchall()} == got
+
+
+def test_one_field_reads_a_form_once(spark):
+    """A row a form, and no join of its tokens with themselves."""
+    texts = ["one two three four five", "one two three four six", "one two three other seven", "one two three four"]
+    rows = [(1, i, 3, len(t.split()), t.split()) for i, t in enumerate(texts)]
+    found = _one_field(spark.createDataFrame(rows, "leaf long, form long, docs long, n int, tokens array<string>"))
+    groups = {r.form: r.group for r in found.collect()}
+    assert set(groups) == {0, 1} and groups[0] == groups[1]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
