@@ -238,9 +238,9 @@ def taxon_details(taxa: DataFrame, features: DataFrame) -> DataFrame:
     """Every taxon with its number of features and, flat, one row per feature.
 
     A taxon may own any share of all features, so they are rows and never one nested list.  Counts are
-    combined before their shuffle.  Features meet their taxon in an inner join, whose hot
-    partitions Spark may split on the feature side (an outer join from the taxa would forbid that);
-    taxa without features are added from the counts.
+    combined before their shuffle.  Features of taxa beyond ``SPLIT_ROWS`` features meet them by broadcast, as there
+    is less than one such taxon for each ``SPLIT_ROWS`` rows; only the others are shuffled by their taxon.  Taxa
+    without features are added from the counts.
     """
     counts = features.groupBy("taxon_id").agg(F.count(F.lit(1)).alias("features_count"))
     counted = taxa.join(counts, "taxon_id", "left").withColumn(
@@ -248,9 +248,11 @@ def taxon_details(taxa: DataFrame, features: DataFrame) -> DataFrame:
     )
     shared = [c for c in features.columns if c in taxa.columns and c != "taxon_id"]
     own = features.withColumnsRenamed({c: f"feature_{c}" for c in shared})
-    owned = own.join(counted.filter("features_count > 0"), "taxon_id")
+    large = F.broadcast(counts.filter(F.col("features_count") > SPLIT_ROWS).select("taxon_id"))
+    few = own.join(large, "taxon_id", "left_anti").join(counted.filter(F.col("features_count").between(1, SPLIT_ROWS)), "taxon_id")
+    many = own.join(F.broadcast(counted.filter(F.col("features_count") > SPLIT_ROWS)), "taxon_id")
     bare = counted.filter("features_count = 0")
-    return owned.unionByName(bare, allowMissingColumns=True).select(
+    return few.unionByName(many).unionByName(bare, allowMissingColumns=True).select(
         *counted.columns, *[c for c in own.columns if c != "taxon_id"]
     )
 
@@ -262,19 +264,20 @@ def ranked_details(details: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFram
     """``details`` with ``position``: the place of a feature in its taxon, by organ, group, character and id.
 
     Taxa of up to ``split_rows`` features are numbered by a window.  The features of larger ones, and only they,
-    are dealt out by ranges of their order; a piece numbers its rows and adds the rows of the pieces before it.
-    So no taxon is in one task, and the rest is never sorted as a whole.  A taxon without features has no
+    are dealt out by ranges of their order, so many that a piece has about ``SPLIT_ROWS`` rows at most; a piece
+    numbers its rows and adds the rows of the pieces before it.  So no taxon is in one task, and the rest is never sorted as a whole.  A taxon without features has no
     position; features that agree in all of the order are numbered in any order.
     """
     small = Window.partitionBy("taxon_id").orderBy(*_FEATURE_ORDER)
     bare = details.filter("features_count = 0").withColumn("position", F.lit(None).cast("long"))
     cold = details.filter(F.col("features_count").between(1, split_rows)).withColumn("position", F.row_number().over(small).cast("long"))
     large = details.filter(F.col("features_count") > split_rows)
+    ranges = max(int(details.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-large.count() // SPLIT_ROWS))
     # Ranges come from a sample, so the rows are written with their piece before pieces are counted.  Equal
     # features are told apart by a number, as equal keys would all go to one range.
     pieces = cut_lineage(
         large.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange("taxon_id", *_FEATURE_ORDER, "_tie")
+        .repartitionByRange(ranges, "taxon_id", *_FEATURE_ORDER, "_tie")
         .withColumn("_piece", F.spark_partition_id())
     )
     before = Window.partitionBy("taxon_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

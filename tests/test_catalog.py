@@ -144,3 +144,17 @@ def test_catalog_folder(spark, taxa, features, tmp_path):
     photo = catalog.photo_features(tables["features"], tables["taxa"])
     plan = photo._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(visibility_in_photo,high)" in plan and "source_pdf" not in plan
+
+
+def test_large_taxa_meet_their_features_by_broadcast(spark, monkeypatch, taxa, features):
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    want = rows(catalog.taxon_details(taxa, features))
+    monkeypatch.setattr(catalog, "SPLIT_ROWS", 100)
+    details = catalog.taxon_details(taxa, features)
+    plan = details._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "strategy=broadcast" in plan
+    assert rows(details) == want
+    ranked = catalog.ranked_details(details, 50).where("taxon_id = 'rosa_00'")
+    assert sorted(r.position for r in ranked.collect()) == list(range(1, 501))
