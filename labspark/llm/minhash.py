@@ -55,16 +55,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         "classes",
     )
     lists = written(_inverted_lists(classes, percent), "lists")
+    # All later steps look at documents of the lists only, so the texts of the rest are moved at most once.
+    texts = written(docs.join(lists.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     heads = lists.groupBy("value").agg(F.max_by("rep", F.struct("shared", -F.col("rep"))).alias("head"))
-    near = _links(_pairs(lists.join(heads, "value").select(F.col("rep").alias("a"), F.col("head").alias("b"))), classes, docs, shingle, percent)
+    near = _links(_pairs(lists.join(heads, "value").select(F.col("rep").alias("a"), F.col("head").alias("b"))), classes, texts, shingle, percent)
 
     named = _with_component(lists, components(near))
     open_lists = named.groupBy("value").agg(F.max("component").alias("top"), F.min("component").alias("low")).where("top != low")
     core = named.join(open_lists, "value", "left_semi").select("rep").distinct()
-    exact = written(_rarest_shingles(docs.join(core.toDF("doc_id"), "doc_id", "left_semi"), shingle, percent), "exact")
+    exact = written(_rarest_shingles(texts.join(core.toDF("doc_id"), "doc_id", "left_semi"), shingle, percent), "exact")
     heads = exact.groupBy("value").agg(F.min(F.struct("alone", "rep", "n")).alias("h"))
     members = exact.join(heads, "value").select("rep", "n", "alone", F.col("h.rep").alias("b"), F.col("h.n").alias("m"), F.col("h.alone").alias("free"))
-    near = near.union(_links(_pairs(members.where(_reachable(percent)).select(F.col("rep").alias("a"), "b")), classes, docs, shingle, percent))
+    near = near.union(_links(_pairs(members.where(_reachable(percent)).select(F.col("rep").alias("a"), "b")), classes, texts, shingle, percent))
 
     named = _with_component(exact, components(near))
     mixed = (
@@ -78,7 +80,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     across = named.where("component != main").join(other, "value").where("component != with").where(_reachable(percent))
     # The first shingle that both lists hold bounds what can follow.
     across = across.where(f"100 * least(n - at, m - place) >= {percent} * (n + m - least(n - at, m - place))")
-    near = near.union(_links(_pairs(across.select(F.col("rep").alias("a"), "b")), classes, docs, shingle, percent))
+    near = near.union(_links(_pairs(across.select(F.col("rep").alias("a"), "b")), classes, texts, shingle, percent))
     found = components(near)
 
     reps = sketches.select("doc_id", "n_shingles", "signature").join(classes.select("signature", "rep"), "signature", "left")

@@ -1,7 +1,9 @@
 import random
 
+from labspark.llm import minhash
 from labspark.llm.graph import components
 from labspark.llm.minhash import near_duplicates
+from labspark.llm.storage import written
 from labspark.llm.words import words_of
 
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lmnrst"]
@@ -78,3 +80,16 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 99), (None, 3), (7, 6)], "a long, b long")
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {i: 0 for i in range(61)} | {99: 99, 100: 99}
+
+
+def test_only_texts_of_the_lists_are_read_again(docs, monkeypatch):
+    tables = {}
+
+    def kept(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(minhash, "written", kept)
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "k l m n o p q r"), (4, None), (2, "another text of the same id")]
+    near_duplicates(docs(rows), shingle=3, percent=85).collect()
+    assert sorted(r.doc_id for r in tables["texts"].collect()) == [1, 2, 2]
