@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labspark.functions.numeric import WHITESPACE, as_number, missing_to_null, strip
 from labspark.operators.ordered import BLOCK_ROWS
 from labspark.session import cut_lineage
-from labspark.sources.records import NO_DELIMITER, ends_open, ends_open_by, joined_records, marked_cells, unquoted
+from labspark.sources.records import LINE_BLOCK, NO_DELIMITER, block_of, ends_open, ends_open_by, into_line_blocks, joined_records, marked_cells, unquoted
 
 # Separators considered, in order of preference at equal score.
 DELIMITERS = [",", ";", "\t"]
@@ -27,11 +27,6 @@ ERROR_STRUCTURE = (
     "CSV/TXT konnte nicht vollständig gelesen werden: Keine plausible Spaltenstruktur gefunden."
 )
 
-_BLOCK = "_file_block"
-
-
-def _block(row: Column | str, block_rows: int) -> Column:
-    return F.expr(f"`{row}` div {int(block_rows)}L")
 
 
 def _is_blank(line: Column) -> Column:
@@ -117,15 +112,12 @@ def candidates(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return found.withColumn("names", _names(F.col("header"), F.col("delimiter")))
 
 
-def _records(lines: DataFrame, layouts: DataFrame, block_rows: int) -> DataFrame:
-    """The records of those layouts' files."""
-    files = layouts.select("dataset_id", "delimiter", "header_idx")
-    blocks = lines.select("dataset_id", _block("row_idx", block_rows).alias(_BLOCK)).distinct()
-    chosen = lines.withColumn(_BLOCK, _block("row_idx", block_rows)).join(
-        blocks.join(files, "dataset_id"), ["dataset_id", _BLOCK]
-    )
-    chosen = chosen.filter("row_idx >= header_idx").select("dataset_id", "delimiter", "row_idx", "line")
-    return joined_records(chosen, DELIMITERS, block_rows)
+def _records(lines: DataFrame, layouts: DataFrame, block_rows: int, *carry: str) -> DataFrame:
+    """The records of those layouts' files, with their ``carry`` columns."""
+    files = layouts.select("dataset_id", "delimiter", "header_idx", *carry)
+    blocks = lines.select("dataset_id", block_of("row_idx", block_rows).alias(LINE_BLOCK)).distinct()
+    chosen = into_line_blocks(lines, block_rows).join(blocks.join(files, "dataset_id"), ["dataset_id", LINE_BLOCK])
+    return joined_records(chosen.filter("row_idx >= header_idx"), DELIMITERS, block_rows, ["header_idx", *carry])
 
 
 def parse_rows(
@@ -141,26 +133,23 @@ def parse_rows(
     layouts = layouts.filter("header is not null")
     line, delimiter = F.col("line"), F.col("delimiter")
 
-    def known(rows: DataFrame, chosen: DataFrame, *keys: str) -> DataFrame:
+    facts = layouts.withColumn("_width", F.size("names"))
+
+    def known(chosen: DataFrame) -> DataFrame:
         # Row numbers may have wide gaps, so only blocks that hold lines take part.
-        blocks = lines.select("dataset_id", _block("row_idx", block_rows).alias(_BLOCK)).distinct()
-        facts = chosen.select("dataset_id", delimiter, "header_idx", F.size("names").alias("_width"), *carry)
-        spread = blocks.join(facts, "dataset_id")
-        numbered = rows.withColumn(_BLOCK, _block("row_idx", block_rows))
-        if not keys:
-            return numbered.join(spread, ["dataset_id", _BLOCK])
-        same = (F.col("r.dataset_id") == F.col("k.dataset_id")) & (F.col(f"r.{_BLOCK}") == F.col(f"k.{_BLOCK}"))
-        joined = numbered.alias("r").join(spread.alias("k"), same & F.col("r.delimiter").eqNullSafe(F.col("k.delimiter")))
-        return joined.select("r.*", "k.header_idx", "k._width", *(f"k.{c}" for c in carry))
+        blocks = lines.select("dataset_id", block_of("row_idx", block_rows).alias(LINE_BLOCK)).distinct()
+        spread = blocks.join(chosen.select("dataset_id", delimiter, "header_idx", "_width", *carry), "dataset_id")
+        return lines.withColumn(LINE_BLOCK, block_of("row_idx", block_rows)).join(spread, ["dataset_id", LINE_BLOCK])
 
     if "multiline" in layouts.columns:
-        single, several = layouts.filter("not multiline"), layouts.filter("multiline")
-        data = known(lines, single).withColumn("malformed", F.lit(False))
-        if not several.isEmpty():
-            whole = known(_records(lines, several, block_rows), several, "delimiter")
-            data = data.unionByName(whole.withColumnRenamed("unclosed", "malformed"))
+        single, several = facts.filter("not multiline"), facts.filter("multiline")
+        kinds = {r.multiline for r in facts.select("multiline").distinct().collect()}
+        data = known(single).withColumn("malformed", F.lit(False))
+        if True in kinds:
+            whole = _records(lines, several, block_rows, "_width", *carry).withColumnRenamed("unclosed", "malformed")
+            data = data.unionByName(whole, allowMissingColumns=True) if False in kinds else whole
     else:
-        data = known(lines, layouts).withColumn("malformed", ends_open_by(line, delimiter, DELIMITERS))
+        data = known(facts).withColumn("malformed", ends_open_by(line, delimiter, DELIMITERS))
     data = (
         data.filter(F.col("row_idx") > F.col("header_idx"))
         .filter(~_is_blank(line) | F.coalesce(line.contains(delimiter), F.lit(False)))

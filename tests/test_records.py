@@ -103,3 +103,24 @@ def test_plain_files_need_no_assembly(spark):
     layouts = delimited.detect(lines)
     plan = delimited.parse_rows(lines, delimited.accepted(layouts))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "collect_list" not in plan
+
+
+def exchanges_of(plan, column):
+    """Exchanges that move the column, each counted once."""
+    own = plan.nodeName() == "Exchange" and f"{column}#" in plan.output().mkString(",")
+    children = plan.children()
+    return own + sum(exchanges_of(children.apply(i), column) for i in range(children.size()))
+
+
+def test_lines_are_moved_once(spark):
+    lines = split_lines(spark.createDataFrame(list(FILES.items()), "dataset_id string, content string")).withColumn("delimiter", F.lit(","))
+    confs = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in confs}
+    for c, v in confs.items():
+        spark.conf.set(c, v)
+    try:
+        plan = joined_records(lines, delimited.DELIMITERS, 100)._jdf.queryExecution().executedPlan()
+        assert exchanges_of(plan, "line") == 1
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
