@@ -33,6 +33,10 @@ FEATURE_TEXT_COLUMNS = [
 _SALTS = 64
 #: Grams held by more than one in so many of all postings are spread over salts; there are fewer than that.
 _HOT_GRAMS = 4096
+#: Lengths of the character runs that names are indexed by; a text takes the longest that it has.
+_GRAM_SIZES = (1, 2, 3, 4, 6)
+#: A task tests about so many pairs of a text and a taxon at once, and takes so many postings.
+_PIECE = 1 << 18
 #: A taxon with more features is ranked in several pieces.
 SPLIT_ROWS = 1 << 20
 
@@ -123,10 +127,10 @@ def search_table(
 ) -> DataFrame:
     """As :func:`batch_search` for a table ``queries(query)`` of any size; null texts search for nothing.
 
-    The names of visible taxa are indexed by their runs of three characters, and of two and one for shorter
-    texts.  A text is looked up by its rarest run between wildcards, and the pattern is tested on the taxa found,
-    so no pattern meets the whole catalog.  Runs that many taxa hold are spread over salts.  A text of wildcards
-    alone asks for names of some length only; such texts share one scan.  Rows that repeat are one hit each.
+    The names of visible taxa are indexed by their runs of up to six characters (``_GRAM_SIZES``).  A text is looked up by
+    its rarest run between wildcards, and the pattern is tested on the taxa found, so no pattern meets the whole
+    catalog.  The pairs of texts and taxa of a run are counted before they are made: runs of many are cut into
+    pieces by taxon, so that a task has about as many in a catalog of any size.  A text of wildcards alone asks for names of some length only; such texts share one scan.  Rows that repeat are one hit each.
     """
     base = taxa.filter(visible(include_stubs))
     row = F.struct(*base.columns)
@@ -134,35 +138,41 @@ def search_table(
     folded = ascii_lower(F.col("query"))
     runs = F.split(folded, "[%_]+")
     longest = F.array_max(F.transform(runs, F.length))
-    texts = cut_lineage(
-        texts.select(
-            "query",
-            folded.alias("folded"),
-            F.when(longest > 0, F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, F.least(longest, F.lit(3)))))))
-            .alias("grams"),
-        )
-    )
+    size = F.array_max(F.filter(F.array(*map(F.lit, _GRAM_SIZES)), lambda n: n <= longest))
+    grams = F.when(longest > 0, F.array_distinct(F.flatten(F.transform(runs, lambda r: _grams(r, size)))))
+    texts = cut_lineage(texts.select("query", grams.alias("grams")))
 
     lowered = [ascii_lower(F.col(c)) for c in SEARCH_COLUMNS]
-    held = [F.coalesce(_grams(name, n), F.expr("cast(array() as array<string>)")) for name in lowered for n in (1, 2, 3)]
+    held = [F.coalesce(_grams(name, n), F.expr("cast(array() as array<string>)")) for name in lowered for n in _GRAM_SIZES]
     postings = base.select(row.alias("taxon"), F.explode(F.array_distinct(F.concat(*held))).alias("gram"))
-    # Texts that share a gram are spread when they meet its count.
-    salt = F.pmod(F.xxhash64("query"), F.lit(_SALTS)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    asked = texts.select("query", "folded", F.explode("grams").alias("gram"))
-    sizes = cut_lineage(
-        postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    )
-    counted = asked.withColumn("salt", salt).join(sizes.select("gram", "n", spread), ["gram", "salt"], "left")
+    least_parts = int(taxa.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_texts = max(least_parts, -(-texts.count() // _PIECE))
+    asked = texts.repartition(n_texts, "query").select("query", F.posexplode("grams").alias("at", "gram"))
+    asking = asked.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    sizes = cut_lineage(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(asking, "gram"))
+    held_by_all, asked_by_all = sizes.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "texts"))).first()
+    # Grams that many texts share, fewer than _HOT_GRAMS, meet the texts by broadcast.
+    shared = F.broadcast(sizes.filter(F.col("texts") * _HOT_GRAMS > asked_by_all).select("gram", "n"))
+    counted = asked.join(shared, "gram").unionByName(asked.join(shared, "gram", "left_anti").join(sizes.select("gram", "n"), "gram", "left"))
     # A gram that no taxon holds leaves no hit, so it is the rarest.
-    rarest = counted.groupBy("query", "folded").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("key"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = F.col("n") * _HOT_GRAMS > total
-    common = F.broadcast(sizes.filter(hot).select("gram", F.lit(True).alias("hot")))  # fewer than _HOT_GRAMS rows
-    by_taxon = F.pmod(F.xxhash64("taxon.taxon_id"), F.lit(_SALTS)).cast("int")
-    placed = postings.join(common, "gram", "left").select("gram", "taxon", F.when(F.col("hot"), by_taxon).otherwise(0).alias("salt"))
-    copies = F.when(hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    wanted = rarest.filter("key.n > 0").select("query", "folded", "key.*").select("query", "folded", "gram", F.explode(copies).alias("salt"))
+    rarest = counted.groupBy("query").agg(F.min(F.shiftleft(F.coalesce("n", F.lit(0)).cast("long"), 24) + F.col("at")).alias("key"))
+    n, at = F.shiftright("key", 24), F.col("key").bitwiseAND((1 << 24) - 1).cast("int")
+    wanted = cut_lineage(rarest.select("query", folded.alias("folded"), F.get(grams, at).alias("gram"), n.alias("n")).filter("n > 0"))
+    pairs = F.col("n") * F.count(F.lit(1))
+    load = cut_lineage(wanted.groupBy("gram", "n").agg(pairs.alias("pairs")))
+    # Fewer than _HOT_GRAMS rows, and one more for each _PIECE pairs at most.
+    hot = (F.col("n") * _HOT_GRAMS > held_by_all) | (F.col("pairs") > _PIECE)
+    cut = F.broadcast(load.filter(hot).select("gram", F.ceil(F.col("pairs") / _PIECE).cast("int").alias("pieces")))
+    n_cold = max(least_parts, -(-held_by_all // _PIECE))
+    n_hot = max(least_parts, -(-load.filter(hot).agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0] // _PIECE))
+    alone = F.lit(0).alias("salt")
+    cold = postings.join(cut, "gram", "left_anti").select("gram", alone, "taxon").repartition(n_cold, "gram")
+    cold = cold.join(wanted.join(cut, "gram", "left_anti").select("gram", "query", "folded").repartition(n_cold, "gram"), "gram")
+    by_taxon = F.pmod(F.xxhash64("taxon.taxon_id"), F.col("pieces")).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt")
+    spread = postings.join(cut, "gram").select("gram", by_taxon, "taxon").repartition(n_hot, "gram", "salt")
+    spread = spread.join(wanted.join(cut, "gram").select("gram", every, "query", "folded").repartition(n_hot, "gram", "salt"), ["gram", "salt"])
+    met = cold.unionByName(spread)
     pattern = F.concat(F.lit("%"), F.col("folded"), F.lit("%"))
 
     def matches(column: str) -> Column:
@@ -171,8 +181,8 @@ def search_table(
         return F.coalesce(like, F.lit(False))
 
     found = [matches(c) for c in SEARCH_COLUMNS]
-    hits = placed.join(wanted, ["gram", "salt"]).filter(found[0] | found[1] | found[2]).select("query", "taxon")
-    first = _first(hits, ["query"], limit)
+    hits = met.filter(found[0] | found[1] | found[2]).select("query", "taxon", "salt")
+    first = _first(hits, ["query"], limit, F.col("salt"))
 
     # Without a fixed character only the least length counts; an empty text has no condition at all.
     least = F.when(F.col("query") == "", -1).otherwise(F.length(F.regexp_replace("query", "[^_]", "")))
@@ -182,18 +192,24 @@ def search_table(
     # At most one number for each length that a name has.
     steps = sorted(r.least for r in open_texts.filter(F.col("least") <= widest).select("least").distinct().collect())
     if steps:
-        reached = F.filter(F.array(*map(F.lit, steps)), lambda n: n <= reach)
-        shared = _first(base.select(F.explode(reached).alias("least"), row.alias("taxon")), ["least"], limit)
+        # A taxon counts for the greatest of the numbers that it reaches; only the first of each go on to the smaller ones.
+        numbers = F.array(*map(F.lit, steps))
+        most = F.array_max(F.filter(numbers, lambda n: n <= reach))
+        parts = max(least_parts, -(-base.count() // _PIECE))
+        dealt = base.select(most.alias("most"), row.alias("taxon")).filter("most is not null")
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("taxon"), F.lit(parts))).repartition(parts, "part")
+        few = _first(dealt, ["most"], limit, F.col("part")).select(F.explode(F.filter(numbers, lambda n: n <= F.col("most"))).alias("least"), "taxon")
+        shared = _first(few, ["least"], limit, F.lit(0))
         first = first.unionByName(open_texts.join(F.broadcast(shared), "least").select("query", "position", "taxon"))
     return first.select("query", "position", "taxon.*")
 
 
-def _first(hits: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """The first ``limit`` taxa of each key by ``taxon_id``, cut in parts before they meet."""
+def _first(hits: DataFrame, keys: list[str], limit: int, part: Column) -> DataFrame:
+    """The first ``limit`` taxa of each key by ``taxon_id``, cut in the parts that ``part`` tells before they meet."""
     order = [F.col("taxon.taxon_id"), F.col("taxon")]
-    part = Window.partitionBy(*keys, F.pmod(F.xxhash64("taxon"), F.lit(_SALTS))).orderBy(*order)
+    inside = Window.partitionBy(*keys, part).orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
-    few = hits.withColumn("position", F.row_number().over(part)).filter(F.col("position") <= limit)
+    few = hits.withColumn("position", F.row_number().over(inside)).filter(F.col("position") <= limit).select(*keys, "taxon")
     return few.withColumn("position", F.row_number().over(whole)).filter(F.col("position") <= limit)
 
 

@@ -116,3 +116,13 @@ def test_hot_taxon_is_spread(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("piece", [3, 50])
+def test_runs_of_many_pairs_are_cut_into_pieces(spark, taxa, monkeypatch, piece):
+    monkeypatch.setattr(catalog, "_PIECE", piece)
+    texts = ["acer", "rosa 1", "ac_r", "a%r", "ro", "r", "rubra", "Acer Rosa", "_", "__________", ""]
+    known = taxa.filter("taxon_id is not null")
+    table = catalog.search_table(known, spark.createDataFrame([(t,) for t in texts], "query string"))
+    batch = catalog.batch_search(known, texts)
+    assert sorted(map(tuple, table.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
