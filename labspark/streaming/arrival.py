@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from labspark.operators.ordered import BLOCK_ROWS
 from labspark.plans.analysis import analyse
+from labspark.session import cut_lineage
 from labspark.sources.lines import split_lines
 
 Tables = Mapping[str, DataFrame]
 #: What a micro-batch leaves behind; ``files`` is added to them.
 TABLES = "errors statistics profile resonance_points resonance regression latitude items preview_blocks reports".split()
 _VERSION = ["version", "path"]
+#: So many tables of a batch are computed at the same time; the jobs of a batch are short, and most of them wait.
+TABLES_AT_ONCE = 6
 
 
 def stream_files(
@@ -48,11 +53,23 @@ def latest_files(files: DataFrame) -> DataFrame:
 
 
 def arrival_tables(lines: DataFrame, metadata: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> Tables:
-    """The whole analysis of the files of one micro-batch: the batch transformations."""
-    result = analyse(lines, metadata, block_rows)
+    """The whole analysis of the files of one micro-batch: the batch transformations.
+
+    The files are read once, into the checkpoint folder.  What the other tables are made of comes first.
+    """
+    result = analyse(cut_lineage(lines), metadata, block_rows)
+    _ = result.layouts
+    at_once(lines.sparkSession, lambda name: getattr(result, name), ["statistics", "profile", "regression"])
     return {name: getattr(result, name) for name in TABLES}
 
 
+def at_once(spark: SparkSession, work: Callable[[str], object], names: Iterable[str]) -> None:
+    """``work`` for each name, by threads that share the properties of this one; the first error is raised at the end."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(work), name) for name in names]:
+            done.result()
+
+
 def _commit(spark: SparkSession, out: str, batch_id: int, attempt: str, versions: bool) -> None:
     row = spark.createDataFrame([(batch_id, attempt, versions)], "batch long, attempt string, versions boolean")
     row.coalesce(1).write.mode("overwrite").parquet(f"{out}/commits/of={batch_id}")
@@ -82,8 +99,7 @@ def analyse_arrivals(
             batch = batch.join(files, ["dataset_id", *_VERSION], "left_semi").select("dataset_id", "row_idx", "line")
             made["files"] = files
         made.update(tables(batch))
-        for name, table in made.items():
-            table.write.parquet(f"{out}/{name}/batch={batch_id}/attempt={attempt}")
+        at_once(spark, lambda name: made[name].write.parquet(f"{out}/{name}/batch={batch_id}/attempt={attempt}"), made)
         _commit(spark, out, batch_id, attempt, "files" in made)
 
     return (

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labspark.operators import pendulum
+from labspark.streaming.arrival import arrival_tables, at_once
 from labspark.streaming.slices import late_samples, read_slices, slice_arrivals
 
 SCHEMA = "dataset_id string, row_idx long, t double, x double, y double"
@@ -68,3 +69,30 @@ def test_samples_without_values_and_an_empty_part(spark, landing):
     assert [(r.slice, r.n) for r in got] == [(0, 2)] and got[0].alpha_deg == pytest.approx(math.degrees(math.atan(2)))
     samples = spark.read.schema(SCHEMA).parquet(folder).filter(F.col("t").isNotNull())
     assert late_samples(samples, out).count() == 0
+
+
+def test_lines_of_a_batch_are_read_once_for_all_tables(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [("f", 0, "time,angle"), ("f", 1, "0,1"), ("f", 2, "1,3"), ("f", 3, "2,5.5")]
+    lines = spark.createDataFrame(rows, "dataset_id string, row_idx long, line string").mapInArrow(counted, "dataset_id string, row_idx long, line string")
+    made = arrival_tables(lines)
+    assert made["regression"].count() == 1 and made["statistics"].count() == 2 and read.value == len(rows)
+
+
+def test_work_at_once_raises_what_failed(spark):
+    done = []
+
+    def work(name):
+        if name == "b":
+            raise ValueError(name)
+        done.append(name)
+
+    with pytest.raises(ValueError):
+        at_once(spark, work, ["a", "b", "c"])
+    assert sorted(done) == ["a", "c"]
