@@ -13,8 +13,10 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from labspark.llm.storage import new_folder, written
-from labspark.llm.words import joined_codes, portions
+from labspark.llm.words import portions
 
 MAGIC = b"EFIDS1\0\0"
 #: Byte places of both sequences, number of documents, of them without doc_id, least doc_id, ids, bytes of an id, magic.
@@ -41,6 +43,12 @@ _SIGNS = ",.;:!?"
 
 _ASCII_SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Letters beyond those whose lower case is the same in Python and in the model, which composition leaves as they are.
+_FAR = re.compile("[^\x00-\u012f\u0131-\u017f]")
+#: Signs side by side are one piece of the model, by what it counts as letters, digits and white space below U+0180.
+_SIGN_RUN = re.compile("[^\t-\r \x85\xa0a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u017f]{2}")
+#: How the names of the model's added pieces begin, which it looks for before the text is put in lower case.
+_ADDED = "<|"
 
 
 class EliasFano:
@@ -157,6 +165,22 @@ class TokenFileWriter:
         return count, size
 
 
+def split_words(text: str) -> list[str]:
+    """Words of a text that encode to what the text does, one after the other.
+
+    Where that is sure to change nothing, they are in lower case and without the sign at their end, which is a word of
+    its own, so fewer different ones occur.
+    """
+    if _ASCII_SEPARATORS.search(text):
+        return [w for w in _WHITE_SPACE.split(text) if w]
+    if _ADDED not in text and (text.isascii() or not _FAR.search(text)):
+        text = text.lower()
+        if not _SIGN_RUN.search(text):
+            for sign in _SIGNS:
+                text = text.replace(sign, f" {sign}")
+    return text.split()
+
+
 class WordEncoder:
     """Encodes texts word by word; the model's pieces never span white space, which it drops."""
 
@@ -164,11 +188,39 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; idle threads would spin
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.held: dict[str, bytes] = {}
+        self._keep(np.empty(0, np.int64))
         #: Whether a piece ends a part of a word.
         self.last = np.zeros(self.model.get_vocab_size(), bool)
         self.last[[i for piece, i in self.model.get_vocab().items() if piece.endswith(_END)]] = True
 
+    def _keep(self, at: np.ndarray) -> None:
+        """Hold the words numbered ``at`` only, with new numbers, their ids one after the other and their uses."""
+        if not len(at):
+            self.numbers: dict[str, int] = defaultdict()
+            self.ids, self.sizes, self.uses = np.empty(0, f"<u{self.width}"), np.empty(0, np.int64), np.empty(0, np.int64)
+        else:
+            words = list(self.numbers)
+            self.ids, self.sizes, self.uses = self._ids(at), self.sizes[at], self.uses[at] // 2
+            self.numbers = defaultdict(None, zip([words[i] for i in at.tolist()], range(len(at)), strict=True))
+        self.numbers.default_factory = self.numbers.__len__  # a new word gets the next number
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the words numbered ``at``, one after the other."""
+        sizes = self.sizes[at]
+        starts = (np.cumsum(self.sizes) - self.sizes)[at] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(starts, sizes) + np.arange(sizes.sum())]
+
+    def _numbered(self, words: list[list[str]]) -> np.ndarray:
+        """Numbers of the words of all texts; the ids of new words are held from now on."""
+        before = len(self.numbers)
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        new = list(islice(reversed(self.numbers), len(self.numbers) - before))[::-1]
+        codes = self._codes(new)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(codes), f"<u{self.width}")])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, codes), np.int64, len(codes)) // self.width])
+        self.uses = np.append(self.uses, np.zeros(len(codes), np.int64)) + np.bincount(at, minlength=len(self.numbers))
+        return at
+
     def _codes(self, words: list[str]) -> list[bytes]:
         """Ids of each word.  Words of a known number of parts share a call, where each part's last piece tells its end."""
         parts = [1 if w.isalpha() else 2 if w[:-1].isalpha() and w[-1] in _SIGNS else 0 for w in words]
@@ -196,10 +248,21 @@ class WordEncoder:
         return codes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as bytes.  Beyond ``WORDS_HELD`` the words of most uses stay, half as many at most."""
         out: list[bytes] = []
         for part in portions(texts):
-            cut = [t.split() if not _ASCII_SEPARATORS.search(t) else [w for w in _WHITE_SPACE.split(t) if w] for t in part]
-            out += joined_codes(cut, self.held, WORDS_HELD, self._codes)
+            words = list(map(split_words, part))
+            at = self._numbered(words)
+            counts = np.fromiter(map(len, words), np.int64, len(words))
+            # Places of the texts' ends among the ids, which begin and end with words.
+            ends = np.concatenate([[0], np.cumsum(self.sizes[at])])[np.cumsum(counts)] * self.width
+            data, low = self._ids(at).tobytes(), 0
+            for high in ends.tolist():
+                out.append(data[low:high])
+                low = high
+            if len(self.numbers) > WORDS_HELD:
+                often = np.argsort(-self.uses, kind="stable")[: WORDS_HELD // 2]
+                self._keep(np.sort(often[self.uses[often] > 1]))
         return out
 
 

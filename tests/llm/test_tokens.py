@@ -79,6 +79,30 @@ def test_words_encode_like_whole_texts(texts):
     assert got == [e.ids for e in model.encode_batch([*texts, ""], add_special_tokens=False)]
 
 
+def test_case_and_signs_make_no_new_words():
+    model = Tokenizer.from_file(WORDS)
+    encoder = WordEncoder(WORDS)
+    text = "Stone stone, STONE. (stone stone! stone"
+    assert np.frombuffer(encoder.encode([text])[0], f"<u{encoder.width}").tolist() == model.encode(text).ids
+    encoder.encode(["Stone stone, STONE. stone! stone"])
+    assert set(encoder.numbers) == {"stone", "(stone", ",", ".", "!"}
+
+
+def test_words_near_signs_encode_like_whole_texts(monkeypatch):
+    model = Tokenizer.from_file(WORDS)
+    encoder = WordEncoder(WORDS)
+    r = random.Random(10)
+    bits = [*"aZ9,.;:!?'-_ \n\t\x1e\x85\xa0ªµ²¼ß×÷ÅıſŸ", "'s", "'LL", "é", "e\u0301", "İ", "Σ", "…", "<|endoftext|>", "<|ENDOFTEXT|>", "H\u0331"]
+    texts = ["".join(r.choices(bits[: r.choice([14, 30, len(bits)])], k=r.randint(0, 12))) for _ in range(4000)]
+    monkeypatch.setattr("labspark.llm.token_files.WORDS_HELD", 500)
+    wanted = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    for low in range(0, 4000, 400):
+        got = encoder.encode(texts[low : low + 400])
+        assert [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in got] == wanted[low : low + 400]
+        assert len(encoder.numbers) <= 500
+    assert encoder.encode([]) == []
+
+
 def test_files_hold_every_document_in_order(spark, docs, texts):
     rows = [(3 * i - 20, t) for i, t in enumerate(texts)] + [(2**61, None), (2**61, "again"), (None, "nameless")]
     table = docs(rows, 5)
