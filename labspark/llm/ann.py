@@ -1,16 +1,15 @@
 """Nearest neighbours by inner product: a hierarchical navigable small-world graph for each shard.
 
 Equal vectors are one class, which is indexed once and keeps its smallest ids.  Classes are dealt over shards
-of bounded size; each shard's graph is stored as flat neighbour arrays.  Queries go in blocks to every shard,
-and the shards' results are merged.  Inner products become nearness in a graph as if one more component gave all
+of bounded size; each shard's graph is stored as flat neighbour arrays.  Queries go in blocks to every group of shards,
+through the shards of a group one after the other, and the groups' results are merged.  Inner products become nearness in a graph as if one more component gave all
 indexed vectors the length of the longest; only its differences are computed, in double precision, so that one
 very long vector takes no digits from the others.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,9 +21,15 @@ from labspark.llm.storage import written
 
 SHARD = 4096
 QUERY_BLOCK = 512
+#: Shards whose graphs a task holds at once.
+GROUP = 64
+#: Rows with a graph or a block of queries that a Python task takes at once.
+BATCH_ROWS = 8
 LINKS = 16
 BUILD_WIDTH = 64
 SEARCH_WIDTH = 96
+#: Rows whose links are followed at once for each query.
+FOLLOWED = 8
 SALTS = 64
 SEED = 5
 
@@ -46,101 +51,110 @@ class Graph:
         below = np.sqrt((whole - a) * (whole - b)) + whole
         return (a * b - whole * (a + b)) / np.where(below > 0, below, 1.0)
 
-    def _nearness(self, rows: np.ndarray, row: int) -> np.ndarray:
-        return self.points[rows] @ self.points[row] + self._lift(rows, row)
+    def _nearness(self) -> np.ndarray:
+        """The nearness of all rows to each other, ``8 * rows ** 2`` bytes."""
+        out, every = np.empty((len(self.points),) * 2), np.arange(len(self.points))
+        for k in range(0, len(every), 256):
+            rows = every[k : k + 256]
+            out[rows] = self.points[rows] @ self.points.T + self._lift(rows[:, None], every[None, :])
+        return out
 
     @classmethod
     def build(cls, points: np.ndarray, length2: float = 0.0) -> Graph:
+        """Rows come one after the other, each level for itself, and are linked to spread-out ones of the nearest before them."""
         random = np.random.default_rng(SEED)
         levels = np.minimum(np.floor(-np.log(1 - random.random(len(points))) / np.log(LINKS)), 12).astype(np.int32)
         links = [np.full((len(points), 2 * LINKS if level == 0 else LINKS), -1, np.int32) for level in range(int(levels.max(initial=0)) + 1)]
-        graph = cls(points, levels, links, 0, length2)
-        for row in range(1, len(points)):
-            graph._insert(row)
+        graph = cls(points, levels, links, int(levels.argmax()) if len(points) else 0, length2)
+        near = graph._nearness()
+        for level, mine in enumerate(links):
+            most, rows = mine.shape[1], np.nonzero(levels >= level)[0]
+            held: dict[int, list[int]] = {}
+            for k, row in enumerate(rows.tolist()):
+                nearness = near[row, rows[:k]]
+                best = np.argpartition(nearness, -BUILD_WIDTH)[-BUILD_WIDTH:] if k > BUILD_WIDTH else np.arange(k)
+                held[row] = spread_out(near, row, rows[best], LINKS)
+                for other in held[row]:
+                    held[other].append(row)
+                    if len(held[other]) > 2 * most:  # cut now and then, not with each new link
+                        held[other] = spread_out(near, other, np.array(held[other]), most)
+            for row, others in held.items():
+                others = others if len(others) <= most else spread_out(near, row, np.array(others), most)
+                mine[row, : len(others)] = others
         return graph
 
-    def _insert(self, row: int) -> None:
-        level, top = int(self.levels[row]), int(self.levels[self.entry])
-
-        def nearness(rows: np.ndarray) -> np.ndarray:
-            return self._nearness(rows, row)
-
-        near = [(float(nearness(np.array([self.entry]))[0]), self.entry)]
-        for at in range(top, level, -1):
-            near = self._search(nearness, near, 1, at)
-        for at in range(min(level, top), -1, -1):
-            near = self._search(nearness, near, BUILD_WIDTH, at)
-            chosen = self._spread_out(sorted(near, reverse=True), LINKS)
-            self.links[at][row, : len(chosen)] = chosen
-            for other in chosen:
-                self._link(other, row, at)
-        if level > top:
-            self.entry = row
-
-    def _link(self, row: int, new: int, level: int) -> None:
-        mine = self.links[level][row]
-        free = np.nonzero(mine < 0)[0]
-        if len(free):
-            mine[free[0]] = new
-            return
-        all_ = np.append(mine, new)
-        order = sorted(zip(self._nearness(all_, row).tolist(), all_.tolist(), strict=True), reverse=True)
-        chosen = self._spread_out(order, len(mine))
-        mine[:] = -1
-        mine[: len(chosen)] = chosen
-
-    def _spread_out(self, near: list[tuple[float, int]], most: int) -> list[int]:
-        """Of rows from near to far, those nearer to the point than to any row taken before; then the nearest others."""
-        rows = np.array([r for _, r in near])
-        between = self.points[rows] @ self.points[rows].T + self._lift(rows[:, None], rows[None, :])
-        taken: list[int] = []
-        for k, (nearness, _) in enumerate(near):
-            if len(taken) == most:
-                break
-            if not taken or between[k, taken].max() < nearness:
-                taken.append(k)
-        taken += [k for k in range(len(rows)) if k not in set(taken)][: most - len(taken)]
-        return rows[taken].tolist()
-
-    def _search(self, nearness: Callable[[np.ndarray], np.ndarray], start: list[tuple[float, int]], width: int, level: int) -> list[tuple[float, int]]:
-        links = self.links[level]
-        seen = np.zeros(len(self.points), bool)
-        seen[[r for _, r in start]] = True
-        todo = [(-s, r) for s, r in start]
-        heapq.heapify(todo)
-        best = list(start)
-        heapq.heapify(best)
-        while todo:
-            farness, row = heapq.heappop(todo)
-            if len(best) >= width and -farness < best[0][0]:
-                break
-            rows = links[row]
-            rows = rows[rows >= 0]
-            rows = rows[~seen[rows]]
-            if not len(rows):
-                continue
-            seen[rows] = True
-            for s, r in zip(nearness(rows).tolist(), rows.tolist(), strict=True):
-                if len(best) < width:
-                    heapq.heappush(best, (s, r))
-                    heapq.heappush(todo, (-s, r))
-                elif s > best[0][0]:
-                    heapq.heapreplace(best, (s, r))
-                    heapq.heappush(todo, (-s, r))
-        return best
-
     def nearest(self, q: np.ndarray, width: int) -> list[int]:
         """About ``width`` rows with a large inner product with ``q``, whose further component is zero."""
-        if not len(self.points):
-            return []
+        return self.nearest_of(q[None, :], width)[0].tolist()
 
-        def nearness(rows: np.ndarray) -> np.ndarray:
-            return self.points[rows] @ q
+    def nearest_of(self, queries: np.ndarray, width: int, least: np.ndarray | None = None) -> list[np.ndarray]:
+        """The same for each of ``queries``; all go on at the same time, each from its nearest rows whose links were not yet followed.
 
-        near = [(float(self.points[self.entry] @ q), self.entry)]
+        A query has none if its inner products with all rows are below its ``least``.
+        """
+        count, size = len(queries), len(self.points)
+        if not size:
+            return [np.empty(0, np.int64)] * count
+        scores = np.full((count, size + 1), -np.inf)  # the last column is of no row, -1
+        scores[:, :size] = queries @ self.points.T
+        todo, at = np.arange(count), np.full(count, self.entry)
+        if least is not None:
+            todo = todo[scores.max(axis=1) >= least]
         for level in range(int(self.levels[self.entry]), 0, -1):
-            near = self._search(nearness, near, 1, level)
-        return [r for _, r in self._search(nearness, near, width, 0)]
+            climbing = todo
+            while len(climbing):
+                rows = self.links[level][at[climbing]]
+                found = scores[climbing[:, None], rows]
+                best = found.argmax(axis=1)
+                better = found[np.arange(len(best)), best] > scores[climbing, at[climbing]]
+                climbing, rows, best = climbing[better], rows[better], best[better]
+                at[climbing] = rows[np.arange(len(best)), best]
+        seen, place = np.zeros(scores.shape, bool), np.zeros(scores.shape, np.int16)
+        seen[:, size], seen[todo, at[todo]] = True, True
+        rows, out = np.full((len(todo), width), -1), [np.empty(0, np.int64)] * count
+        rows[:, 0] = at[todo]
+        best = scores[todo[:, None], rows]
+        open_ = rows >= 0
+        while len(todo):
+            line, mine = np.arange(len(todo))[:, None], todo[:, None]
+            value = np.where(open_, best, -np.inf)
+            next_ = np.argpartition(value, -min(FOLLOWED, width), axis=1)[:, -min(FOLLOWED, width) :]
+            new = self.links[0][np.where(open_[line, next_], rows[line, next_], -1)]
+            new[~open_[line, next_]] = -1
+            open_[line, next_] = False
+            new = new.reshape(len(todo), -1)
+            column = np.arange(new.shape[1], dtype=np.int16)
+            place[mine, new] = column
+            fresh = ~seen[mine, new] & (place[mine, new] == column)  # a row that several are linked to comes once
+            seen[mine, new] = True
+            rows, open_ = np.hstack([rows, new]), np.hstack([open_, fresh])
+            best = np.hstack([best, np.where(fresh, scores[mine, new], -np.inf)])
+            keep = np.argpartition(best, -width, axis=1)[:, -width:]
+            rows, best, open_ = rows[line, keep], best[line, keep], open_[line, keep]
+            on = open_.any(axis=1)
+            for k in np.nonzero(~on)[0]:
+                out[todo[k]] = rows[k, best[k] > -np.inf]
+            todo, rows, best, open_ = todo[on], rows[on], best[on], open_[on]
+        return out
+
+
+def spread_out(near: np.ndarray, row: int, rows: np.ndarray, most: int) -> list[int]:
+    """Of ``rows`` those nearer to ``row`` than to any taken before, from near to far; then the nearest others."""
+    nearness = near[row, rows]
+    order = np.argsort(-nearness, kind="stable")
+    rows, nearness = rows[order], nearness[order]
+    between = near[rows[:, None], rows]
+    free, taken, k = np.ones(len(rows), bool), [], 0
+    while len(taken) < most:
+        k += int(free[k:].argmax()) if k < len(rows) else 0
+        if k == len(rows) or not free[k]:
+            break
+        taken.append(k)
+        free &= between[k] < nearness
+        k += 1
+    others = np.ones(len(rows), bool)
+    others[taken] = False
+    return rows[[*taken, *np.nonzero(others)[0][: most - len(taken)].tolist()]].tolist()
 
 
 def _packed(rows: np.ndarray) -> bytes:
@@ -193,40 +207,61 @@ def build_index(classes: DataFrame, shards: int, length2: float) -> DataFrame:
     return dealt.groupBy("shard").applyInPandas(build, schema)
 
 
+def _nearest_in(graphs: list[tuple[np.ndarray, Graph]], queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(reps, scores) of about the ``k`` nearest rows of all ``graphs`` for each query, nearest first.
+
+    A query is followed through a graph only if one of its rows is as near as the ``k`` found before it.
+    """
+    best = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+    lengths, least = np.sqrt((queries**2).sum(axis=1)), np.full(len(queries), -np.inf)
+    for reps, graph in graphs:
+        rounding = 1e-12 * lengths * np.sqrt(graph.squares.max(initial=0.0))
+        for i, near in enumerate(graph.nearest_of(queries, max(SEARCH_WIDTH, 2 * k), least - rounding)):
+            if len(near):
+                names, scores = np.append(best[i][0], reps[near]), np.append(best[i][1], graph.points[near] @ queries[i])
+                first = np.lexsort((names, -scores))[:k]
+                best[i] = names[first], scores[first]
+                least[i] = scores[first[-1]] if len(first) == k else -np.inf
+    return best
+
+
 def search_index(index: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
-    """(query, rep, score): about the ``k`` nearest classes in each shard for each of ``queries`` (rep, vector)."""
+    """(query, rep, score): about the ``k`` nearest classes in each group of shards for each of ``queries`` (rep, vector).
+
+    A task holds the graphs of a group and takes one block of queries after the other.
+    """
+    groups = max(-(-shards // GROUP), min(shards, 16))
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.lit(max(1, queries.count())) / QUERY_BLOCK))
     blocks = (
-        queries.groupBy(block.alias("block"))
+        queries.groupBy(block.cast("int").alias("part"))
         .agg(F.collect_list(F.struct("rep", "vector")).alias("queries"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .select("shard", F.col("queries.rep").alias("q_reps"), F.flatten("queries.vector").alias("q_vectors"))
+        .select("part", F.col("queries.rep").alias("q_reps"), F.flatten("queries.vector").alias("q_vectors"))
+        .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, graphs = -1, []
         for batch in batches:
             for row in range(batch.num_rows):
-                get = {c: batch.column(c)[row].as_py() for c in ("reps", "vectors", "levels", "links", "entry")}
-                reps = np.frombuffer(get["reps"], np.int64)
-                vectors = np.frombuffer(get["vectors"], np.float64).reshape(len(reps), -1)
-                graph = Graph(
-                    vectors,
-                    np.frombuffer(get["levels"], np.int32),
-                    [np.frombuffer(x, np.int32).reshape(len(reps), -1) for x in get["links"]],
-                    get["entry"],
-                )
+                if batch.column("group")[row].as_py() != group:
+                    group, graphs = batch.column("group")[row].as_py(), []
+                if not batch.column("q_reps")[row].is_valid:
+                    get = {c: batch.column(c)[row].as_py() for c in ("reps", "vectors", "levels", "links", "entry")}
+                    reps = np.frombuffer(get["reps"], np.int64)
+                    vectors = np.frombuffer(get["vectors"], np.float64).reshape(len(reps), -1)
+                    links = [np.frombuffer(x, np.int32).reshape(len(reps), -1) for x in get["links"]]
+                    graphs.append((reps, Graph(vectors, np.frombuffer(get["levels"], np.int32), links, get["entry"])))
+                    continue
                 asked = batch.column("q_reps")[row].values.to_numpy()
                 wanted = batch.column("q_vectors")[row].values.to_numpy().reshape(len(asked), -1)
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for name, q in zip(asked, wanted, strict=True):
-                    near = np.array(graph.nearest(q, max(SEARCH_WIDTH, 2 * k)))
-                    scores = vectors[near] @ q
-                    best = np.lexsort((reps[near], -scores))[:k]
-                    out.append((np.full(len(best), name), reps[near[best]], scores[best]))
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                found = _nearest_in(graphs, wanted, k)
+                columns = [np.repeat(asked, [len(reps) for reps, _ in found]), *(np.concatenate(c) for c in zip(*found, strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query", "rep", "score"])
 
-    return index.join(blocks, "shard").drop("shard").mapInArrow(run, "query long, rep long, score double")
+    held = index.withColumn("group", F.pmod("shard", F.lit(groups))).withColumnRenamed("shard", "part")
+    dealt = held.unionByName(blocks, allowMissingColumns=True).withColumn("asks", F.col("q_reps").isNotNull())
+    ordered = dealt.repartition(groups, "group").sortWithinPartitions("group", "asks", "part")
+    return ordered.drop("asks", "part").mapInArrow(run, "query long, rep long, score double")
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, dimensions: int | None = None) -> DataFrame:
@@ -255,7 +290,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, dimensi
     asked = plain.where(F.col("vec_id") % every == 0)
     asked = written(asked.join(classes.select("rep", "vector"), "vector").select("vec_id", "rep").distinct(), "queries")
     query_classes = classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vector")
-    found = search_index(index, query_classes, k + 1, shards)
+    found = written(search_index(index, query_classes, k + 1, shards), "found", BATCH_ROWS)
     first = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     found = found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
     members = found.join(classes.select("rep", "members"), "rep").select("query", "score", F.explode("members").alias("vec_id"))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from labspark.llm.ann import Graph, nearest_neighbours
+from labspark.llm.ann import Graph, _nearest_in, nearest_neighbours, spread_out
 
 
 def brute(ids, vectors, k, every):
@@ -79,3 +79,83 @@ def test_graph_arrays_are_symmetric_in_size():
     near = graph.nearest(points[7] * 10, 40)
     best = np.argsort(-(points @ points[7]))[:10]
     assert len(set(near) & set(best.tolist())) >= 9
+
+
+def test_queries_of_a_block_find_what_each_finds_alone():
+    r = np.random.default_rng(6)
+    centers = r.normal(size=(40, 16)) * 4
+    points = centers[r.integers(0, 40, 900)] + 0.3 * r.normal(size=(900, 16))
+    queries = centers[r.integers(0, 40, 70)] + 0.3 * r.normal(size=(70, 16))
+    graph = Graph.build(points)
+    block = graph.nearest_of(queries, 60)
+    assert [sorted(x.tolist()) for x in block] == [sorted(graph.nearest(q, 60)) for q in queries]
+    assert all(len(x) == len(set(x.tolist())) == 60 for x in block)
+    best = [set(np.argsort(-(points @ q))[:20].tolist()) for q in queries]
+    assert sum(len(b & set(x.tolist())) for b, x in zip(best, block, strict=True)) >= 0.95 * 20 * 70
+    assert [x.tolist() for x in Graph.build(points[:0]).nearest_of(queries[:2], 5)] == [[], []]
+    assert [x.tolist() for x in Graph.build(points[:1]).nearest_of(queries[:2], 5)] == [[0], [0]]
+
+
+def test_nearness_of_all_rows_is_symmetric_and_keeps_digits_beside_a_long_vector():
+    points = np.random.default_rng(7).normal(size=(600, 8))
+    points[5] *= 1e8
+    graph = Graph.build(points)
+    near = graph._nearness()
+    assert np.allclose(near, near.T)
+    # Beside terms of each row alone, it falls with the distance of two rows.
+    rows = np.delete(np.arange(600), 5)
+    distance = ((points[rows][:, None] - points[rows][None]) ** 2).sum(axis=2)
+    own = near[rows, rows]
+    assert np.allclose(near[np.ix_(rows, rows)], (own[:, None] + own[None] - distance) / 2, atol=1e-4)
+
+
+def test_spread_out_takes_rows_nearer_to_the_point_than_to_taken_ones_first():
+    r = np.random.default_rng(8)
+    for _ in range(20):
+        points = r.normal(size=(40, 5))
+        near = Graph.build(points)._nearness()
+        rows = r.permutation(np.arange(1, 40))[:30]
+        order = sorted(rows.tolist(), key=lambda x: -near[0, x])
+        wanted = []
+        for x in order:
+            if len(wanted) < 8 and all(near[x, y] < near[0, x] for y in wanted):
+                wanted.append(x)
+        wanted += [x for x in order if x not in wanted][: 8 - len(wanted)]
+        assert spread_out(near, 0, rows, 8) == wanted
+
+
+def test_graphs_of_a_group_give_the_nearest_of_all_and_skip_only_farther_rows(monkeypatch):
+    r = np.random.default_rng(9)
+    points, queries = r.normal(size=(1200, 12)), r.normal(size=(60, 12))
+    ids = r.permutation(5000)[:1200]
+    graphs = [(ids[k::12], Graph.build(points[k::12])) for k in range(12)]
+    followed = []
+    nearest_of = Graph.nearest_of
+
+    def counted(*args):
+        out = nearest_of(*args)
+        followed.append(sum(map(bool, map(len, out))))
+        return out
+
+    monkeypatch.setattr(Graph, "nearest_of", counted)
+    got = _nearest_in(graphs, queries, 3)
+    assert followed[0] == 60 and followed[-1] < 30
+    for q, (names, scores) in zip(queries, got, strict=True):
+        products = points @ q
+        best = np.lexsort((ids, -products))[:3]
+        assert names.tolist() == ids[best].tolist() and np.allclose(scores, products[best])
+
+
+def test_groups_of_shards_give_the_same_rows(spark, monkeypatch):
+    import labspark.llm.ann as ann
+
+    r = np.random.default_rng(10)
+    vectors = r.normal(size=(900, 16)).astype(np.float32)
+    rows = list(zip(range(900), vectors.tolist(), strict=True))
+    monkeypatch.setattr(ann, "SHARD", 40)  # 23 shards
+    want = found(nearest_neighbours(frame(spark, rows)))
+    for group in (1, 5):
+        monkeypatch.setattr(ann, "GROUP", group)
+        assert found(nearest_neighbours(frame(spark, rows))) == want
+    true = brute(list(range(900)), vectors.astype(float), 20, 20)
+    assert all([j for j, _ in want[q]] == [j for j, _ in true[q]] for q in true)
